@@ -17,6 +17,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the published pattern that splits text before byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORDS_KEPT, ARCS_KEPT = 1 << 18, 1 << 19
+WORDS_KEPT, ARCS_KEPT, LONG = 1 << 18, 1 << 19, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -96,38 +97,54 @@ class MergeAutomaton:
                 before, t = made[t], right[t]
 
     def encode_word(self, raw: bytes) -> tuple[int, ...]:
-        n, goes, token, arc = len(raw), self.goes, self.token, self.arc
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            t = last[i]
-            if i and t < 0:
-                continue
-            at = 0
-            for j in range(i, n):
-                nxt = goes.get(at << 8 | raw[j])
-                if nxt is None:
+        """The path of raw. From each offset the longest token is tried first; an offset from which no path reaches the end is not
+        tried again, as every prefix has only one path."""
+        n, goes, token, arcs, arc, size = len(raw), self.goes, self.token, self.arcs, self.arc, self.size
+        path: list[int] = []
+        at_ends: list[int] = []
+        open_: list[list[tuple[int, int]]] = []
+        dead: set[int] = set()
+        start = 0
+        while True:
+            at, tried = 0, []
+            for j in range(start, n):
+                at = goes.get(at << 8 | raw[j])
+                if at is None:
                     break
-                at = nxt
                 x = token[at]
-                if x >= 0 and last[j + 1] < 0 and (i == 0 or arc(t, x)):
-                    last[j + 1], start[j + 1] = x, i
-        out = []
-        while n:
-            out.append(last[n])
-            n = start[n]
-        return tuple(reversed(out))
+                if x >= 0:
+                    tried.append((x, j + 1))
+            open_.append(tried)
+            while True:
+                while not open_[-1]:
+                    open_.pop()
+                    dead.add(at_ends.pop())
+                    path.pop()
+                x, end = open_[-1].pop()
+                if end in dead:
+                    continue
+                if path:
+                    there = arcs.get(path[-1] * size + x)
+                    if not (arc(path[-1], x) if there is None else there):
+                        continue
+                path.append(x)
+                break
+            if end == n:
+                return tuple(path)
+            at_ends.append(end)
+            start = end
 
     def _plain(self, text: str, out: list[int]) -> None:
-        known = self.known
-        for word in self.split.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.encode_word(word.encode())
-                if len(word) <= 64:
-                    if len(known) >= WORDS_KEPT:
-                        known.clear()
-                    known[word] = ids
-            out.extend(ids)
+        known, found = self.known, self.split.findall(text)
+        fresh = set(found).difference(known)
+        for word in fresh:
+            known[word] = self.encode_word(word.encode())
+        out.extend(chain.from_iterable(map(known.__getitem__, found)))
+        for word in fresh:
+            if len(word) > LONG:
+                del known[word]
+        if len(known) > WORDS_KEPT:
+            known.clear()
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []

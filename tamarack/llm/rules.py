@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import let, words
 
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.15
+BUCKETS, SMOOTHING, THRESHOLD, TRUSTED_ROWS = 1 << 14, 1.0, -0.15, 20_000
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
 
@@ -26,10 +26,15 @@ def grams(w: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def counted(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """bucket, t, n: n-grams of the trusted documents and of all, by bucket. trusted: doc_id of the documents to resemble."""
-    ids = trusted.select(F.col("doc_id").alias("id_")).dropna().distinct()
-    marked = docs.select(F.col("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id_"), "left")
+def counted(docs: DataFrame, trusted: DataFrame, buckets: int, rows: int) -> DataFrame:
+    """bucket, t, n: n-grams of the trusted documents and of all, by bucket. trusted: doc_id of the documents to resemble.
+
+    The target is fitted on the `rows` trusted ids of least hash, at most; so many ids can be broadcast whatever the
+    size of trusted, and no text is shuffled. The raw counts cover every document.
+    """
+    ids = trusted.select(F.col("doc_id").cast("long").alias("id_")).dropna().distinct()
+    ids = ids.orderBy(F.xxhash64("id_"), "id_").limit(rows)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id_"), "left")
     found = marked.select(F.col("id_").isNotNull().cast("long").alias("trusted"), F.explode(let(words(F.col("text")), lambda w: grams(w, buckets))).alias("bucket"))
     return found.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count("*").alias("n"))
 
@@ -45,13 +50,29 @@ def ratios(counts: DataFrame, buckets: int, smoothing: float) -> Column:
 
 
 def repeat_words(w: Column) -> Column:
-    """Words inside a 3-word window that the text has twice or more. Windows are sorted with their places, so that repeats
-    are neighbours; each repeat covers three words, less those that the next repeat covers too."""
-    windows = F.sort_array(F.transform(F.slice(w, 3, 1 << 30), lambda x, i: F.struct(F.xxhash64(F.get(w, i), F.lit(" "), F.get(w, i + 1), F.lit(" "), x).alias("h"), i.alias("i"))))
-    same = lambda v, k, x: F.coalesce(F.get(v, k)["h"] == x["h"], F.lit(False))
-    places = let(windows, lambda v: F.sort_array(F.transform(F.filter(v, lambda x, k: same(v, k - 1, x) | same(v, k + 1, x)), lambda x: x["i"])))
+    """Words inside a 3-word window that the text has twice or more. Sorted, equal window hashes are neighbours; each repeat
+    covers three words, less those that the next repeat covers too. Where many windows repeat, they are sorted once more with
+    their places, as looking each up among many would take their product."""
+    same = lambda v, k, x: F.coalesce(F.get(v, k) == x, F.lit(False))
+    twin = lambda v, k, x: F.coalesce(F.get(v, k)["h"] == x["h"], F.lit(False))
     none = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at"))
-    return F.aggregate(places, none, lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"].cast("long"))
+
+    def few(h: Column, again: Column) -> Column:
+        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(again, x), i)), lambda i: i.isNotNull())
+
+    def many(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return let(placed, lambda v: F.sort_array(F.transform(F.filter(v, lambda x, k: twin(v, k - 1, x) | twin(v, k + 1, x)), lambda x: x["i"])))
+
+    def covered(places: Column) -> Column:
+        return F.aggregate(places, none, lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"].cast("long"))
+
+    def counted_in(h: Column) -> Column:
+        again = let(F.sort_array(h), lambda v: F.array_distinct(F.filter(v, lambda x, k: same(v, k - 1, x))))
+        return let(again, lambda r: F.when(F.size(r) == 0, F.lit(0).cast("long")).when(F.size(r) <= 40, covered(few(h, r))).otherwise(covered(many(h))))
+
+    hashes = F.transform(F.slice(w, 3, 1 << 30), lambda x, i: F.xxhash64(F.get(w, i), F.lit(" "), F.get(w, i + 1), F.lit(" "), x))
+    return let(hashes, counted_in)
 
 
 def dup_lines(text: Column) -> Column:
@@ -60,14 +81,14 @@ def dup_lines(text: Column) -> Column:
     return let(lines, lambda v: (F.size(v) - F.size(F.array_distinct(v))).cast("long"))
 
 
-def judged(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
+def judged(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs.
 
     Null and empty texts have no words, fail the base rules and have a null score. Rows of trusted with a null id or
     without a document count for nothing; with no trusted rows all ratios compare with an even distribution. Repeated rows
     are each judged, and each counted in the corpus. An empty table gives an empty table.
     """
-    ratio = ratios(counted(docs, trusted, buckets), buckets, smoothing)
+    ratio = ratios(counted(docs, trusted, buckets, trusted_rows), buckets, smoothing)
     text = F.coalesce(F.col("text"), F.lit(""))
     def found(w: Column) -> Column:
         total = F.aggregate(grams(w, buckets), F.lit(0.0), lambda a, b: a + F.get(ratio, b))
