@@ -2,7 +2,7 @@
 
 Every shingle is hashed once; the hash's upper bits choose its bin, and a bin keeps its least hash. Empty bins copy a bin that is
 not empty, found by a sequence of hashes of the bin's own number (optimal densification); past a few tries, by the least hash of
-the pair of bins, which is the same draw without repetition. Each bin keeps its value's low bits. As those agree
+the pair of bins, which is the same draw without repetition. Each bin keeps low bits of its value, hashed. As those agree
 by chance once in 2^bits, likeness is corrected for that. DataFrame functions only.
 """
 
@@ -45,7 +45,8 @@ def digits(text: Column) -> Column:
 
     hashes = lambda w: F.sort_array(shingle_hashes(w))
     bins = let(words(text), lambda w: let(hashes(w), lambda h: let(least(h), dense)))
-    return F.lower(F.array_join(F.transform(bins, lambda x: F.hex(x.bitwiseAND((1 << DIGIT) - 1))), ""))
+    # the bin's number is hashed in, else bins that copy one value would agree by chance all at once
+    return F.lower(F.array_join(F.transform(bins, lambda x, i: F.hex(F.xxhash64(x, i).bitwiseAND((1 << DIGIT) - 1))), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
