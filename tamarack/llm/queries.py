@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import bpe, fingerprints, lm, mixing, quality, rules, secrets, simhash, token_counts
+from tamarack.llm import bpe, fingerprints, lm, mixing, quality, rules, secrets, simhash, suffixes, token_counts
 from tamarack.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer())
 
@@ -53,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(read(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_fingerprints, op4_bpe, op5_lm, op6_simhash, op8_token_counts, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_fingerprints, op4_bpe, op5_lm, op6_simhash, op7_suffixes, op8_token_counts, op9_mixing, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
