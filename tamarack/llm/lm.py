@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import freed, written
 
-BLOCK_BYTES, RANGE_TOKENS, FOLDS, DELETED = 16 << 20, 1 << 20, 10, 1
+BLOCK_BYTES, RANGE_TOKENS, FOLDS, DELETED = 6 << 20, 1 << 19, 10, 1
 BUCKETS, STEPS, ROUNDS = 32, 8, 60
 END = np.uint64(0x9E3779B97F4A7C15)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")

@@ -37,34 +37,51 @@ def shingles(text: str, width: int) -> list[str]:
     return list(map(" ".join, zip(*(w[k:] for k in range(width)), strict=False)))
 
 
-def fingerprint(text: str, width: int = WIDTH) -> int:
-    s = shingles(text, width)
-    if not s:
+def hashed(text: str, width: int) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(x.encode(errors="surrogatepass"), 42) for x in shingles(text, width)], np.uint64)
+
+
+def bits_of(h: np.ndarray) -> int:
+    """Bit k is 1 if it is set in over half of the hashes; 0 for no hashes."""
+    if not len(h):
         return 0
-    digest = xxhash.xxh64_digest
-    bits = np.unpackbits(np.frombuffer(b"".join([digest(x, 42) for x in s]), np.uint8)).reshape(len(s), 64)
-    return int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(s)).tobytes(), "big")
+    ones = np.unpackbits(h.byteswap().view(np.uint8)).reshape(len(h), 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    return bits_of(hashed(text, width))
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (long) for each row of docs; null texts count as empty and get 0, as texts without a word do."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, keys: int = 0) -> DataFrame:
+    """doc_id, fp (long), keys (that many minima of rehashed shingle hashes) for each row of docs; null texts count as empty and get 0,
+    as texts without a word do."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        factors = [np.uint64(x) for x in np.random.default_rng(11).integers(1 << 62, 1 << 63, keys) | 1]
         for b in batches:
-            fp = np.array([fingerprint(t or "", width) for t in b["text"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            fp, least = np.empty(len(b), np.uint64), []
+            for n, t in enumerate(b["text"]):
+                h = hashed(t or "", width)
+                fp[n] = bits_of(h)
+                rehashed = ((h * f) ^ (h * f) >> np.uint64(31) for f in factors)
+                least.append([int(x.min().astype(np.int64)) if len(x) else 0 for x in rehashed])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.astype(np.int64), "keys": least})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long, keys array<long>")
 
 
-def trie_join(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, starts2: np.ndarray | None = None, ends2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of linked fingerprints, from the groups fps[start:end]; in a group, fingerprints are sorted and distinct.
+    With starts2 and ends2, links between each group and the range of its group given there.
 
     A trie node is a range of the array at a bit. All pairs of nodes at a bit are kept as arrays, so that a level of all
     groups' tries takes a few array operations. A pair that has spent more than the budget is not kept.
     """
     lo1, hi1 = starts, ends
-    lo2, hi2, spent = lo1, hi1, np.zeros(len(starts), np.int64)
+    lo2, hi2 = (starts, ends) if starts2 is None else (starts2, ends2)
+    spent = np.zeros(len(starts), np.int64)
     top = fps[1:] ^ fps[:-1]
     for bit in map(np.uint64, range(63, -1, -1)):
         at = np.flatnonzero(top >> bit == 1) + 1  # where nodes of this level fall into their two halves
@@ -137,12 +154,18 @@ def links(fps: DataFrame, budget: int = BUDGET, most: int = GROUP) -> DataFrame:
     held = small[0]
     for more in small[1:]:
         held = held.unionByName(more)
+    return grouped_links(held, budget)
+
+
+def grouped_links(held: DataFrame, budget: int) -> DataFrame:
+    """a, b: links within the groups of held (g, fp), each local component as a star on its smallest member. Rows (g, fp) are distinct,
+    and a group fits a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = int(np.searchsorted(b["g"].to_numpy() == b["g"].iloc[-1], True)) if len(b) else 0
+            last = int((b["g"].to_numpy() == b["g"].iloc[-1]).argmax()) if len(b) else 0  # the last group may go on
             rest, b = b.iloc[last:], b.iloc[:last]
             yield from joined(b)
         if rest is not None:
@@ -156,37 +179,68 @@ def links(fps: DataFrame, budget: int = BUDGET, most: int = GROUP) -> DataFrame:
         g, fp = g[order], fp[order]
         starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         ends = np.append(starts[1:], len(g))
-        squares = np.cumsum((ends - starts).astype(np.int64) ** 2) // AT_ONCE
-        for k in range(int(squares[-1]) + 1):  # so many groups at once that all their pairs would fit
-            own = squares == k
-            if own.any():
-                root = spanning(len(fp), *trie_join(fp, starts[own], ends[own], budget))
-                hit = root != np.arange(len(fp))
-                yield pd.DataFrame({"a": fp[root[hit]].view(np.int64), "b": fp[hit].view(np.int64)})
-
-    parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        size = ends - starts
+        jobs = []
+        small = size <= GROUP
+        squares = np.cumsum(np.where(small, size, 0).astype(np.int64) ** 2) // AT_ONCE
+        for k in np.unique(squares[small]):  # so many groups at once that all their pairs would fit
+            own = small & (squares == k)
+            jobs.append((starts[own], ends[own], None, None))
+        for lo, hi in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):  # a large one by pairs of its parts
+            cuts = [*range(lo, hi, GROUP), hi]
+            parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+            jobs += [tuple(np.array([x]) for x in (*p, *q)) for n, p in enumerate(parts) for q in parts[n:]]
+        for a, z, a2, z2 in jobs:
+            root = spanning(len(fp), *trie_join(fp, a, z, budget, a2, z2))
+            hit = root != np.arange(len(fp))
+            yield pd.DataFrame({"a": fp[root[hit]].view(np.int64), "b": fp[hit].view(np.int64)})
+
+    parts = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return held.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(run, "a long, b long")
 
 
-def clustered(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs: the smallest doc_id that links reach, its own included.
+def near_links(rows: DataFrame, budget: int, most: int = 4 * GROUP) -> DataFrame:
+    """a, b: links of at most `budget` differing bits among fingerprints that share one of their keys. rows: fp, keys.
+
+    For budgets that slices of the fingerprint can't serve. Texts of Jaccard similarity s share a given key with chance s. A group above
+    most is dealt again by a second key; where it is still above, its members are held against one of them, which near copies
+    of one text nearly all are.
+    """
+    n = F.sequence(F.lit(0), F.size("keys") - 1)
+    key = lambda i: F.concat_ws(".", F.lit("k"), i, F.hex(F.get("keys", i)))
+    one = written(rows.select("fp", "keys", F.explode(n).alias("i")).withColumn("g", key(F.col("i"))), "groups")
+    sizes = one.groupBy("g").agg(F.countDistinct("fp").alias("n"))
+    small = one.join(sizes.filter(F.col("n").between(2, most)).select("g"), "g", "left_semi").select("g", "fp")
+    large = one.join(sizes.filter(F.col("n") > most).select("g"), "g", "left_semi")
+    two = written(large.select("g", "fp", "i", "keys", F.explode(n).alias("j")).filter("i <> j").select(F.concat_ws("/", "g", key(F.col("j"))).alias("g"), "fp"), "groups")
+    sizes = two.groupBy("g").agg(F.countDistinct("fp").alias("n"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("a"))
+    small = small.unionByName(two.join(sizes.filter(F.col("n").between(2, most)).select("g"), "g", "left_semi"))
+    pivots = two.join(sizes.filter(F.col("n") > most).select("g", "a"), "g").select("a", F.col("fp").alias("b"))
+    near = pivots.filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget) & (F.col("a") != F.col("b"))).distinct()
+    return grouped_links(small.distinct(), budget).unionByName(near)
+
+
+def clustered(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET, keys: int = 0) -> DataFrame:
+    """doc_id, fp, component_id for each row of docs: the smallest doc_id that links reach, its own included. With keys,
+    links are those of near_links; without, all links within the budget.
 
     Null and empty texts get fingerprint 0, which links like any other. A null doc_id takes part in its text's component but
     names none; a component of null ids only has a null component_id. Repeated rows stay. An empty table gives an empty one.
     """
-    marked = written(fingerprints(docs, width), "fingerprints")
+    marked = written(fingerprints(docs, width, keys), "fingerprints")
     kinds = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "kinds")
-    roots = written(components(links(kinds.select("fp"), budget)), "components")
+    linked = near_links(marked.select("fp", "keys").distinct(), budget) if keys else links(kinds.select("fp"), budget)
+    roots = written(components(linked), "components")
     of = kinds.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = written(of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id"), "names")
     freed(docs.sparkSession)
     return marked.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET, keys: int = 0) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id. Rows of null doc_id stay only where no other row of
     their component does. Of equal rows, one stays. Columns are those of docs."""
-    named = clustered(docs, width, budget)
+    named = clustered(docs, width, budget, keys)
     first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id_")).distinct()
     ids = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("id_"))).drop("id_")
     return ids.dropDuplicates(["doc_id"])

@@ -4,11 +4,12 @@ All suffixes of a corpus, sorted by the difference-cover algorithm, would move t
 of LENGTH bytes need only meet in one sort, though. So:
 1. Anchors. Of the ANCHOR-byte windows of each LENGTH-byte string, those of least hash are its anchors; equal strings have equal
    anchors at equal places. About one byte in 150 starts an anchor, and only these travel.
-2. Contexts. All strings that hold an anchor lie in the bytes around it. Where the whole context occurs twice, all of it
+2. Contexts. All strings that an anchor is least in lie in the bytes around it. Where the whole context occurs twice, all of it
    goes, and one of the equal contexts stands for them from then on. Anchors that occur once are done.
 3. Suffix arrays. The distinct contexts of an anchor meet in one bundle, whose suffixes are sorted by the difference-cover
    algorithm: triples at places 1 and 2 mod 3 are sorted and named, their names sorted in turn by recursion, the remaining suffixes sorted by
-   their byte and the name behind it, and both merged. Neighbours that agree in LENGTH bytes, at two places of the corpus, go.
+   their byte and the name behind it, and both merged. Neighbours whose prefixes of LENGTH bytes agree (by 64-bit hashes),
+   at two places of the corpus, go.
 4. Anchors with too many distinct contexts for one task are split by where strings begin before them: the strings of a range of
    beginnings share their middle bytes, so contexts without a twin there are done, those that agree on the whole range
    go, and the others' range is halved.
@@ -40,10 +41,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def window_hashes(b: np.ndarray) -> np.ndarray:
+def window_hashes(b: np.ndarray, width: int = ANCHOR) -> np.ndarray:
+    """64-bit hashes of all strings of width bytes, from running sums."""
     up, down = powers(len(b))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(LETTERS[b] * down, dtype=np.uint64)])
-    h = (sums[ANCHOR:] - sums[:-ANCHOR]) * up[: len(b) - ANCHOR + 1]
+    h = (sums[width:] - sums[:-width]) * up[: len(b) - width + 1]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(29)
@@ -57,13 +59,24 @@ def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where anchors start, and their hashes."""
+def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where anchors start, their hashes, and how many bytes before and behind an anchor belong to strings that it anchors.
+
+    Those strings begin at a run of places, as a lesser hash to either side ends them, equal hashes or not."""
     h = window_hashes(b)
     least = sliding(h, REACH + 1, np.minimum)
     none = np.zeros(REACH, np.uint64)
     at = np.flatnonzero(sliding(np.concatenate([none, least, none]), REACH + 1, np.maximum) == h)
-    return at, h[at]
+    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends, value = np.append(starts[1:], len(least)) - 1, least[starts]
+    low, high = np.maximum(at - REACH, 0), np.minimum(at, len(least) - 1)
+    run = np.searchsorted(starts, low, "right") - 1
+    seek = np.flatnonzero(value[run] != h[at])
+    while len(seek):
+        run[seek] += 1
+        seek = seek[value[run[seek]] != h[at[seek]]]
+    left, first = at - np.maximum(low, starts[run]), at - np.minimum(high, ends[run])
+    return at, h[at], left, REACH - first
 
 
 def all_anchors(docs: DataFrame) -> DataFrame:
@@ -78,8 +91,7 @@ def all_anchors(docs: DataFrame) -> DataFrame:
                 raw = text.encode()
                 if len(raw) < LENGTH:
                     continue
-                at, h = anchors(np.frombuffer(raw, np.uint8))
-                left, right = np.minimum(at, REACH), np.minimum(len(raw) - ANCHOR - at, REACH)
+                at, h, left, right = anchors(np.frombuffer(raw, np.uint8))
                 c = np.array([digest(raw[a - lo : a + ANCHOR + hi], lo) for a, lo, hi in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64)
                 out.append(pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i)] * len(at), "Int64"), "x": x, "at": at, "left": left, "right": right, "h": h.view(np.int64), "c": c.view(np.int64)}))
             if out:
@@ -98,7 +110,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     sample = np.concatenate([np.arange(1, n + (n0 - n1), 3), np.arange(2, n, 3)])  # with n itself where n % 3 is 1: it keeps the two halves apart
     wide = int(s.max()) + 1
     triple = (s[sample] * wide + s[sample + 1]) * wide + s[sample + 2]
-    order = np.argsort(triple, kind="stable")
+    order = np.argsort(triple)
     ordered = triple[order]
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -108,7 +120,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     sa12 = sa12[sa12 < n]
     big = len(rank) + 1
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(s[zero] * big + rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort(s[zero] * big + rank[zero + 1])]
     one, two = sa12[sa12 % 3 == 1], sa12[sa12 % 3 == 2]
     before = np.searchsorted(s[one] * big + rank[one + 1], s[zero] * big + rank[zero + 1])
     key = lambda i: (s[i] * wide + s[i + 1]) * big + rank[i + 2]
@@ -132,13 +144,8 @@ def repeated(contexts: list[bytes], places: list[tuple]) -> list[np.ndarray]:
     place = np.arange(len(t)) - starts[of]
     sa = suffix_array(t)
     sa = sa[place[sa] + LENGTH <= lengths[of[sa]]]
-    raw = (t - 2).astype(np.uint8)
-    same = np.zeros(max(len(sa) - 1, 0), bool)
-    left = np.arange(len(same))
-    for k in range(0, LENGTH, 8):  # neighbours that still agree
-        eight = np.ndarray((len(raw) - 7,), np.uint64, raw.data, strides=(1,))
-        left = left[eight[sa[left] + k] == eight[sa[left + 1] + k]]
-    same[left] = True
+    prefix = window_hashes((t - 2).astype(np.uint8), LENGTH)[sa] if len(sa) else sa
+    same = prefix[1:] == prefix[:-1]
     cls = np.concatenate([[0], np.cumsum(~same)]) if len(sa) else np.empty(0, np.int64)
     docs = {d: k for k, d in enumerate(dict.fromkeys(p[0] for p in places))}
     where = np.array([docs[p[0]] for p in places])[of[sa]] * (1 << 40) + np.array([p[1] for p in places])[of[sa]] + place[sa]
