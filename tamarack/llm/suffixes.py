@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import freed, written
 
-LENGTH, ANCHOR, BUNDLE, MOST = 400, 100, 600_000, 2000
+LENGTH, ANCHOR, BUNDLE, MOST = 400, 100, 100_000, 200
 REACH = LENGTH - ANCHOR
 BASE, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LETTERS = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
