@@ -89,10 +89,10 @@ def applied(docs: DataFrame, **options) -> DataFrame:
     kind: their repetitions are dealt out evenly among them, so that the sum stays right."""
     kinds = mixed(docs, partial=False, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("sum_"), F.count("*").alias("n_"))
     kinds = kinds.withColumnsRenamed({"doc_id": "id_", "source": "source_", "size": "size_"})
-    keyed = docs.withColumn("words_", n_words(F.col("text"))).withColumn("row_", F.monotonically_increasing_id())
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all_"), "doc_id", "source", "text").withColumn("words_", n_words(F.col("text"))).withColumn("row_", F.monotonically_increasing_id())
     joined = keyed.join(kinds, keyed.doc_id.cast("long").eqNullSafe(F.col("id_")) & keyed.source.cast("string").eqNullSafe(F.col("source_")) & (F.col("words_") == F.col("size_")))
     nth = F.when(F.col("n_") == 1, 0).otherwise(F.row_number().over(Window.partitionBy("id_", "source_", "size_").orderBy(F.when(F.col("n_") > 1, F.col("row_")))) - 1)
     one = joined.filter("n_ = 1").withColumn("times_", F.col("sum_"))
     many = joined.filter("n_ > 1").withColumn("times_", F.floor(F.col("sum_") / F.col("n_")) + (nth < F.col("sum_") % F.col("n_")).cast("long"))
     out = one.unionByName(many).filter("times_ > 0").withColumn("times_", F.explode(F.sequence(F.lit(1), F.col("times_").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select("all_.*")

@@ -132,7 +132,7 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by mark, and n_chars, where there is one, set to the new length. Texts without
     spans, nulls included, stay as they are."""
-    got = scanned(docs)
+    got = scanned(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
 
     def step(a: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
@@ -142,7 +142,6 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     new = F.aggregate("found", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1) - a["at"])))
     hit = F.size("found") > 0
-    out = got.withColumn("text", F.when(hit, new).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = got.select("row", F.when(hit, new).otherwise(F.col("text")).alias("new"), hit.alias("hit"))
+    changed = {"text": F.col("new"), "n_chars": F.when(F.col("hit"), F.length("new").cast("long")).otherwise(F.col("row").getField("n_chars") if "n_chars" in docs.columns else F.lit(0))}
+    return out.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])

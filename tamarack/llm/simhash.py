@@ -242,8 +242,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET, keys
     their component does. Of equal rows, one stays. Columns are those of docs."""
     named = clustered(docs, width, budget, keys)
     first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id_")).distinct()
-    ids = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("id_"))).drop("id_")
-    return ids.dropDuplicates(["doc_id"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"))
+    return rows.join(first, F.col("doc").eqNullSafe(F.col("id_"))).dropDuplicates(["doc"]).select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
