@@ -63,7 +63,7 @@ def signed_ranks(d: DataFrame, keys: list[str]) -> DataFrame:
     r = by.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0))
     t = r.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     z2 = F.pow(F.least("w_plus", "w_minus") - F.col("n") * (F.col("n") + 1) / 4, F.lit(2)) / (F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48)
-    return t.select(*keys, "n", "w_plus", "w_minus", F.least("w_plus", "w_minus").alias("statistic"), ((F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus"))).alias("rank_biserial"), F.sqrt(z2).alias("abs_z"))
+    return t.select(*keys, "n", "w_plus", "w_minus", F.least("w_plus", "w_minus").alias("statistic"), ((F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus"))).alias("rank_biserial"), F.sqrt(z2).alias("abs_z"), "ties")
 
 
 def holm(df: DataFrame, family: str, p: str, ties: list[str]) -> DataFrame:

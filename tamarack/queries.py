@@ -117,7 +117,7 @@ SIGNED = PAIR + """, q AS (SELECT method, budget, scope, difference, rank() OVER
 
 @query(f"WITH {SIGNED} SELECT method, budget, scope, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial FROM w")
 def signed_rank_stat(spark, d):
-    return rounded(curves.signed_ranks(curves.scoped(differences(spark, d)), ["method", "budget", "scope"]).drop("abs_z"))
+    return rounded(curves.signed_ranks(curves.scoped(differences(spark, d)), ["method", "budget", "scope"]).drop("abs_z", "ties"))
 
 
 @query(f"WITH {PAIR} SELECT method, budget, scope, count(*) FILTER (difference > 0) AS n_positive, count(*) FILTER (difference = 0) AS n_zero, count(*) FILTER (difference < 0) AS n_negative, count(*) AS n_total, round(avg(CAST(difference > 0 AS DOUBLE)), 6) AS fraction FROM sc GROUP BY ALL")
