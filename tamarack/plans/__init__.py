@@ -47,3 +47,61 @@ def assignment_rules(split: DataFrame, sample: DataFrame) -> dict[str, DataFrame
     smaller = sample.select(*key, F.col("budget").alias("small")).join(sample.groupBy("dataset", "subject").agg(F.max("budget").alias("top")), ["dataset", "subject"])
     broken = smaller.filter("small < top").join(sample.select(*key, F.col("budget").alias("top")), [*key, "top"], "left_anti")
     return {"two_roles": roles, "session_in_one_role": groups, "class_counts": counts, "sample_in_pool": outside, "samples_nest": broken, "unique_trials": duplicates(split, key)}
+
+
+def metric_rules(m: DataFrame, keys: list[str], metrics: list[str]) -> dict[str, DataFrame]:
+    """A metric table's own rules: unique keys, known regimes at fitting budgets, complete metrics in range."""
+    null = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in metrics])
+    return {
+        "unique_conditions": duplicates(m, keys), "known_regime": m.filter(~F.col("regime").isin("population", "subject", "source_plus_target")),
+        "population_at_zero": m.filter("regime = 'population' and budget <> 0"), "subject_above_zero": m.filter("regime = 'subject' and budget <= 0"),
+        "metrics_complete": m.filter(null), "auc_in_range": m.filter("roc_auc < 0 or roc_auc > 1"),
+    }
+
+
+def miscounted(m: DataFrame, p: DataFrame, keys: list[str]) -> DataFrame:
+    """Conditions whose stated number of trials is not that of their predictions; either side may lack the condition."""
+    found = p.groupBy(*keys).agg(F.count("*").alias("n_found"))
+    return m.select(*keys, "n_trials").join(found, keys, "full_outer").filter(~F.col("n_trials").eqNullSafe(F.col("n_found")))
+
+
+def recomputed(stored: DataFrame, again: DataFrame, keys: list[str], metrics: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """Keys at which a stored metric is not the recomputed one, within an absolute and relative tolerance."""
+    both = stored.select(*keys, F.lit(1).alias("in_a"), *[F.col(c).alias(f"a_{c}") for c in metrics]).join(again.select(*keys, F.lit(1).alias("in_b"), *[F.col(c).alias(f"b_{c}") for c in metrics]), keys, "full_outer")
+    off = [~F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= tolerance + tolerance * F.abs(F.col(f"b_{c}")), F.col(f"a_{c}").isNull() & F.col(f"b_{c}").isNull()) for c in metrics]
+    return both.filter(reduce(lambda a, b: a | b, off, F.col("in_a").isNull() | F.col("in_b").isNull())).select(*keys)
+
+
+def unlike_scores(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions that two sides don't share exactly."""
+    both = a.select(*keys, F.col("y_score").alias("left_")).join(b.select(*keys, F.col("y_score").alias("right_")), keys, "full_outer")
+    return both.filter(~F.col("left_").eqNullSafe(F.col("right_"))).drop("left_", "right_")
+
+
+def prediction_rules(p: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    return {
+        "score_in_range": p.filter("y_score is null or isnan(y_score) or y_score < 0 or y_score > 1"), "prediction_is_threshold": p.filter("y_pred <> cast(y_score >= 0.5 as int)"),
+        "binary_label": p.filter("y_true is null or y_true not in (0, 1)"), "both_labels": p.groupBy(*keys).agg(F.countDistinct("y_true").alias("n")).filter("n <> 2"),
+    }
+
+
+def source_rules(chosen: DataFrame, sampled: DataFrame, most: int, cap: int) -> dict[str, DataFrame]:
+    """chosen: dataset, target_subject, source_subject; sampled: dataset, subject, label of the trials taken from each source."""
+    per = sampled.groupBy("dataset", "subject").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
+    return {
+        "target_is_no_source": chosen.filter("target_subject = source_subject"), "source_cap": chosen.groupBy("dataset", "target_subject").count().filter(F.col("count") > most),
+        "trial_cap": per.filter(F.greatest("c0", "c1") > cap), "balanced": per.filter("c0 <> c1"),
+    }
+
+
+def grid_difference(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
+    """Conditions that are missing or unexpected."""
+    a, b = expected.select(*keys).distinct(), observed.select(*keys).distinct()
+    return a.join(b, keys, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("unexpected")))
+
+
+def structure(t: DataFrame, sessions: int, runs: int, per_class: int) -> DataFrame:
+    """A row for each subject: sessions, most runs of a session, fewest trials of a class in a session, and whether they are as expected."""
+    cells = t.groupBy("dataset", "subject", "session").agg(F.countDistinct("run").alias("runs"), F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
+    g = cells.groupBy("dataset", "subject").agg(F.count("*").alias("n_sessions"), F.max("runs").alias("n_runs"), F.min(F.least("c0", "c1")).alias("least_of_class"))
+    return g.withColumn("as_expected", (F.col("n_sessions") == sessions) & (F.col("n_runs") == runs) & (F.col("least_of_class") >= per_class))

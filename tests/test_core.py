@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from tamarack import plans, queries
+from tamarack import audit_queries, plans, queries  # noqa: F401
 from tamarack.operators import curves
 from tests.conftest import SF
 
