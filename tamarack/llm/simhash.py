@@ -25,6 +25,8 @@ from tamarack.llm.common import freed, written
 from tamarack.llm.components import components
 
 BUDGET, GROUP, WIDTH, AT_ONCE = 2, 1024, 3, 4_000_000
+#: Fingerprints of a block, and comparisons made at once, where a whole group is compared.
+BLOCK, CELLS = 32_768, 2_000_000
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: str.split() would cut at other white space as well
 BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
@@ -100,9 +102,9 @@ def trie_join(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int
     return lo1, lo2
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n places the smallest that links reach from it."""
-    root = np.arange(n)
+def spanning(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """For each of n places the smallest that links, and those that root stands for, reach from it."""
+    root = np.arange(n) if root is None else root.copy()
     while len(a):
         ra, rb = root[a], root[b]
         lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
@@ -199,25 +201,73 @@ def grouped_links(held: DataFrame, budget: int) -> DataFrame:
     return held.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(run, "a long, b long")
 
 
-def near_links(rows: DataFrame, budget: int, most: int = 4 * GROUP) -> DataFrame:
-    """a, b: links of at most `budget` differing bits among fingerprints that share one of their keys. rows: fp, keys.
+def scanned(x: np.ndarray, y: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what pairs of x and y within the budget join, as stars; every pair is compared."""
+    both = np.concatenate([x, y])
+    root = np.arange(len(both))
+    rows = max(1, CELLS // max(1, len(y)))
+    for k in range(0, len(x), rows):
+        i, j = np.nonzero(np.bitwise_count(x[k : k + rows, None] ^ y[None, :]) <= budget)
+        i, j = i + k, j + len(x)
+        apart = root[i] != root[j]
+        if apart.any():
+            root = spanning(len(both), i[apart], j[apart], root)
+    hit = np.flatnonzero(both[root] != both)
+    return both[root[hit]], both[hit]
 
-    For budgets that slices of the fingerprint can't serve. Texts of Jaccard similarity s share a given key with chance s. A group above
-    most is dealt again by a second key; where it is still above, its members are held against one of them, which near copies
-    of one text nearly all are.
+
+def block_links(held: DataFrame, budget: int) -> DataFrame:
+    """a, b: links between the two sides of each block pair of held (k, side, fp)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            k = b["k"].to_numpy()
+            cuts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield one(b.iloc[lo:hi])
+            rest = b.iloc[cuts[-1] :]  # the last pair may go on
+        if rest is not None and len(rest):
+            yield one(rest)
+
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        fp, side = b["fp"].to_numpy().astype(np.int64).view(np.uint64), b["side"].to_numpy()
+        to, of = scanned(fp[side == 0], fp[side == 1], budget)
+        return pd.DataFrame({"a": to.view(np.int64), "b": of.view(np.int64)})
+
+    parts = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return held.repartition(parts, "k").sortWithinPartitions("k").mapInPandas(run, "a long, b long")
+
+
+def near_links(rows: DataFrame, budget: int, most: int = 4 * GROUP, block: int = BLOCK) -> DataFrame:
+    """a, b: links that join what `budget` differing bits or fewer join, among fingerprints that share one of their keys. rows: fp, keys.
+
+    For budgets that slices of the fingerprint can't serve. Texts of Jaccard similarity s share a given key with chance s. A trie joins
+    each group of up to most. Of a larger group, one member links to all it is near to, which joins a group of near copies of one text at
+    once. Every other member is then compared with the whole group, in pairs of blocks of about `block`, so no link is lost at any size.
     """
     n = F.sequence(F.lit(0), F.size("keys") - 1)
     key = lambda i: F.concat_ws(".", F.lit("k"), i, F.hex(F.get("keys", i)))
-    one = written(rows.select("fp", "keys", F.explode(n).alias("i")).withColumn("g", key(F.col("i"))), "groups")
-    sizes = one.groupBy("g").agg(F.countDistinct("fp").alias("n"))
-    small = one.join(sizes.filter(F.col("n").between(2, most)).select("g"), "g", "left_semi").select("g", "fp")
-    large = one.join(sizes.filter(F.col("n") > most).select("g"), "g", "left_semi")
-    two = written(large.select("g", "fp", "i", "keys", F.explode(n).alias("j")).filter("i <> j").select(F.concat_ws("/", "g", key(F.col("j"))).alias("g"), "fp"), "groups")
-    sizes = two.groupBy("g").agg(F.countDistinct("fp").alias("n"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("a"))
-    small = small.unionByName(two.join(sizes.filter(F.col("n").between(2, most)).select("g"), "g", "left_semi"))
-    pivots = two.join(sizes.filter(F.col("n") > most).select("g", "a"), "g").select("a", F.col("fp").alias("b"))
-    near = pivots.filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget) & (F.col("a") != F.col("b"))).distinct()
-    return grouped_links(small.distinct(), budget).unionByName(near)
+    one = written(rows.select("fp", F.explode(F.transform(n, key)).alias("g")).distinct(), "groups")
+    sizes = one.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("a"))
+    sizes = written(sizes.filter("n > 1"), "sizes")
+    found = grouped_links(one.join(sizes.filter(F.col("n") <= most).select("g"), "g", "left_semi"), budget)
+    great = sizes.filter(F.col("n") > most)
+    if great.isEmpty():
+        return found
+    large = one.join(great, "g").withColumn("near", F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= budget)
+    large = written(large, "large")
+    star = large.filter(F.col("near") & (F.col("a") != F.col("fp"))).select("a", F.col("fp").alias("b")).distinct()
+    parts = lambda c: F.ceil(F.col(c) / block)
+    left = large.groupBy("g").agg(F.count_if(~F.col("near")).alias("far")).filter("far > 0").select("g", parts("far").alias("far"))
+    dealt_ = large.join(left, "g").withColumn("n", parts("n")).withColumn("h", F.xxhash64("fp"))
+    every = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    pair = lambda i, j: F.concat_ws("/", "g", i, j)
+    own = F.pmod("h", "far")
+    asked = dealt_.filter(~F.col("near")).withColumn("j", F.explode(every("n"))).select(pair(own, F.col("j")).alias("k"), F.lit(0).alias("side"), "fp")
+    against = dealt_.withColumn("i", F.explode(every("far"))).select(pair(F.col("i"), F.pmod("h", "n")).alias("k"), F.lit(1).alias("side"), "fp")
+    return found.unionByName(star).unionByName(block_links(asked.unionByName(against), budget))
 
 
 def clustered(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET, keys: int = 0) -> DataFrame:
