@@ -193,24 +193,6 @@ def test_simhash_links(spark, most):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
-@pytest.mark.parametrize(("most", "block"), [(1000, 1000), (8, 1000), (8, 7), (1, 30)])
-def test_near_links_lose_nothing_in_large_groups(spark, most, block):
-    rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
-    f = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 9), replace=False)) for b in base for _ in range(25)]
-    f = sorted({x - (1 << 64) if x >> 63 else x for x in f})
-    keys = [[int(k % 2), int(10 + k % 7)] for k in range(len(f))]
-    got = {x.v: x.root for x in components(simhash.near_links(spark.createDataFrame(list(zip(f, keys, strict=True)), "fp long, keys array<long>"), 6, most, block)).collect()}
-    root = {x: x for x in f}
-    for a, ka in zip(f, keys, strict=True):
-        for b, kb in zip(f, keys, strict=True):
-            if any(x == y for x, y in zip(ka, kb, strict=True)) and ((a ^ b) & (1 << 64) - 1).bit_count() <= 6 and root[a] != root[b]:
-                lo, hi = sorted((root[a], root[b]))
-                root = {v: lo if r == hi else r for v, r in root.items()}
-    pairs = {(root[x], got.get(x, x)) for x in f}
-    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-
-
 def test_simhash_report(docs, rows):
     got = simhash.report(docs).collect()
     assert len(got) == len(rows)
