@@ -8,6 +8,9 @@ way, until it is small enough or no free bits are left to tell its members apart
 Join: within a group, a binary trie over the free bits is traversed in pairs of nodes. A pair of nodes that differs adds one
 to the pair's differing bits; above the budget, the pair is left.
 Components: see components.py.
+
+Near copies beyond what slices serve (`deduplicated`): texts of one set of shingles become one row, rows that share a minimum of rehashed
+shingles are held against one another by the same join, and a link counts only if the sketches of the two are similar enough.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from tamarack.llm.common import freed, written
 from tamarack.llm.components import components
 
 BUDGET, GROUP, WIDTH, AT_ONCE = 2, 1024, 3, 4_000_000
+#: A sketch has so many bins; so many pairs of sketches are compared at once; groups above MOST are dealt again, then cut into blocks.
+BINS, SKETCHES, MOST = 256, 16_384, 4096
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: str.split() would cut at other white space as well
 BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
@@ -54,36 +59,79 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     return bits_of(hashed(text, width))
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, keys: int = 0) -> DataFrame:
-    """doc_id, fp (long), keys (that many minima of rehashed shingle hashes) for each row of docs; null texts count as empty and get 0,
-    as texts without a word do."""
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, fp (long) for each row of docs; null texts count as empty and get 0, as texts without a word do."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = np.array([fingerprint(t or "", width) for t in b["text"]], np.uint64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+
+
+def sketch(distinct: np.ndarray) -> bytes:
+    """One byte for each of BINS bins of shingle hashes: 0 for an empty bin, else the low bits of its least rehashed one.
+
+    No bin is filled from another: of few shingles, nearly each has a bin of its own, so that likeness is nearly exact there.
+    """
+    out = np.zeros(BINS, np.uint8)
+    h = np.sort(distinct * np.uint64(0x9E3779B97F4A7C15))
+    at = (h >> np.uint64(56)).astype(np.int64) * BINS >> 8
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(h) else at
+    out[at[first]] = 1 + h[first] % np.uint64(255)
+    return out.tobytes()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of shingle sets, from rows of sketches: bins with the same least shingle among those not empty in
+    both. Two texts without shingles are alike."""
+    used = ((a | b) != 0).sum(1)
+    same = ((a == b) & (a != 0)).sum(1)
+    return np.where(used, same / np.maximum(used, 1), 1.0)
+
+
+def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
+    """doc_id, id (a hash of the set of shingles), fp, keys (that many minima of rehashed shingle hashes), sketch for each row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factors = [np.uint64(x) for x in np.random.default_rng(11).integers(1 << 62, 1 << 63, keys) | 1]
         for b in batches:
-            fp, least = np.empty(len(b), np.uint64), []
-            for n, t in enumerate(b["text"]):
+            rows = []
+            for t in b["text"]:
                 h = hashed(t or "", width)
-                fp[n] = bits_of(h)
-                rehashed = ((h * f) ^ (h * f) >> np.uint64(31) for f in factors)
-                least.append([int(x.min().astype(np.int64)) if len(x) else 0 for x in rehashed])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.astype(np.int64), "keys": least})
+                u = np.unique(h)
+                rehashed = ((u * f) ^ (u * f) >> np.uint64(31) for f in factors)
+                rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(h), [int(x.min().astype(np.int64)) if len(x) else 0 for x in rehashed], sketch(u)))
+            ids, fps, least, sketches = zip(*rows, strict=True) if rows else ((), (), (), ())
+            whole = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "id": whole(ids), "fp": whole(fps), "keys": least, "sketch": sketches})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, id long, fp long, keys array<long>, sketch binary")
 
 
 def trie_join(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, starts2: np.ndarray | None = None, ends2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked fingerprints, from the groups fps[start:end]; in a group, fingerprints are sorted and distinct.
-    With starts2 and ends2, links between each group and the range of its group given there.
+    """Places of linked fingerprints, from the groups fps[start:end]; in a group, fingerprints are sorted. A pair comes once, a place
+    with itself not at all. With starts2 and ends2, links between each group and the range of its group given there.
 
     A trie node is a range of the array at a bit. All pairs of nodes at a bit are kept as arrays, so that a level of all
-    groups' tries takes a few array operations. A pair that has spent more than the budget is not kept.
+    groups' tries takes a few array operations. A pair that has spent more than the budget is not kept. A node of one fingerprint is a
+    leaf: what two leaves have left to differ in is counted at once.
     """
     lo1, hi1 = starts, ends
     lo2, hi2 = (starts, ends) if starts2 is None else (starts2, ends2)
     spent = np.zeros(len(starts), np.int64)
     top = fps[1:] ^ fps[:-1]
+    left, right = [], []
     for bit in map(np.uint64, range(63, -1, -1)):
+        leaves = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
+        a, b = lo1[leaves], lo2[leaves]
+        near = (np.bitwise_count(fps[a] ^ fps[b]) <= budget) & (a != b)
+        left.append(a[near])
+        right.append(b[near])
+        lo1, hi1, lo2, hi2, spent = (x[~leaves] for x in (lo1, hi1, lo2, hi2, spent))
+        if not len(lo1):
+            break
         at = np.flatnonzero(top >> bit == 1) + 1  # where nodes of this level fall into their two halves
         at = np.append(at, len(fps) + 1)
 
@@ -97,12 +145,19 @@ def trie_join(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int
             ok = (a < b) & (c < d) & wanted & ((a != c) | (b - a > 1))  # a node of one has no link to itself
             kept.append((a[ok], b[ok], c[ok], d[ok], spent[ok] + extra))
         lo1, hi1, lo2, hi2, spent = map(np.concatenate, zip(*kept, strict=True))
-    return lo1, lo2
-
-
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n places the smallest that links reach from it."""
-    root = np.arange(n)
+    # what is left are nodes of equal fingerprints: all their pairs
+    wide = hi2 - lo2
+    n = (hi1 - lo1) * wide
+    of = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    a, b = lo1[of] + k // wide[of], lo2[of] + k % wide[of]
+    apart = (a < b) | (lo1 != lo2)[of]
+    return np.concatenate([*left, a[apart]]), np.concatenate([*right, b[apart]])
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """For each of n places the smallest that links, and those that root stands for, reach from it."""
+    root = np.arange(n) if root is None else root.copy()
     while len(a):
         ra, rb = root[a], root[b]
         lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
@@ -114,6 +169,20 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """For each place the smallest that links reach from it: those of the pairs a, b whose likeness is `least` or more. Pairs that earlier
+    ones already join are not compared."""
+    root = np.arange(len(sketches))
+    for k in range(0, len(a), SKETCHES):
+        x, y = a[k : k + SKETCHES], b[k : k + SKETCHES]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        ok = likeness(sketches[x], sketches[y]) >= least
+        if ok.any():
+            root = spanning(len(root), x[ok], y[ok], root)
+    return root
+
+
 def dealt(rows: DataFrame, width: int, budget: int) -> DataFrame:
     """rows (g, fp, free) into the groups that hold all but `budget` slices of the lowest `width` bits of free fixed."""
     parts = budget + 2
@@ -157,9 +226,13 @@ def links(fps: DataFrame, budget: int = BUDGET, most: int = GROUP) -> DataFrame:
     return grouped_links(held, budget)
 
 
-def grouped_links(held: DataFrame, budget: int) -> DataFrame:
+def grouped_links(held: DataFrame, budget: int, least: float | None = None) -> DataFrame:
     """a, b: links within the groups of held (g, fp), each local component as a star on its smallest member. Rows (g, fp) are distinct,
-    and a group fits a task."""
+    and a group fits a task.
+
+    With least, held is (g, side, id, fp, sketch), its links also need that likeness of sketches, and join ids. A group
+    has side 0 only, or two sides, between which links are sought.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -174,74 +247,109 @@ def grouped_links(held: DataFrame, budget: int) -> DataFrame:
     def joined(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(b):
             return
-        g, fp = b["g"].to_numpy(), b["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.lexsort((fp, pd.factorize(g)[0]))
+        g, fp = pd.factorize(b["g"])[0] * 2, b["fp"].to_numpy().astype(np.int64).view(np.uint64)
+        if least is not None:
+            g = g + b["side"].to_numpy()
+        order = np.lexsort((fp, g))
         g, fp = g[order], fp[order]
+        ids = fp.view(np.int64) if least is None else b["id"].to_numpy()[order]
+        sketches = None if least is None else np.frombuffer(b"".join(b["sketch"].to_numpy()[order]), np.uint8).reshape(-1, BINS)
         starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         ends = np.append(starts[1:], len(g))
-        size = ends - starts
+        size, side = ends - starts, g[starts] % 2
+        two = np.append((side[1:] == 1) & (np.diff(g[starts] // 2) == 0), False)  # a first side, followed by its second
+        whole = ~two & (side == 0)
         jobs = []
-        small = size <= GROUP
+        small = whole & (size <= GROUP)
         squares = np.cumsum(np.where(small, size, 0).astype(np.int64) ** 2) // AT_ONCE
         for k in np.unique(squares[small]):  # so many groups at once that all their pairs would fit
             own = small & (squares == k)
             jobs.append((starts[own], ends[own], None, None))
-        for lo, hi in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):  # a large one by pairs of its parts
-            cuts = [*range(lo, hi, GROUP), hi]
-            parts = list(zip(cuts[:-1], cuts[1:], strict=True))
-            jobs += [tuple(np.array([x]) for x in (*p, *q)) for n, p in enumerate(parts) for q in parts[n:]]
+
+        def parts(n: int) -> list[tuple[int, int]]:
+            cuts = [*range(starts[n], ends[n], GROUP), ends[n]]
+            return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+        for n in np.flatnonzero(whole & (size > GROUP)):  # a large one by pairs of its parts
+            jobs += [tuple(np.array([x]) for x in (*p, *q)) for k, p in enumerate(parts(n)) for q in parts(n)[k:]]
+        for n in np.flatnonzero(two):
+            jobs += [tuple(np.array([x]) for x in (*p, *q)) for p in parts(n) for q in parts(n + 1)]
         for a, z, a2, z2 in jobs:
-            root = spanning(len(fp), *trie_join(fp, a, z, budget, a2, z2))
-            hit = root != np.arange(len(fp))
-            yield pd.DataFrame({"a": fp[root[hit]].view(np.int64), "b": fp[hit].view(np.int64)})
+            x, y = trie_join(fp, a, z, budget, a2, z2)
+            if not len(x):
+                continue
+            at, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+            x, y = back[: len(x)], back[len(x) :]
+            root = spanning(len(at), x, y) if least is None else alike(sketches[at], x, y, least)
+            hit = root != np.arange(len(at))
+            yield pd.DataFrame({"a": ids[at[root[hit]]], "b": ids[at[hit]]})
 
     parts = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return held.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(run, "a long, b long")
 
 
-def near_links(rows: DataFrame, budget: int, most: int = 4 * GROUP) -> DataFrame:
-    """a, b: links of at most `budget` differing bits among fingerprints that share one of their keys. rows: fp, keys.
+def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = None) -> DataFrame:
+    """a, b: links among kinds (id, fp, keys, sketch) that share one of their keys, differ in at most `budget` bits and have sketches of a
+    likeness of `least` or more.
 
     For budgets that slices of the fingerprint can't serve. Texts of Jaccard similarity s share a given key with chance s. A group above
-    most is dealt again by a second key; where it is still above, its members are held against one of them, which near copies
-    of one text nearly all are.
+    `most` is dealt again by a second key. Where it is still above, it is cut into blocks, and every pair of blocks becomes a group of
+    two sides: nothing is left out, and no task takes more than two blocks.
     """
+    most = most or MOST
     n = F.sequence(F.lit(0), F.size("keys") - 1)
     key = lambda i: F.concat_ws(".", F.lit("k"), i, F.hex(F.get("keys", i)))
-    one = written(rows.select("fp", "keys", F.explode(n).alias("i")).withColumn("g", key(F.col("i"))), "groups")
-    sizes = one.groupBy("g").agg(F.countDistinct("fp").alias("n"))
-    small = one.join(sizes.filter(F.col("n").between(2, most)).select("g"), "g", "left_semi").select("g", "fp")
-    large = one.join(sizes.filter(F.col("n") > most).select("g"), "g", "left_semi")
-    two = written(large.select("g", "fp", "i", "keys", F.explode(n).alias("j")).filter("i <> j").select(F.concat_ws("/", "g", key(F.col("j"))).alias("g"), "fp"), "groups")
-    sizes = two.groupBy("g").agg(F.countDistinct("fp").alias("n"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("a"))
-    small = small.unionByName(two.join(sizes.filter(F.col("n").between(2, most)).select("g"), "g", "left_semi"))
-    pivots = two.join(sizes.filter(F.col("n") > most).select("g", "a"), "g").select("a", F.col("fp").alias("b"))
-    near = pivots.filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget) & (F.col("a") != F.col("b"))).distinct()
-    return grouped_links(small.distinct(), budget).unionByName(near)
-
-
-def clustered(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET, keys: int = 0) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs: the smallest doc_id that links reach, its own included. With keys,
-    links are those of near_links; without, all links within the budget.
+    one = kinds.select("id", "fp", "keys", F.explode(n).alias("i")).withColumn("g", key(F.col("i")))
+    sizes = written(one.groupBy("g").count().filter("count > 1"), "sizes")
+    pick = lambda rows, sizes, low, high: rows.join(sizes.filter(F.col("count").between(low, high)), "g")
+    alone = F.lit(0).alias("side")
+    held = pick(one, sizes, 2, most).select("g", alone, "id", "fp")
+    two = pick(one, sizes, most + 1, 2**62).select("g", "id", "fp", "i", "keys", F.explode(n).alias("j")).filter("i <> j")
+    two = written(two.select(F.concat_ws("/", "g", key(F.col("j"))).alias("g"), "id", "fp"), "groups")
+    sizes2 = two.groupBy("g").count()
+    held = held.unionByName(pick(two, sizes2, 2, most).select("g", alone, "id", "fp"))
+    blocks = F.ceil(F.col("count") / most).cast("int")
+    cut = pick(two, sizes2, most + 1, 2**62).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.concat_ws("|", "g", F.least("own", "other"), F.greatest("own", "other"))
+    held = held.unionByName(cut.select(pair.alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "fp"))
+    return grouped_links(held.join(kinds.select("id", "sketch"), "id"), budget, least)
+
+
+def named(marked: DataFrame, by: str, linked: DataFrame, kinds: DataFrame) -> DataFrame:
+    """marked with component_id, the smallest doc_id (first, in kinds) that links between values of the column `by` reach."""
+    roots = written(components(linked), "components")
+    of = kinds.join(roots.withColumnRenamed("v", by), by, "left").select(by, "first", F.coalesce("root", by).alias("root"))
+    names = written(of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(by, "component_id"), "names")
+    freed(marked.sparkSession)
+    return marked.join(names, by)
+
+
+def clustered(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
+    """doc_id, fp, component_id for each row of docs: the smallest doc_id that links reach, its own included.
 
     Null and empty texts get fingerprint 0, which links like any other. A null doc_id takes part in its text's component but
     names none; a component of null ids only has a null component_id. Repeated rows stay. An empty table gives an empty one.
     """
-    marked = written(fingerprints(docs, width, keys), "fingerprints")
+    marked = written(fingerprints(docs, width), "fingerprints")
     kinds = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "kinds")
-    linked = near_links(marked.select("fp", "keys").distinct(), budget) if keys else links(kinds.select("fp"), budget)
-    roots = written(components(linked), "components")
-    of = kinds.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = written(of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id"), "names")
-    freed(docs.sparkSession)
-    return marked.join(names, "fp").select("doc_id", "fp", "component_id")
+    return named(marked, "fp", links(kinds.select("fp"), budget), kinds).select("doc_id", "fp", "component_id")
+
+
+def near_clustered(docs: DataFrame, width: int, budget: int, keys: int, least: float) -> DataFrame:
+    """doc_id, component_id for each row of docs, by the links of near_links. Texts of one set of shingles belong together; so do all texts
+    without a word, null ones included. Null ids, repeated rows and empty tables as in clustered."""
+    marked = written(marks(docs, width, keys), "fingerprints")
+    kinds = marked.groupBy("id").agg(F.min("doc_id").alias("first"), F.first(F.struct("fp", "keys", "sketch")).alias("of"))
+    kinds = written(kinds.select("id", "first", "of.*"), "kinds")
+    return named(marked.select("doc_id", "id"), "id", near_links(kinds, budget, least), kinds.select("id", "first")).select("doc_id", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET, keys: int = 0) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id. Rows of null doc_id stay only where no other row of
-    their component does. Of equal rows, one stays. Columns are those of docs."""
-    named = clustered(docs, width, budget, keys)
-    first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id_")).distinct()
+def deduplicated(docs: DataFrame, width: int, budget: int, keys: int, least: float = 0.8) -> DataFrame:
+    """docs with one row of each component of near_clustered: that of its smallest doc_id. Rows of null doc_id stay only where no other
+    row of their component does. Of equal rows, one stays. Columns are those of docs."""
+    found = near_clustered(docs, width, budget, keys, least)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id_")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"))
     return rows.join(first, F.col("doc").eqNullSafe(F.col("id_"))).dropDuplicates(["doc"]).select("row.*")
 

@@ -203,10 +203,74 @@ def test_simhash_report(docs, rows):
     first = {w: None if x == 1 << 60 else x for w, x in first.items()}  # no id, no name
     want = collections.Counter((i, f"{int(x):016x}", first[w]) for (i, *_), x, w in zip(rows, f, linked(f, 2), strict=True))
     assert collections.Counter(tuple(x) for x in got) == want
-    kept = simhash.deduplicated(docs, 5, 13, 4)
+    kept = simhash.deduplicated(docs, 5, 13, 4, 0.8)
     assert kept.columns == docs.columns and kept.count() < len(rows)
 
 
+def same_parts(got, want):
+    """Whether two namings of the same places make the same parts."""
+    pairs = set(zip(got, want, strict=True))
+    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+@pytest.mark.parametrize("most", [4096, 7])
+@pytest.mark.parametrize("part", [1024, 3])
+def test_near_links(spark, most, part, monkeypatch):
+    """One group, whole or in blocks, against all pairs; with equal fingerprints of unlike sketches."""
+    monkeypatch.setattr(simhash, "GROUP", part)
+    r = np.random.default_rng(5)
+    f, s = [], []
+    for x in r.integers(0, 1 << 63, 6, dtype=np.uint64):
+        base = r.integers(0, 256, simhash.BINS, dtype=np.uint8)
+        for k in range(8):
+            y, z = x, base.copy()
+            for b in r.integers(0, 64, r.integers(0, 12)):
+                y ^= np.uint64(1) << np.uint64(b)
+            z[: r.integers(0, 70)] ^= np.uint8(k + 1)
+            f.append(y if k else x)
+            s.append(z)
+        f.append(x)
+        s.append(r.integers(0, 256, simhash.BINS, dtype=np.uint8))
+    f, s = np.array(f), np.array(s)
+    i, j = np.triu_indices(len(f), 1)
+    ok = (np.bitwise_count(f[i] ^ f[j]) <= 13) & (simhash.likeness(s[i], s[j]) >= 0.8)
+    want = simhash.spanning(len(f), i[ok], j[ok])
+    assert 6 < len(set(want)) < len(f)
+    kinds = spark.createDataFrame([(k, int(x), [1, 1, 1, 1], y.tobytes()) for k, (x, y) in enumerate(zip(f.view(np.int64), s, strict=True))], "id long, fp long, keys array<long>, sketch binary")
+    got = {x.v: x.root for x in components(simhash.near_links(kinds, 13, 0.8, most)).collect()}
+    assert same_parts([got.get(k, k) for k in range(len(f))], want.tolist())
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """By exact similarity of shingle sets: what is well above 0.8 is linked, what is below is not, in short texts too."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(60):
+        n = r.choice([12, 20, 60, 300])
+        w = prose(r, n).split()
+        texts.append(" ".join(w))
+        for _ in range(3):
+            v = list(w)
+            for at in r.sample(range(n), r.choice([1, 1, n // 12, n // 4])):
+                v[at] = "".join(r.choice("klmnop") for _ in range(5))
+            if r.random() < 0.5:
+                v[-max(1, n // 40) :] = []
+            texts.append(" ".join(v))
+    shared = prose(r, 8)
+    texts += [shared + " " + prose(r, r.randint(1, 6)) for _ in range(40)]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    i, j = np.triu_indices(len(texts), 1)
+    jaccard = np.array([len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in zip(i, j, strict=True)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {x.doc_id: x.component_id for x in simhash.near_clustered(docs, 5, 13, 4, 0.8).collect()}
+    one = np.array([of[a] == of[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    assert (jaccard > 0.9).sum() > 20 and one[jaccard > 0.9].mean() > 0.98
+    loose = simhash.spanning(len(texts), i[jaccard > 0.73], j[jaccard > 0.73])
+    assert not one[loose[i] != loose[j]].any()
+    kept = {x.doc_id for x in simhash.deduplicated(docs, 5, 13, 4, 0.8).collect()}
+    assert kept == {k for k, v in of.items() if k == v}
+
+
 @pytest.mark.parametrize("most", [200, 2])
 def test_suffixes(spark, docs, rows, most, monkeypatch):
     monkeypatch.setattr(suffixes, "MOST", most)
