@@ -29,6 +29,41 @@ def seeded(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
+def target_split(t: DataFrame, fraction: float, least_test: int, least_pool: int, seed: int, trial_level: bool = False) -> DataFrame:
+    """role (test, calibration_pool) and strategy: each subject's first valid split of latest session, latest runs and, where
+    allowed, single trials. Valid is one with least_test trials of either class to test and least_pool to calibrate.
+
+    Of run suffixes, the smallest with the fraction of trials wins, else the largest below it. Single trials are taken
+    from each class in a seeded order. Subjects without a valid split stay, with null role and strategy.
+    """
+    w = Window.partitionBy(*SUBJECT)
+    zero, one = F.col("label") == 0, F.col("label") == 1
+    g = t.groupBy(*SUBJECT, "session", "run").agg(F.count_if(zero).alias("a"), F.count_if(one).alias("b"))
+    late = w.orderBy("session", "run").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    g = g.select(*SUBJECT, F.struct("session", "run").alias("at"), *[F.sum(c).over(x).alias(c + n) for c in "ab" for x, n in ((late, "_test"), (w, "_all"))])
+    g = g.withColumn("n", F.col("a_test") + F.col("b_test")).filter(
+        (F.least("a_test", "b_test") >= least_test) & (F.least(F.col("a_all") - F.col("a_test"), F.col("b_all") - F.col("b_test")) >= least_pool)
+    )
+    short = F.col("n") / (F.col("a_all") + F.col("b_all")) < fraction
+    best = g.groupBy(*SUBJECT).agg(F.min_by("at", F.struct(short.alias("short"), F.when(short, -F.col("n")).otherwise(F.col("n")).alias("size"))).alias("from_"))
+    in_class = Window.partitionBy(*SUBJECT, "label")
+    placed = t.withColumn("latest_", F.col("session") == F.max("session").over(w)).join(best, SUBJECT, "left")
+    if trial_level:
+        place = F.row_number().over(in_class.orderBy(seeded(seed, F.col("trial_uid")), "trial_uid"))
+        placed = placed.withColumn("drawn_", place <= F.ceil(F.lit(fraction) * F.count("*").over(in_class)))
+    else:
+        placed = placed.withColumn("drawn_", F.lit(False))
+
+    def valid(test: Column) -> Column:
+        least = lambda x: F.least(F.count_if(x & zero).over(w), F.count_if(x & one).over(w))
+        return (least(test) >= least_test) & (least(~test) >= least_pool)
+
+    strategy = F.when(valid(F.col("latest_")), "latest_session").when(F.col("from_").isNotNull(), "latest_runs").when(valid(F.col("drawn_")), "trial_level")
+    test = F.when(F.col("strategy") == "latest_session", F.col("latest_")).when(F.col("strategy") == "latest_runs", F.struct("session", "run") >= F.col("from_")).when(F.col("strategy") == "trial_level", F.col("drawn_"))
+    role = F.when(test, "test").when(~test, "calibration_pool")
+    return placed.withColumn("strategy", strategy).withColumn("role", role).drop("latest_", "from_", "drawn_")
+
+
 def nested(pool: DataFrame, budgets: list[int], seed: int) -> DataFrame:
     """Each class's seeded order; a budget b takes the first b of each class, so samples nest. selected_at_budget: the least that takes a trial.
     Subjects short of a budget skip it."""

@@ -150,6 +150,21 @@ def latest_run_suffix_split(spark, d):
     return assign.run_suffix(sources.trials(spark, d), 0.3)
 
 
+@query(f"""WITH {TRIALS}, g AS (SELECT dataset, subject, session, run, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM t GROUP BY ALL),
+ u AS (SELECT *, sum(a) OVER l AS at_, sum(b) OVER l AS bt, sum(a) OVER w AS aa, sum(b) OVER w AS ba FROM g WINDOW w AS (PARTITION BY dataset, subject), l AS (PARTITION BY dataset, subject ORDER BY session, run ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ r AS (SELECT dataset, subject, session AS rs, run AS rr FROM u WHERE least(at_, bt) >= 9 AND least(aa - at_, ba - bt) >= 20
+ QUALIFY row_number() OVER (PARTITION BY dataset, subject ORDER BY (at_ + bt) / (aa + ba)::DOUBLE < 0.3, CASE WHEN (at_ + bt) / (aa + ba)::DOUBLE < 0.3 THEN -(at_ + bt) ELSE at_ + bt END) = 1),
+ k AS (SELECT t.*, rs, rr, session = max(session) OVER (PARTITION BY dataset, subject) AS x,
+ row_number() OVER (PARTITION BY dataset, subject, label ORDER BY md5('{SEED}:' || trial_uid), trial_uid) <= ceil(0.3::DOUBLE * count(*) OVER (PARTITION BY dataset, subject, label)) AS y FROM t LEFT JOIN r USING (dataset, subject)),
+ v AS (SELECT *, least(count(*) FILTER (x AND label = 0) OVER w, count(*) FILTER (x AND label = 1) OVER w) >= 9 AND least(count(*) FILTER (NOT x AND label = 0) OVER w, count(*) FILTER (NOT x AND label = 1) OVER w) >= 20 AS vx,
+ least(count(*) FILTER (y AND label = 0) OVER w, count(*) FILTER (y AND label = 1) OVER w) >= 9 AND least(count(*) FILTER (NOT y AND label = 0) OVER w, count(*) FILTER (NOT y AND label = 1) OVER w) >= 20 AS vy FROM k WINDOW w AS (PARTITION BY dataset, subject)),
+ z AS (SELECT *, CASE WHEN vx THEN 'latest_session' WHEN rs IS NOT NULL THEN 'latest_runs' WHEN vy THEN 'trial_level' END AS strategy FROM v)
+SELECT dataset, subject, session, run, trial_uid, label, value, strategy, CASE strategy WHEN 'latest_session' THEN CASE WHEN x THEN 'test' ELSE 'calibration_pool' END
+ WHEN 'latest_runs' THEN CASE WHEN session > rs OR (session = rs AND run >= rr) THEN 'test' ELSE 'calibration_pool' END WHEN 'trial_level' THEN CASE WHEN y THEN 'test' ELSE 'calibration_pool' END END AS role FROM z""")
+def target_split_policy(spark, d):
+    return assign.target_split(sources.trials(spark, d), 0.3, 9, 20, SEED, trial_level=True)
+
+
 @query(f"WITH {SAMPLE} SELECT dataset, subject, label, trial_uid, budget, selected_at_budget FROM n")
 def nested_calibration(spark, d):
     return sample(spark, d)
