@@ -28,7 +28,7 @@ from tamarack.llm.common import freed, written
 from tamarack.llm.components import components
 
 BUDGET, GROUP, WIDTH, AT_ONCE = 2, 1024, 3, 4_000_000
-#: A sketch has so many bins; so many pairs of sketches are compared at once; groups above MOST are dealt again, then cut into blocks.
+#: A sketch has so many bins; so many pairs of sketches are compared at once; groups above MOST are cut into blocks.
 BINS, SKETCHES, MOST = 256, 16_384, 4096
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: str.split() would cut at other white space as well
@@ -293,23 +293,18 @@ def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = N
     likeness of `least` or more.
 
     For budgets that slices of the fingerprint can't serve. Texts of Jaccard similarity s share a given key with chance s. A group above
-    `most` is dealt again by a second key. Where it is still above, it is cut into blocks, and every pair of blocks becomes a group of
-    two sides: nothing is left out, and no task takes more than two blocks.
+    `most` is cut into blocks, and every pair of blocks becomes a group of two sides: nothing is left out, and no task takes more than
+    two blocks.
     """
     most = most or MOST
     n = F.sequence(F.lit(0), F.size("keys") - 1)
-    key = lambda i: F.concat_ws(".", F.lit("k"), i, F.hex(F.get("keys", i)))
-    one = kinds.select("id", "fp", "keys", F.explode(n).alias("i")).withColumn("g", key(F.col("i")))
+    key = F.concat_ws(".", F.lit("k"), "i", F.hex(F.get("keys", F.col("i"))))
+    one = kinds.select("id", "fp", "keys", F.explode(n).alias("i")).select(key.alias("g"), "id", "fp")
     sizes = written(one.groupBy("g").count().filter("count > 1"), "sizes")
-    pick = lambda rows, sizes, low, high: rows.join(sizes.filter(F.col("count").between(low, high)), "g")
-    alone = F.lit(0).alias("side")
-    held = pick(one, sizes, 2, most).select("g", alone, "id", "fp")
-    two = pick(one, sizes, most + 1, 2**62).select("g", "id", "fp", "i", "keys", F.explode(n).alias("j")).filter("i <> j")
-    two = written(two.select(F.concat_ws("/", "g", key(F.col("j"))).alias("g"), "id", "fp"), "groups")
-    sizes2 = two.groupBy("g").count()
-    held = held.unionByName(pick(two, sizes2, 2, most).select("g", alone, "id", "fp"))
+    pick = lambda low, high: one.join(sizes.filter(F.col("count").between(low, high)), "g")
+    held = pick(2, most).select("g", F.lit(0).alias("side"), "id", "fp")
     blocks = F.ceil(F.col("count") / most).cast("int")
-    cut = pick(two, sizes2, most + 1, 2**62).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    cut = pick(most + 1, 2**62).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.concat_ws("|", "g", F.least("own", "other"), F.greatest("own", "other"))
     held = held.unionByName(cut.select(pair.alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "fp"))

@@ -241,6 +241,17 @@ def test_near_links(spark, most, part, monkeypatch):
     assert same_parts([got.get(k, k) for k in range(len(f))], want.tolist())
 
 
+@pytest.mark.parametrize("most", [4096, 7])
+def test_near_links_of_one_shared_key(spark, most):
+    """The one key that rows share is that of a group above the bound."""
+    r = np.random.default_rng(6)
+    s = r.integers(0, 256, simhash.BINS, dtype=np.uint8).tobytes()
+    rows = [(k, 5, [1, *map(int, r.integers(1, 1 << 62, 3))], s) for k in range(30)]
+    kinds = spark.createDataFrame(rows, "id long, fp long, keys array<long>, sketch binary")
+    got = components(simhash.near_links(kinds, 13, 0.8, most)).collect()
+    assert {x.v for x in got} == set(range(30)) and len({x.root for x in got}) == 1
+
+
 def test_near_copies_go_and_others_stay(spark):
     """By exact similarity of shingle sets: what is well above 0.8 is linked, what is below is not, in short texts too."""
     r = random.Random(8)
