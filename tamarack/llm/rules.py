@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import let, words
 
-BUCKETS, SMOOTHING, THRESHOLD, TRUSTED_ROWS = 1 << 14, 1.0, -0.15, 20_000
+BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.15
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
 
@@ -26,17 +26,20 @@ def grams(w: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def counted(docs: DataFrame, trusted: DataFrame, buckets: int, rows: int) -> DataFrame:
+def counted(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """bucket, t, n: n-grams of the trusted documents and of all, by bucket. trusted: doc_id of the documents to resemble.
 
-    The target is fitted on the `rows` trusted ids of least hash, at most; so many ids can be broadcast whatever the
-    size of trusted, and no text is shuffled. The raw counts cover every document.
+    Both cover every document. Only the target's side meets the trusted ids, by a merge join at any size; the raw counts need no join.
     """
-    ids = trusted.select(F.col("doc_id").cast("long").alias("id_")).dropna().distinct()
-    ids = ids.orderBy(F.xxhash64("id_"), "id_").limit(rows)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id_"), "left")
-    found = marked.select(F.col("id_").isNotNull().cast("long").alias("trusted"), F.explode(let(words(F.col("text")), lambda w: grams(w, buckets))).alias("bucket"))
-    return found.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count("*").alias("n"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
+
+    def found(rows: DataFrame, t: int, n: int) -> DataFrame:
+        bucket = F.explode(let(words(F.col("text")), lambda w: grams(w, buckets))).alias("bucket")
+        return rows.select(bucket).groupBy("bucket").count().select("bucket", (F.col("count") * t).alias("t"), (F.col("count") * n).alias("n"))
+
+    both = found(docs.join(ids.hint("merge"), "doc_id", "left_semi"), 1, 0).unionByName(found(docs, 0, 1))
+    return both.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
 
 
 def ratios(counts: DataFrame, buckets: int, smoothing: float) -> Column:
@@ -81,14 +84,14 @@ def dup_lines(text: Column) -> Column:
     return let(lines, lambda v: (F.size(v) - F.size(F.array_distinct(v))).cast("long"))
 
 
-def judged(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def judged(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs.
 
     Null and empty texts have no words, fail the base rules and have a null score. Rows of trusted with a null id or
     without a document count for nothing; with no trusted rows all ratios compare with an even distribution. Repeated rows
     are each judged, and each counted in the corpus. An empty table gives an empty table.
     """
-    ratio = ratios(counted(docs, trusted, buckets, trusted_rows), buckets, smoothing)
+    ratio = ratios(counted(docs, trusted, buckets), buckets, smoothing)
     text = F.coalesce(F.col("text"), F.lit(""))
     def found(w: Column) -> Column:
         total = F.aggregate(grams(w, buckets), F.lit(0.0), lambda a, b: a + F.get(ratio, b))

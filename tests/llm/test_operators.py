@@ -116,6 +116,12 @@ def test_rules(spark, docs, rows, labels):
     assert rules.judged(docs.limit(0), labels).count() == 0
 
 
+def test_rules_count_every_trusted_document(spark):
+    """Where all documents are trusted, both multinomials are the same."""
+    docs = spark.range(21_000).selectExpr("id as doc_id", "concat('w', id) as text")
+    assert {x.score for x in rules.judged(docs, docs).select("score").distinct().collect()} == {0.0}
+
+
 def test_secrets(docs, rows):
     def base(t):
         out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
