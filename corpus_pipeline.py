@@ -8,9 +8,9 @@ from tamarack.llm import bpe, mixing, quality, secrets, simhash
 from tamarack.llm.common import read, written
 from tamarack.llm.queries import tokenizer
 
-#: Texts link where fingerprints of five-word shingles differ in at most so many bits, which a cosine of 0.8 or more means, one of so many
-#: keys is shared, and shingle sets are so similar.
-SHINGLE, BITS, KEYS, LEAST = 5, 13, 4, 0.8
+#: Texts link where sets of five-word shingles are so similar and one of so many keys is shared. Fingerprints only sort out beforehand what
+#: differs in more than so many bits: similarity 0.8 means about 10, with a standard deviation of 3.
+SHINGLE, BITS, KEYS, LEAST = 5, 24, 4, 0.8
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

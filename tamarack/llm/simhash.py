@@ -10,7 +10,7 @@ to the pair's differing bits; above the budget, the pair is left.
 Components: see components.py.
 
 Near copies beyond what slices serve (`deduplicated`): texts of one set of shingles become one row, rows that share a minimum of rehashed
-shingles are held against one another by the same join, and a link counts only if the sketches of the two are similar enough.
+shingles are held against one another by the same join. Sketches tell which may be similar enough; their whole sets decide.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from tamarack.llm.components import components
 BUDGET, GROUP, WIDTH, AT_ONCE = 2, 1024, 3, 4_000_000
 #: A sketch has so many bins; so many pairs of sketches are compared at once; groups above MOST are cut into blocks.
 BINS, SKETCHES, MOST = 256, 16_384, 4096
+#: The sketches of a pair may fall short of its similarity by so much: 8 standard errors of 256 bins at 0.8.
+SLACK = 0.2
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: str.split() would cut at other white space as well
 BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
@@ -92,7 +94,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
-    """doc_id, id (a hash of the set of shingles), fp, keys (that many minima of rehashed shingle hashes), sketch for each row of docs."""
+    """doc_id, id (a hash of the set of shingles), fp, keys (that many minima of rehashed shingle hashes), sketch, set
+    (the distinct shingle hashes, sorted) for each row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factors = [np.uint64(x) for x in np.random.default_rng(11).integers(1 << 62, 1 << 63, keys) | 1]
@@ -102,12 +105,12 @@ def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
                 h = hashed(t or "", width)
                 u = np.unique(h)
                 rehashed = ((u * f) ^ (u * f) >> np.uint64(31) for f in factors)
-                rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(h), [int(x.min().astype(np.int64)) if len(x) else 0 for x in rehashed], sketch(u)))
-            ids, fps, least, sketches = zip(*rows, strict=True) if rows else ((), (), (), ())
+                rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(h), [int(x.min().astype(np.int64)) if len(x) else 0 for x in rehashed], sketch(u), u.tobytes()))
+            ids, fps, least, sketches, sets = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             whole = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "id": whole(ids), "fp": whole(fps), "keys": least, "sketch": sketches})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "id": whole(ids), "fp": whole(fps), "keys": least, "sketch": sketches, "set": sets})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, id long, fp long, keys array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, id long, fp long, keys array<long>, sketch binary, set binary")
 
 
 def trie_join(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, starts2: np.ndarray | None = None, ends2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -169,17 +172,40 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = Non
     return root
 
 
-def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """For each place the smallest that links reach from it: those of the pairs a, b whose likeness is `least` or more. Pairs that earlier
-    ones already join are not compared."""
+def jaccard(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the pairs a, b of sets of distinct hashes: those of an a are flagged, and the flags of each of its b counted. Two empty
+    sets are alike."""
+    own, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = back[: len(a)], back[len(a) :]
+    size = np.array([len(sets[k]) for k in own], np.int64)
+    rank = np.unique(np.concatenate([sets[k] for k in own]), return_inverse=True)[1]
+    rank = np.split(rank, np.cumsum(size)[:-1])
+    flags, common = np.zeros(int(size.sum()) + 1, bool), np.zeros(len(a), np.int64)
+    order = np.argsort(a, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        flags[rank[a[part[0]]]] = True
+        for k in part:
+            common[k] = np.count_nonzero(flags[rank[b[k]]])
+        flags[rank[a[part[0]]]] = False
+    union = size[a] + size[b] - common
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0)
+
+
+def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """For each place the smallest that links reach from it: those of the pairs a, b whose likeness is `least` or more; with sets, those whose
+    sets have that similarity, asked where likeness is within SLACK. Pairs that earlier ones already join are not compared."""
     root = np.arange(len(sketches))
     for k in range(0, len(a), SKETCHES):
         x, y = a[k : k + SKETCHES], b[k : k + SKETCHES]
         apart = root[x] != root[y]
         x, y = x[apart], y[apart]
-        ok = likeness(sketches[x], sketches[y]) >= least
-        if ok.any():
-            root = spanning(len(root), x[ok], y[ok], root)
+        ok = likeness(sketches[x], sketches[y]) >= least - (0 if sets is None else SLACK)
+        x, y = x[ok], y[ok]
+        if sets is not None and len(x):
+            ok = jaccard(sets, x, y) >= least
+            x, y = x[ok], y[ok]
+        if len(x):
+            root = spanning(len(root), x, y, root)
     return root
 
 
@@ -230,9 +256,10 @@ def grouped_links(held: DataFrame, budget: int, least: float | None = None) -> D
     """a, b: links within the groups of held (g, fp), each local component as a star on its smallest member. Rows (g, fp) are distinct,
     and a group fits a task.
 
-    With least, held is (g, side, id, fp, sketch), its links also need that likeness of sketches, and join ids. A group
-    has side 0 only, or two sides, between which links are sought.
+    With least, held is (g, side, id, fp, sketch), its links also need that likeness of sketches, and join ids. With a column set
+    too, they need that similarity of sets instead. A group has side 0 only, or two sides, between which links are sought.
     """
+    whole_sets = "set" in held.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -254,6 +281,7 @@ def grouped_links(held: DataFrame, budget: int, least: float | None = None) -> D
         g, fp = g[order], fp[order]
         ids = fp.view(np.int64) if least is None else b["id"].to_numpy()[order]
         sketches = None if least is None else np.frombuffer(b"".join(b["sketch"].to_numpy()[order]), np.uint8).reshape(-1, BINS)
+        sets = b["set"].to_numpy()[order] if whole_sets else None
         starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         ends = np.append(starts[1:], len(g))
         size, side = ends - starts, g[starts] % 2
@@ -280,7 +308,8 @@ def grouped_links(held: DataFrame, budget: int, least: float | None = None) -> D
                 continue
             at, back = np.unique(np.concatenate([x, y]), return_inverse=True)
             x, y = back[: len(x)], back[len(x) :]
-            root = spanning(len(at), x, y) if least is None else alike(sketches[at], x, y, least)
+            own = None if sets is None else [np.frombuffer(v, np.uint64) for v in sets[at]]
+            root = spanning(len(at), x, y) if least is None else alike(sketches[at], x, y, least, own)
             hit = root != np.arange(len(at))
             yield pd.DataFrame({"a": ids[at[root[hit]]], "b": ids[at[hit]]})
 
@@ -288,9 +317,10 @@ def grouped_links(held: DataFrame, budget: int, least: float | None = None) -> D
     return held.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(run, "a long, b long")
 
 
-def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = None) -> DataFrame:
+def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = None, sets: DataFrame | None = None) -> DataFrame:
     """a, b: links among kinds (id, fp, keys, sketch) that share one of their keys, differ in at most `budget` bits and have sketches of a
-    likeness of `least` or more.
+    likeness of `least` or more; with sets (id, set; rows may repeat), sets of that similarity. Sets travel only for the ids that sketches
+    leave a partner.
 
     For budgets that slices of the fingerprint can't serve. Texts of Jaccard similarity s share a given key with chance s. A group above
     `most` is cut into blocks, and every pair of blocks becomes a group of two sides: nothing is left out, and no task takes more than
@@ -308,7 +338,15 @@ def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = N
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.concat_ws("|", "g", F.least("own", "other"), F.greatest("own", "other"))
     held = held.unionByName(cut.select(pair.alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "fp"))
-    return grouped_links(held.join(kinds.select("id", "sketch"), "id"), budget, least)
+    sketches = kinds.select("id", "sketch")
+    if sets is None:
+        return grouped_links(held.join(sketches, "id"), budget, least)
+    held = written(held, "groups")
+    likely = grouped_links(held.join(sketches, "id"), budget, least - SLACK)
+    likely = written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "likely")
+    sets = written(sets.join(likely, "id", "left_semi").dropDuplicates(["id"]).join(sketches, "id"), "sets")
+    freed(kinds.sparkSession)
+    return grouped_links(held.join(sets, "id"), budget, least)
 
 
 def named(marked: DataFrame, by: str, linked: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -337,7 +375,7 @@ def near_clustered(docs: DataFrame, width: int, budget: int, keys: int, least: f
     marked = written(marks(docs, width, keys), "fingerprints")
     kinds = marked.groupBy("id").agg(F.min("doc_id").alias("first"), F.first(F.struct("fp", "keys", "sketch")).alias("of"))
     kinds = written(kinds.select("id", "first", "of.*"), "kinds")
-    return named(marked.select("doc_id", "id"), "id", near_links(kinds, budget, least), kinds.select("id", "first")).select("doc_id", "component_id")
+    return named(marked.select("doc_id", "id"), "id", near_links(kinds, budget, least, sets=marked.select("id", "set")), kinds.select("id", "first")).select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int, budget: int, keys: int, least: float = 0.8) -> DataFrame:

@@ -258,6 +258,26 @@ def test_near_links_of_one_shared_key(spark, most):
     assert {x.v for x in got} == set(range(30)) and len({x.root for x in got}) == 1
 
 
+def test_similarity_is_exact_at_the_threshold(spark):
+    """Pairs of long texts just above and just below the threshold, which sketches cannot tell apart."""
+    import corpus_pipeline as own
+
+    r, texts = random.Random(9), []
+    for k in range(80):
+        w = prose(r, 300).split()
+        v = list(w)
+        for at in range(5 + k % 4):
+            v[20 + 30 * at] = "klmnop"
+        texts += [" ".join(w), " ".join(v)]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    above = [len(a & b) / len(a | b) >= own.LEAST for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {x.doc_id: x.component_id for x in simhash.near_clustered(docs, own.SHINGLE, own.BITS, own.KEYS, own.LEAST).collect()}
+    one = [of[k] == of[k + 1] for k in range(0, len(texts), 2)]
+    assert sum(above) == 40 and not any(o and not a for o, a in zip(one, above, strict=True))
+    assert sum(one) >= 39  # one in 600 shares no key
+
+
 def test_near_copies_go_and_others_stay(spark):
     """By exact similarity of shingle sets: what is well above 0.8 is linked, what is below is not, in short texts too."""
     r = random.Random(8)
