@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import freed, written
@@ -93,8 +93,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used, same / np.maximum(used, 1), 1.0)
 
 
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of a row's values, nulls told apart. Values of map type, which have none, are left out."""
+    own = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*own, *[c.isNull() for c in own]).alias("mark")
+
+
 def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
-    """doc_id, id (a hash of the set of shingles), fp, keys (that many minima of rehashed shingle hashes), sketch, set
+    """doc_id, mark, id (a hash of the set of shingles), fp, keys (that many minima of rehashed shingle hashes), sketch, set
     (the distinct shingle hashes, sorted) for each row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,9 +114,9 @@ def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
                 rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(h), [int(x.min().astype(np.int64)) if len(x) else 0 for x in rehashed], sketch(u), u.tobytes()))
             ids, fps, least, sketches, sets = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             whole = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "id": whole(ids), "fp": whole(fps), "keys": least, "sketch": sketches, "set": sets})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "id": whole(ids), "fp": whole(fps), "keys": least, "sketch": sketches, "set": sets})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, id long, fp long, keys array<long>, sketch binary, set binary")
+    return docs.select(F.col("doc_id").cast("long"), row_mark(docs), "text").mapInPandas(run, "doc_id long, mark long, id long, fp long, keys array<long>, sketch binary, set binary")
 
 
 def trie_join(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, starts2: np.ndarray | None = None, ends2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -350,10 +356,11 @@ def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = N
 
 
 def named(marked: DataFrame, by: str, linked: DataFrame, kinds: DataFrame) -> DataFrame:
-    """marked with component_id, the smallest doc_id (first, in kinds) that links between values of the column `by` reach."""
+    """marked with root, which stands for all that links between values of the column `by` reach, and component_id, the smallest doc_id
+    (first, in kinds) of these."""
     roots = written(components(linked), "components")
     of = kinds.join(roots.withColumnRenamed("v", by), by, "left").select(by, "first", F.coalesce("root", by).alias("root"))
-    names = written(of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(by, "component_id"), "names")
+    names = written(of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(by, "root", "component_id"), "names")
     freed(marked.sparkSession)
     return marked.join(names, by)
 
@@ -369,22 +376,30 @@ def clustered(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> Data
     return named(marked, "fp", links(kinds.select("fp"), budget), kinds).select("doc_id", "fp", "component_id")
 
 
-def near_clustered(docs: DataFrame, width: int, budget: int, keys: int, least: float) -> DataFrame:
-    """doc_id, component_id for each row of docs, by the links of near_links. Texts of one set of shingles belong together; so do all texts
-    without a word, null ones included. Null ids, repeated rows and empty tables as in clustered."""
+def near_named(docs: DataFrame, width: int, budget: int, keys: int, least: float) -> DataFrame:
+    """doc_id, mark (of row_mark), root, component_id for each row of docs, by the links of near_links. Rows of one component have one root,
+    and a root has one component, null ids or not."""
     marked = written(marks(docs, width, keys), "fingerprints")
     kinds = marked.groupBy("id").agg(F.min("doc_id").alias("first"), F.first(F.struct("fp", "keys", "sketch")).alias("of"))
     kinds = written(kinds.select("id", "first", "of.*"), "kinds")
-    return named(marked.select("doc_id", "id"), "id", near_links(kinds, budget, least, sets=marked.select("id", "set")), kinds.select("id", "first")).select("doc_id", "component_id")
+    linked = near_links(kinds, budget, least, sets=marked.select("id", "set"))
+    return named(marked.select("doc_id", "mark", "id"), "id", linked, kinds.select("id", "first")).drop("id")
+
+
+def near_clustered(docs: DataFrame, width: int, budget: int, keys: int, least: float) -> DataFrame:
+    """doc_id, component_id for each row of docs, by the links of near_links. Texts of one set of shingles belong together; so do all texts
+    without a word, null ones included. Null ids, repeated rows and empty tables as in clustered."""
+    return near_named(docs, width, budget, keys, least).select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int, budget: int, keys: int, least: float = 0.8) -> DataFrame:
-    """docs with one row of each component of near_clustered: that of its smallest doc_id. Rows of null doc_id stay only where no other
-    row of their component does. Of equal rows, one stays. Columns are those of docs."""
-    found = near_clustered(docs, width, budget, keys, least)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id_")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"))
-    return rows.join(first, F.col("doc").eqNullSafe(F.col("id_"))).dropDuplicates(["doc"]).select("row.*")
+    """docs with one row of each component of near_clustered: that of its smallest doc_id, and of these, of the least hash of its values. A row
+    of null doc_id stays only where its component has no other. Of equal rows, one stays. Columns are those of docs."""
+    found = near_named(docs, width, budget, keys, least)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("of"))
+    first = first.select(F.col("of.doc_id").alias("id_"), F.col("of.mark").alias("mark_"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), row_mark(docs))
+    return rows.join(first, F.col("doc").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).dropDuplicates(["doc", "mark"]).select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -308,6 +308,15 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {k for k, v in of.items() if k == v}
 
 
+def test_unlike_texts_of_null_or_repeated_ids_stay(spark):
+    r = random.Random(10)
+    a, b, c, d, e = (prose(r, 60) for _ in range(5))
+    rows = [(None, a, "s"), (None, b, None), (None, c, "s"), (None, c, "s"), (7, d, "s"), (7, e, "s"), (9, b, "s"), (7, d, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = collected(simhash.deduplicated(docs, 5, 13, 4, 0.8))
+    assert kept == collections.Counter([(None, a, "s"), (9, b, "s"), (None, c, "s"), (7, d, "s"), (7, e, "s")])
+
+
 @pytest.mark.parametrize("most", [200, 2])
 def test_suffixes(spark, docs, rows, most, monkeypatch):
     monkeypatch.setattr(suffixes, "MOST", most)
