@@ -100,7 +100,7 @@ def row_mark(docs: DataFrame) -> Column:
 
 
 def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
-    """doc_id, mark, id (a hash of the set of shingles), fp, keys (that many minima of rehashed shingle hashes), sketch, set
+    """doc_id, mark, id (a hash of the set of shingles), fp (of that set too), keys (that many minima of rehashed shingle hashes), sketch, set
     (the distinct shingle hashes, sorted) for each row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +111,7 @@ def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
                 h = hashed(t or "", width)
                 u = np.unique(h)
                 rehashed = ((u * f) ^ (u * f) >> np.uint64(31) for f in factors)
-                rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(h), [int(x.min().astype(np.int64)) if len(x) else 0 for x in rehashed], sketch(u), u.tobytes()))
+                rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(u), [int(x.min().astype(np.int64)) if len(x) else 0 for x in rehashed], sketch(u), u.tobytes()))
             ids, fps, least, sketches, sets = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             whole = lambda x: np.array(x, np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "id": whole(ids), "fp": whole(fps), "keys": least, "sketch": sketches, "set": sets})

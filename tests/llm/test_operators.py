@@ -308,6 +308,16 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {k for k, v in of.items() if k == v}
 
 
+def test_marks_of_one_set_of_shingles(spark):
+    """A text's repeats of a passage change neither its set nor its fingerprint."""
+    r = random.Random(11)
+    w = prose(r, 9)
+    tail = prose(r, 30)
+    docs = spark.createDataFrame([(k, " ".join([w] * (k + 2) + [tail])) for k in range(6)], "doc_id long, text string")
+    got = simhash.marks(docs, 5, 4).collect()
+    assert len({x.id for x in got}) == 1 and len({x.fp for x in got}) == 1
+
+
 def test_unlike_texts_of_null_or_repeated_ids_stay(spark):
     r = random.Random(10)
     a, b, c, d, e = (prose(r, 60) for _ in range(5))
