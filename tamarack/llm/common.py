@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,10 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a run on one machine, as in tests, gets a temporary
+    one until it ends; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "tamarack-scratch")
+        if not (spark.conf.get("spark.master", None) or spark.sparkContext.master).startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tamarack-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tamarack"
 
@@ -29,19 +34,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame | None) -> None:
-    """Deletes a scratch table that no later step reads."""
-    if df is None:
-        return
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/tamarack/" in path:
-            at = hadoop(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables of written() that no later step reads."""
+    for df in tables:
+        path = df is not None and df.__dict__.get("scratch_path")
+        if path:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def freed(spark: SparkSession) -> None:

@@ -1,18 +1,19 @@
 """Operator 7: removes every byte that lies in a long string which starts more than once.
 
 All suffixes of a corpus, sorted by the difference-cover algorithm, would move tens of bytes for each byte of text. Two equal strings
-of LENGTH bytes need only meet in one sort, though. So:
-1. Anchors. Of the ANCHOR-byte windows of each LENGTH-byte string, those of least hash are its anchors; equal strings have equal
+of LENGTH bytes need only meet in one sort, though, and what they are known to share need not be sorted again. So:
+1. Anchors. Of the ANCHOR-byte windows of each LENGTH-byte string, the first of least hash is its anchor; equal strings have equal
    anchors at equal places. About one byte in 150 starts an anchor, and only these travel.
-2. Contexts. All strings that an anchor is least in lie in the bytes around it. Where the whole context occurs twice, all of it
-   goes, and one of the equal contexts stands for them from then on. Anchors that occur once are done.
-3. Suffix arrays. The distinct contexts of an anchor meet in one bundle, whose suffixes are sorted by the difference-cover
-   algorithm: triples at places 1 and 2 mod 3 are sorted and named, their names sorted in turn by recursion, the remaining suffixes sorted by
-   their byte and the name behind it, and both merged. Neighbours whose prefixes of LENGTH bytes agree (by 64-bit hashes),
-   at two places of the corpus, go.
-4. Anchors with too many distinct contexts for one task are split by where strings begin before them: the strings of a range of
-   beginnings share their middle bytes, so contexts without a twin there are done, those that agree on the whole range
-   go, and the others' range is halved.
+2. Contexts. All strings that one anchor is least in lie in the bytes around it. Where the whole context occurs twice, all of it
+   goes, and one of the equal contexts stands for them from then on. Anchors with one context alone are done.
+3. Names. The strings of a context that begin in one of PARTS ranges before the anchor all hold the same middle bytes, 325 of
+   400. A middle gets a name; a range whose name occurs once has no repeat, and goes no further. In a range that does go on, the
+   middle is one letter, its name, with at most 75 bytes to either side.
+4. Suffix sort. Ranges of one name meet in one bundle, whose suffixes are sorted by the difference-cover algorithm: triples at places 1
+   and 2 mod 3 are sorted and named, their names sorted in turn by recursion, the remaining suffixes sorted by their letter
+   and the name behind it, and both merged. Neighbours whose prefixes agree, letter by letter, over the length of a string, go.
+5. Names with too many ranges for one task: such ranges are halved, which makes the middle longer and its names rarer, until
+   they are few enough or one string is left of each range, which its name alone decides.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import freed, written
+from tamarack.llm.common import dropped, freed, written
 
-LENGTH, ANCHOR, BUNDLE, MOST = 400, 100, 100_000, 200
+LENGTH, ANCHOR, PARTS, BUNDLE, MOST, PIECE = 400, 100, 4, 100_000, 4096, 1 << 18
 REACH = LENGTH - ANCHOR
 BASE, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LETTERS = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,45 +60,105 @@ def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(b: np.ndarray, ends: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Where anchors start, their hashes, and how many bytes before and behind an anchor belong to strings that it anchors.
 
-    Those strings begin at a run of places, as a lesser hash to either side ends them, equal hashes or not."""
+    b: texts behind each other, which end at `ends`. Strings start within a text at first..last of b. Those of one anchor begin at a run of
+    places, as a lesser hash to either side ends them, or an equal one before."""
+    none = np.empty(0, np.int64)
+    if len(b) < LENGTH:
+        return none, none.astype(np.uint64), none, none
     h = window_hashes(b)
     least = sliding(h, REACH + 1, np.minimum)
-    none = np.zeros(REACH, np.uint64)
-    at = np.flatnonzero(sliding(np.concatenate([none, least, none]), REACH + 1, np.maximum) == h)
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    ends, value = np.append(starts[1:], len(least)) - 1, least[starts]
+    starts = np.append(0, ends[:-1])
+    valid = np.zeros(len(b) + 1, np.int8)  # starts of strings that end within their text
+    long = ends - starts >= LENGTH
+    np.add.at(valid, starts[long], 1)
+    np.add.at(valid, ends[long] - LENGTH + 1, -1)
+    ok = np.cumsum(valid, dtype=np.int8)[: len(least)] > 0
+    ok[:first] = False
+    if last is not None:
+        ok[last + 1 :] = False
+    least[~ok] = 0
+    pad = np.zeros(REACH, np.uint64)
+    at = np.flatnonzero((sliding(np.concatenate([pad, least, pad]), REACH + 1, np.maximum) == h) & (h > 0))
+    if not len(at):
+        return none, none.astype(np.uint64), none, none
+    begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    end, value = np.append(begin[1:], len(least)) - 1, least[begin]
     low, high = np.maximum(at - REACH, 0), np.minimum(at, len(least) - 1)
-    run = np.searchsorted(starts, low, "right") - 1
+    run = np.searchsorted(begin, low, "right") - 1
     seek = np.flatnonzero(value[run] != h[at])
     while len(seek):
         run[seek] += 1
         seek = seek[value[run[seek]] != h[at[seek]]]
-    left, first = at - np.maximum(low, starts[run]), at - np.minimum(high, ends[run])
-    return at, h[at], left, REACH - first
+    low, high = np.maximum(low, begin[run]), np.minimum(high, end[run])
+    # of equal hashes in one string, the first is its anchor
+    again = np.flatnonzero(h[at[1:]] == h[at[:-1]]) + 1
+    low[again] = np.maximum(low[again], at[again - 1] + 1)
+    own = low <= high
+    at, low, high = at[own], low[own], high[own]
+    return at, h[at], at - low, REACH - (at - high)
+
+
+def pieces(raws: list[bytes]) -> Iterator[tuple[list[int], bytes, int, int | None, int]]:
+    """Texts' numbers, their bytes behind each other, the first and last start of a string, and where in the text these bytes begin: many short texts
+    at once, a long text in parts that overlap, so that memory is bounded."""
+    some, size = [], 0
+    for k, raw in enumerate(raws):
+        if len(raw) < LENGTH:
+            continue
+        if len(raw) > 2 * PIECE:
+            for at in range(0, len(raw) - LENGTH + 1, PIECE):  # REACH bytes before the first start let anchors see equal ones
+                yield [k], raw[at : at + PIECE + LENGTH - 1], 0, PIECE - 1, at
+            continue
+        if size + len(raw) > PIECE and some:
+            yield some, b"".join(raws[x] for x in some), 0, None, 0
+            some, size = [], 0
+        some.append(k)
+        size += len(raw)
+    if some:
+        yield some, b"".join(raws[x] for x in some), 0, None, 0
+
+
+def contexts_of(raws: list[bytes]) -> Iterator[pd.DataFrame]:
+    """of (number of the text), at, left, right, h, c (hash of the context), n, self for the texts' anchors. Of equal contexts in one piece, the first
+    stands for all n, and self has the spans of their bytes, start and end by turns."""
+    digest = xxhash.xxh3_64_intdigest
+    for some, raw, first, last, shift in pieces(raws):
+        ends = np.cumsum([len(raws[x]) for x in some]) if last is None else np.array([len(raw)])
+        at, h, left, right = anchors(np.frombuffer(raw, np.uint8), ends, first, last)
+        if not len(at):
+            continue
+        c = np.array([digest(raw[a - lo : a + ANCHOR + hi], lo) for a, lo, hi in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64)
+        of = np.searchsorted(ends, at, "right")
+        order = np.lexsort((at, c, h, of))
+        one = lambda x: x[order]
+        new = np.concatenate([[True], (one(of)[1:] != one(of)[:-1]) | (one(h)[1:] != one(h)[:-1]) | (one(c)[1:] != one(c)[:-1])])
+        begin = np.flatnonzero(new)
+        n = np.diff(np.append(begin, len(order)))
+        own = at + shift - np.append(0, ends)[of]
+        kept = order[begin]
+        spans: list[list[int] | None] = [None] * len(begin)
+        for k in np.flatnonzero(n > 1):
+            x = order[begin[k] : begin[k] + n[k]]
+            spans[k] = [v for s in merged(own[x] - left[x], own[x] + ANCHOR + right[x]) for v in s]
+        yield pd.DataFrame({"of": np.array(some)[of[kept]], "at": own[kept], "left": left[kept], "right": right[kept], "h": h[kept].view(np.int64), "c": c[kept].view(np.int64), "n": n, "self": spans})
 
 
 def all_anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, x (of the text), at, left, right, h, c: the anchors of texts of LENGTH bytes or more, how far their contexts reach, and the
-    hash of the context."""
+    """x, y (of the text), at, left, right, h, c, n, self: the contexts of all texts of LENGTH bytes or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
         for d in batches:
-            out = []
-            for i, x, text in zip(d["doc_id"], d["x"], d["text"], strict=True):
-                raw = text.encode()
-                if len(raw) < LENGTH:
-                    continue
-                at, h, left, right = anchors(np.frombuffer(raw, np.uint8))
-                c = np.array([digest(raw[a - lo : a + ANCHOR + hi], lo) for a, lo, hi in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64)
-                out.append(pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i)] * len(at), "Int64"), "x": x, "at": at, "left": left, "right": right, "h": h.view(np.int64), "c": c.view(np.int64)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            x, y = d["x"].to_numpy(), d["y"].to_numpy()
+            for found in contexts_of([t.encode() for t in d["text"]]):
+                of = found.pop("of").to_numpy()
+                found.insert(0, "x", x[of])
+                found.insert(1, "y", y[of])
+                yield found
 
-    return docs.mapInPandas(run, "doc_id long, x long, at int, left int, right int, h long, c long")
+    return docs.select("x", "y", "text").mapInPandas(run, "x long, y long, at int, left int, right int, h long, c long, n long, self array<int>")
 
 
 def ordered(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,31 +216,6 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(contexts: list[bytes], places: list[tuple]) -> list[np.ndarray]:
-    """For each context, the starts of its LENGTH-byte strings that also start elsewhere. places: (document, place) of each
-    context's first byte; one place of one document may lie in several contexts and is no repeat of itself."""
-    lengths = np.array([len(c) for c in contexts])
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    t = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 2
-    t[starts[1:] - 1] = 1
-    of = np.repeat(np.arange(len(contexts)), lengths + 1)
-    place = np.arange(len(t)) - starts[of]
-    sa = suffix_array(t)
-    sa = sa[place[sa] + LENGTH <= lengths[of[sa]]]
-    prefix = window_hashes((t - 2).astype(np.uint8), LENGTH)[sa] if len(sa) else sa
-    same = prefix[1:] == prefix[:-1]
-    cls = np.concatenate([[0], np.cumsum(~same)]) if len(sa) else np.empty(0, np.int64)
-    docs = {d: k for k, d in enumerate(dict.fromkeys(p[0] for p in places))}
-    where = np.array([docs[p[0]] for p in places])[of[sa]] * (1 << 40) + np.array([p[1] for p in places])[of[sa]] + place[sa]
-    low, high = (np.full(int(cls[-1]) + 1 if len(cls) else 0, v) for v in (1 << 62, -1))
-    np.minimum.at(low, cls, where)
-    np.maximum.at(high, cls, where)
-    hit = sa[low[cls] < high[cls]]
-    hit = hit[np.argsort(hit)]
-    cuts = np.searchsorted(hit, starts)
-    return [hit[cuts[k] : cuts[k + 1]] - starts[k] for k in range(len(contexts))]
-
-
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Overlapping or touching spans as one, in order."""
     order = np.lexsort((ends, starts))
@@ -189,114 +225,171 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 MARK = "h long, c long, start int, end int"
+RANGE = "h long, c long, k long, base int, width int, lo int, hi int, before binary, behind binary"
+EDGES = [round(k * (REACH + 1) / PARTS) for k in range(PARTS + 1)]
 
 
-def sorted_bundles(contexts: DataFrame) -> DataFrame:
-    """h, c, start, end: removed spans, counted from the anchor. contexts: h, c, doc_id, x, at, left, raw; each anchor's are few enough for
-    one task, and share one partition."""
+def ranges(texts: DataFrame) -> DataFrame:
+    """The ranges of the contexts that texts (text, asked: h, c, at, left, right) are asked for. Strings of a range begin base + lo .. base + hi bytes before
+    the anchor, of at most width such places; k is the name of their middle; before and behind are the bytes around it."""
 
-    def solve(b: pd.DataFrame) -> pd.DataFrame:
-        found = repeated(list(b["raw"]), [((i, x), a - lo) for i, x, a, lo in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["x"], b["at"], b["left"], strict=True)])
-        rows = [(h, c, s - lo, e - lo) for h, c, lo, f in zip(b["h"], b["c"], b["left"], found, strict=True) for s, e in merged(f, f + LENGTH)]
-        return pd.DataFrame(rows, columns=["h", "c", "start", "end"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = lambda x, seed: xxhash.xxh3_64_intdigest(x, seed) - (1 << 63)
+        for b in batches:
+            rows = []
+            for text, want in zip(b["text"], b["asked"], strict=True):
+                raw = text.encode()
+                for w in want:
+                    at, low, high = w["at"], REACH - w["right"], w["left"]
+                    for e, end in zip(EDGES[:-1], EDGES[1:], strict=True):
+                        lo, hi = max(low, e) - e, min(high, end - 1) - e
+                        if lo <= hi:
+                            to = at + LENGTH - end + 1
+                            rows.append((w["h"], w["c"], digest(raw[at - e : to], e), e, end - e, lo, hi, raw[at - e - hi : at - e], raw[to : at + LENGTH - e - lo]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RANGE.split(", ")])
+
+    return texts.mapInPandas(run, RANGE)
+
+
+def repeated(groups: np.ndarray, width: np.ndarray, lo: np.ndarray, hi: np.ndarray, before: list[bytes], behind: list[bytes]) -> list[np.ndarray]:
+    """For each range, how far before the middle its repeated strings begin, ascending. Ranges of one group have one middle and one width.
+
+    A range is written as its bytes before the middle, the group's letter and the bytes behind. A string is as many letters as the
+    range is wide, and takes in the group's letter. So strings that agree are of one group and begin equally far before the middle,
+    and no two of one range do."""
+    own = [a + b"\0" + b + b"\0" for a, b in zip(before, behind, strict=True)]
+    lengths = np.array([len(x) for x in own])
+    starts = np.cumsum(lengths) - lengths
+    t = np.frombuffer(b"".join(own), np.uint8).astype(np.int64) + 2
+    t[starts + lengths - 1] = 1
+    t[starts + hi] = 258 + groups
+    sa = suffix_array(t)
+    of = np.repeat(np.arange(len(own)), lengths)
+    place = np.arange(len(t)) - starts[of]
+    sa = sa[place[sa] <= (hi - lo)[of[sa]]]  # where strings start
+    a, b = sa[:-1], sa[1:]
+    ahead = hi[of[sa]] - place[sa]  # letters before the group's
+    pair = np.flatnonzero((groups[of[a]] == groups[of[b]]) & (ahead[:-1] == ahead[1:]))
+    wide = width[of[a[pair]]]
+    for k in range(int(wide.max()) if len(pair) else 0):  # compare adjacent prefixes, letter by letter
+        same = (k >= wide) | (t[np.minimum(a[pair] + k, len(t) - 1)] == t[np.minimum(b[pair] + k, len(t) - 1)])
+        pair, wide = pair[same], wide[same]
+    hit = np.zeros(len(sa), bool)
+    hit[pair] = hit[pair + 1] = True
+    at, far = of[sa[hit]], ahead[hit]
+    order = np.lexsort((far, at))
+    return np.split(far[order], np.searchsorted(at[order], np.arange(1, len(own))))
+
+
+def solved(b: pd.DataFrame) -> pd.DataFrame:
+    """The removed spans, counted from the anchor, of ranges (RANGE) that come group by group. Equal ranges are sorted as one and a copy, as two
+    of a kind suffice."""
+    new = (b["h"].to_numpy()[1:] != b["h"].to_numpy()[:-1]) | (b["k"].to_numpy()[1:] != b["k"].to_numpy()[:-1])
+    group = np.concatenate([[0], np.cumsum(new)])
+    seen: dict[tuple, int] = {}
+    kind = np.array([seen.setdefault(x, len(seen)) for x in zip(group.tolist(), b["lo"], b["hi"], b["before"], b["behind"], strict=True)])
+    once, first, n = np.unique(kind, return_index=True, return_counts=True)
+    d = b.iloc[first]
+    found = repeated(group[first], *(d[c].to_numpy() for c in ("width", "lo", "hi")), list(d["before"]), list(d["behind"]))
+    spans = []
+    for f, many, lo, hi, base in zip(found, n.tolist(), d["lo"], d["hi"], d["base"], strict=True):
+        far = np.arange(lo, hi + 1) if many > 1 else f
+        spans.append(merged(-(base + far), LENGTH - base - far))
+    out = [(h, c, s, e) for h, c, k in zip(b["h"], b["c"], kind.tolist(), strict=True) for s, e in spans[k]]
+    return pd.DataFrame(out, columns=["h", "c", "start", "end"])
+
+
+def sorted_bundles(rows: DataFrame) -> DataFrame:
+    """h, c, start, end: removed spans, counted from the anchor. rows: RANGE; those of one name are few enough for one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            size, h = np.cumsum([len(x) for x in b["raw"]]), b["h"].to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.cumsum(b["before"].str.len().to_numpy() + b["behind"].str.len().to_numpy() + 2)
+            h, k = b["h"].to_numpy(), b["k"].to_numpy()
             start = 0
-            for k in cut[1:]:
-                if size[k - 1] - (size[start - 1] if start else 0) >= BUNDLE:
-                    yield solve(b.iloc[start:k])
-                    start = k
+            for cut in np.flatnonzero((h[1:] != h[:-1]) | (k[1:] != k[:-1])) + 1:
+                if size[cut - 1] - (size[start - 1] if start else 0) >= BUNDLE:
+                    yield solved(b.iloc[start:cut])
+                    start = cut
             rest = b.iloc[start:]
         if rest is not None and len(rest):
-            yield solve(rest)
-
-    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(parts, "h").sortWithinPartitions("h").mapInPandas(run, MARK)
-
+            yield solved(rest)
 
-def halved(contexts: DataFrame) -> DataFrame:
-    """As sorted_bundles, for anchors with any number of contexts. first..last: how far before the anchor strings begin."""
-    spark = contexts.sparkSession
-    rows = written(contexts.select("h", "c", "left", "raw", F.lit(0).alias("first"), F.lit(REACH).alias("last")), "ranges")
-    marks = None
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "h", "k").sortWithinPartitions("h", "k").mapInPandas(run, MARK)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
-        for b in batches:
-            inner, outer = [], []
-            for lo, raw, first, last in zip(b["left"], b["raw"], b["first"], b["last"], strict=True):
-                right = len(raw) - lo - ANCHOR
-                inner.append(digest(raw[lo - first : lo + ANCHOR + REACH - last]))
-                whole = last <= lo and REACH - first <= right
-                outer.append(digest(raw[lo - last : lo + ANCHOR + REACH - first]) if whole else None)
-            b["inner"], b["outer"] = inner, pd.array(outer, "Int64")
-            yield b
 
+def narrowed(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of ranges whose names are shared by 2 to `most`, and of spans found on the way. Ranges of more frequent names are halved: the
+    bytes that all strings of a half share join the middle, and its name."""
+    small, marks = [], []
     while True:
-        valid = rows.filter((F.col("first") <= F.col("left")) & (F.col("last") >= REACH - (F.length("raw") - F.col("left") - ANCHOR)))
-        keyed = written(valid.mapInPandas(hashed, "h long, c long, left int, raw binary, first int, last int, inner long, outer long"), "ranges")
-        whole = keyed.filter("outer is not null").groupBy("h", "first", "last", "inner", "outer").agg(F.count("*").alias("twins"), F.min("c").alias("one"))
-        on = ["h", "first", "last", "inner"]
-        got = keyed.join(whole, on + ["outer"], "left").select(*[keyed[c] for c in keyed.columns], "twins", "one")
-        done = got.filter("twins > 1").select("h", "c", (-F.col("last")).alias("start"), (F.lit(LENGTH) - F.col("first")).alias("end"))
-        marks = written(done, "marks") if marks is None else marks.unionByName(written(done, "marks"))
-        left = got.filter("twins is null or c = one")
-        more = left.groupBy(*on).agg(F.count("*").alias("n")).filter("n > 1")
-        middle = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("first").alias("first"), middle.alias("last")), F.struct((middle + 1).alias("first"), F.col("last").alias("last")))
-        rows = written(left.filter("first < last").join(more, on, "left_semi").select("h", "c", "left", "raw", F.explode(halves).alias("r")).select("h", "c", "left", "raw", "r.*"), "ranges")
-        if rows.isEmpty():
-            return marks
-
-
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, x, spans: the removed spans of each text that has any. docs: doc_id, x, text."""
-    found = written(all_anchors(docs), "anchors")
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "x", "at", "left", "right")).alias("one"))
-    kinds = written(kinds, "contexts")
-    again = written(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).filter("all > 1"), "again")
-    freed(docs.sparkSession)
-    whole = kinds.filter("n > 1").select("h", "c", (-F.col("one.left")).alias("start"), (F.lit(ANCHOR) + F.col("one.right")).alias("end"))
-    unlike = kinds.join(again.filter("kinds > 1").select("h", "kinds"), "h").select("h", "c", "kinds", "one.*")
-    asked = unlike.groupBy("doc_id", "x").agg(F.collect_list(F.struct("h", "c", "kinds", "at", "left", "right")).alias("asked"))  # a text's own anchors
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, x, text, want in zip(b["doc_id"], b["x"], b["text"], b["asked"], strict=True):
-                raw = text.encode()
-                rows += [(w["h"], w["c"], w["kinds"], None if pd.isna(i) else i, x, w["at"], w["left"], raw[w["at"] - w["left"] : w["at"] + ANCHOR + w["right"]]) for w in want]
-            yield pd.DataFrame(rows, columns=["h", "c", "kinds", "doc_id", "x", "at", "left", "raw"]).astype({"doc_id": "Int64"})
-
-    ids = asked.withColumnsRenamed({"doc_id": "id_", "x": "x_"})
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("x") == F.col("x_"))).select("doc_id", "x", "text", "asked")
-    contexts = written(texts.mapInPandas(cut, "h long, c long, kinds long, doc_id long, x long, at int, left int, raw binary"), "bytes")
-    freed(docs.sparkSession)
-    marks = whole.unionByName(sorted_bundles(contexts.filter(F.col("kinds") <= MOST)))
-    large = contexts.filter(F.col("kinds") > MOST)
-    if not large.isEmpty():
-        marks = marks.unionByName(halved(large.dropDuplicates(["h", "c"])))
-    spans = written(marks.groupBy("h", "c").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")  # of one context: REACH at most
-    freed(docs.sparkSession)
-    own = found.join(spans, ["h", "c"]).select("doc_id", "x", F.inline(F.transform("spans", lambda s: F.struct((F.col("at") + s["start"]).alias("start"), (F.col("at") + s["end"]).alias("end")))))
-    return own.groupBy("doc_id", "x").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
-def cleaned(docs: DataFrame) -> DataFrame:
+        names = written(rows.groupBy("h", "k").agg(F.count("*").alias("all")).filter("all > 1"), "names")
+        small.append(rows.join(names.filter(F.col("all") <= most).select("h", "k"), ["h", "k"], "left_semi"))
+        often = names.filter(F.col("all") > most).select("h", "k")
+        if often.isEmpty():
+            return small, marks
+        large = written(rows.join(often, ["h", "k"], "left_semi"), "ranges")
+        start = -(F.col("base") + F.col("lo"))
+        marks.append(large.filter("width = 1").select("h", "c", start.alias("start"), (start + LENGTH).alias("end")))  # a string each, and all alike
+        half = F.floor(F.col("width") / 2).cast("int")
+
+        def part(low: bool, half=half):  # places 0..half-1 before the middle, or the others
+            end = half if low else F.col("width")
+            begin = F.lit(0) if low else half
+            lo, hi = F.greatest("lo", begin) - begin, F.least("hi", end - 1) - begin
+            # strings share `begin` bytes before the old middle, and width - end behind it
+            near, far = F.lit(begin), F.col("width") - end
+            n, m = F.length("before"), F.length("behind")
+            new = F.xxhash64("k", F.lit(low), F.substring(F.col("before"), n - near + 1, near), F.substring(F.col("behind"), F.lit(1), far))
+            before = F.substring(F.col("before"), n - near - hi + 1, hi)
+            behind = F.substring(F.col("behind"), far + 1, F.least(m - far, end - begin - 1 - lo))
+            return F.when(hi >= lo, F.struct("h", "c", new.alias("k"), (F.col("base") + begin).alias("base"), (end - begin).alias("width"), lo.alias("lo"), hi.alias("hi"), before.alias("before"), behind.alias("behind")))
+
+        parts = large.filter("width > 1").select(F.explode(F.array(part(True), part(False))).alias("r")).filter("r is not null").select("r.*")
+        rows = written(parts, "ranges")
+
+
+def marked(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """x, y, spans: the removed spans of each text that has any. docs: x, y, text; x and y name the text."""
+    spark, text = docs.sparkSession, ["x", "y"]
+    found = written(all_anchors(docs).withColumn("place", F.monotonically_increasing_id()), "anchors")
+    kinds = written(found.groupBy("h", "c").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("place", "left", "right")]), "contexts")
+    unlike = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
+    ones = kinds.join(unlike, "h", "left_semi").select("place")
+    asked = found.join(ones, "place", "left_semi").groupBy(*text).agg(F.collect_list(F.struct("h", "c", "at", "left", "right")).alias("asked"))  # a text's own anchors
+    rows = written(ranges(docs.join(asked, text).dropDuplicates(text)), "ranges")
+    freed(spark)
+    small, marks = narrowed(rows, most or MOST)
+    few = small[0]
+    for more in small[1:]:
+        few = few.unionByName(more)
+    every = kinds.filter("n > 1").select("h", "c", (-F.col("left")).alias("start"), (F.lit(ANCHOR) + F.col("right")).alias("end"))
+    for more in [sorted_bundles(few), *marks]:
+        every = every.unionByName(more)
+    every = written(every, "marks")
+    dropped(rows, kinds)
+    freed(spark)
+    own = found.select(*text, "at", "h", "c").join(every, ["h", "c"]).select(*text, (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("self") - 2, F.lit(2)), lambda k: F.struct(F.get("self", k).alias("start"), F.get("self", k + 1).alias("end")))
+    selves = found.filter("self is not null").select(*text, F.inline(pairs))
+    return own.unionByName(selves).groupBy(*text).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def cleaned(docs: DataFrame, most: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed, in bytes), kept (the remaining bytes) for each row of docs.
 
     Null texts count as empty. Equal texts of LENGTH bytes or more go wholly. Texts that are shorter have nothing to
-    remove. A null doc_id is an id like any other. An empty table gives an empty table.
+    remove. A null doc_id is an id like any other. An empty table gives an empty table. What goes depends on texts alone, so that rows
+    of equal texts, of one doc_id or not, get equal results. Long texts are taken in overlapping pieces, and of the many equal
+    contexts of a text of one letter, one travels.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("x", F.xxhash64("text"))
-    spans = marked(own).withColumnsRenamed({"doc_id": "id_", "x": "x_"})
-    both = own.join(spans, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("x") == F.col("x_")), "left").select("doc_id", "text", "spans")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    own = own.withColumn("x", F.xxhash64("text")).withColumn("y", F.xxhash64(F.lit(1), "text"))
+    both = own.join(marked(own.select("x", "y", "text"), most), ["x", "y"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -308,7 +401,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 n.append(len(raw))
                 spans.append([{"start": s, "end": e} for s, e in one])
                 kept.append(b"".join(raw[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": n, "spans": spans, "kept": kept})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": n, "spans": spans, "kept": kept})
 
     return both.mapInPandas(run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
