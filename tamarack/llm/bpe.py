@@ -1,14 +1,14 @@
 """Operator 4: byte-pair encoding and decoding through a tokenization automaton.
 
 The automaton's arcs are tokens; a token sequence is a path exactly if it is what the merges make of its bytes.
-It starts as one state with a loop for every byte. Each merge (u, v) -> w, in order of rank, adds a gadget:
-the arc v goes from the state behind u, and an arc w runs beside each path u v, into a state that goes on as the state
-behind v did. Tables keep the gadgets (parts of w, rank of w, rank of the pair); an arc's presence is looked up in
-them when first asked and then remembered, as all 50,257 x 50,257 arcs would take gigabytes.
-
-As a path is right exactly if each of its arcs is there, every prefix of a word has one path, and a word is
-encoded from left to right: from each byte offset, a byte trie lists the tokens that start there, and the automaton
-says which of them may follow the token that ends there.
+It starts as one state with a loop for every byte. Each merge (u, v) -> w, in order of rank, adds a gadget: from the states behind
+tokens that still end in u when the merge comes, the arcs of tokens that still begin with v go, and the arc w, with a state
+behind it, runs beside the path u v. All gadgets are compiled into one table beforehand: a row of bits, of the arcs that are gone, for each
+state; tokens behind which the same arcs are gone share a state.
+
+As a path is right exactly if each of its arcs is there, every prefix of a word has one path. A word is encoded from left to right, without
+search: at each byte offset the automaton is in one state, the tokens that start there are read off a byte trie, and the state's row
+says which of them are arcs; the arc that ends at an offset sets the state there. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the published pattern that splits text before byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORDS_KEPT, ARCS_KEPT, LONG = 1 << 18, 1 << 19, 64
+WORDS_KEPT, LONG = 1 << 17, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -45,101 +46,125 @@ class MergeAutomaton:
         self.labels = [labels.get(i, b"") for i in range(size)]
         for text, i in self.special.items():
             self.labels[i] = text.encode()
-        self.left, self.right, self.made = [-1] * size, [-1] * size, [-1] * size
-        self.size, self.pairs = size, {}
-        for rank, (u, v, w) in enumerate(merges):
-            if self.made[w] >= 0 or self.pairs.setdefault(u * size + v, rank) != rank:
-                raise ValueError(f"merge {rank} makes a token or takes a pair a second time")
-            self.left[w], self.right[w], self.made[w] = u, v, rank
+        used = set(self.special.values())
+        own = [i for i, label in enumerate(self.labels) if label and i not in used]
+        self._compile(own, merges)
         self.goes: dict[int, int] = {}
         self.token: list[int] = [-1]
-        used = set(self.special.values())
-        for i, label in enumerate(self.labels):
-            if label and i not in used:
-                at = 0
-                for b in label:
-                    nxt = self.goes.get(at << 8 | b)
-                    if nxt is None:
-                        nxt = self.goes[at << 8 | b] = len(self.token)
-                        self.token.append(-1)
-                    at = nxt
-                self.token[at] = i
+        for i in own:
+            at = 0
+            for b in self.labels[i]:
+                nxt = self.goes.get(at << 8 | b)
+                if nxt is None:
+                    nxt = self.goes[at << 8 | b] = len(self.token)
+                    self.token.append(-1)
+                at = nxt
+            self.token[at] = i
         self.split = regex.compile(SPLIT)
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.arcs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
+
+    def _compile(self, own: list[int], merges: list[tuple[int, int, int]]) -> None:
+        """The states: state[t] behind token t, gone[s] the row of state s, at[x] the place of arc x in a row (-1: it never goes)."""
+        size, last = len(self.labels), len(merges)
+        left, right, made = np.full(size, -1), np.full(size, -1), np.full(size, -1)
+        for rank, (u, v, w) in enumerate(merges):
+            if made[w] >= 0:
+                raise ValueError(f"merge {rank} makes a token a second time")
+            left[w], right[w], made[w] = u, v, rank
+
+        def ends(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Tokens by what they end in (or begin with), sorted by it, and the merge that takes it up; `last` if none does."""
+            t = np.array(own)
+            x, until, out = t, np.full(len(t), last), []
+            while len(t):
+                out.append((x, t, until))
+                more = made[x] >= 0
+                t, x = t[more], x[more]
+                until, x = made[x], of[x]
+            x, t, until = map(np.concatenate, zip(*out, strict=True))
+            order = np.argsort(x, kind="stable")
+            return x[order], t[order], until[order]
+
+        behind, before = ends(right), ends(left)
+        # arcs that begin alike are neighbours in a row, so that a gadget takes away a short piece of it
+        place = np.full(size, -1)
+        place[sorted(own, key=self.labels.__getitem__)] = np.arange(len(own))
+        pairs = np.array(merges, np.int64).reshape(-1, 3)
+        cut = lambda x, of: (np.searchsorted(of[0], x), np.searchsorted(of[0], x, "right"))
+        gone_at = np.zeros(len(own), bool)
+        gadgets = []
+        for rank, (u, v, a, b, c, d) in enumerate(zip(pairs[:, 0].tolist(), pairs[:, 1].tolist(), *(x.tolist() for x in (*cut(pairs[:, 0], behind), *cut(pairs[:, 1], before))), strict=True)):
+            tails = behind[1][a:b][behind[2][a:b] > rank]
+            # of three like tokens the first two merge, so the third is still there for the same merge
+            arcs = place[before[1][c:d][before[2][c:d] > rank - (u == v)]]
+            gadgets.append((tails, arcs))
+            gone_at[arcs] = True
+        near = np.where(gone_at, np.cumsum(gone_at) - 1, -1)
+        width = int(gone_at.sum()) + 7 >> 3
+        rows = np.zeros((size, width), np.uint8)
+        for tails, arcs in gadgets:
+            if len(tails) and len(arcs):
+                arcs = near[arcs]
+                lo, hi = int(arcs.min()) >> 3, (int(arcs.max()) >> 3) + 1
+                piece = np.zeros((hi - lo) * 8, bool)
+                piece[arcs - lo * 8] = True
+                rows[tails, lo:hi] |= np.packbits(piece, bitorder="little")
+        states: dict[bytes, int] = {bytes(width): 0}
+        self.state = [states.setdefault(row.tobytes(), len(states)) for row in rows]
+        self.gone = list(states)
+        self.at = np.where(place >= 0, near[place], -1).tolist()
 
     def arc(self, t: int, x: int) -> bool:
         """Whether token x may follow token t."""
-        key = t * self.size + x
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= ARCS_KEPT:
-                self.arcs.clear()
-            found = self.arcs[key] = self._arc(t, x)
-        return found
-
-    def _arc(self, t: int, x: int) -> bool:
-        made, left, right, pairs, before = self.made, self.left, self.right, self.pairs, len(self.pairs)
-        while True:
-            rank = pairs.get(t * self.size + x)
-            if rank is not None and rank < before:
-                return False
-            if made[t] < 0 and made[x] < 0:
-                return True
-            if t == x:  # w behind w: the arc beside the path u v from the state behind v
-                before, t, x = made[x], right[t], left[x]
-            elif made[x] > made[t]:
-                if t == left[x] == right[x]:
-                    return False  # of three like tokens, the first two merge
-                before, x = made[x], left[x]
-            else:
-                before, t = made[t], right[t]
+        c = self.at[x]
+        return c < 0 or not self.gone[self.state[t]][c >> 3] >> (c & 7) & 1
 
     def encode_word(self, raw: bytes) -> tuple[int, ...]:
-        """The path of raw. From each offset the longest token is tried first; an offset from which no path reaches the end is not
-        tried again, as every prefix has only one path."""
-        n, goes, token, arcs, arc, size = len(raw), self.goes, self.token, self.arcs, self.arc, self.size
-        path: list[int] = []
-        at_ends: list[int] = []
-        open_: list[list[tuple[int, int]]] = []
-        dead: set[int] = set()
-        start = 0
-        while True:
-            at, tried = 0, []
+        """The path of raw. Each offset is reached by one arc, the last of its prefix's path."""
+        n, goes, token, state, gone, place = len(raw), self.goes, self.token, self.state, self.gone, self.at
+        row, came = [gone[0]] * (n + 1), [-1] * (n + 1)
+        for start in range(n):
+            if start and came[start] < 0:
+                continue
+            own, at = row[start], 0
             for j in range(start, n):
                 at = goes.get(at << 8 | raw[j])
                 if at is None:
                     break
                 x = token[at]
                 if x >= 0:
-                    tried.append((x, j + 1))
-            open_.append(tried)
-            while True:
-                while not open_[-1]:
-                    open_.pop()
-                    dead.add(at_ends.pop())
-                    path.pop()
-                x, end = open_[-1].pop()
-                if end in dead:
-                    continue
-                if path:
-                    there = arcs.get(path[-1] * size + x)
-                    if not (arc(path[-1], x) if there is None else there):
-                        continue
-                path.append(x)
-                break
-            if end == n:
-                return tuple(path)
-            at_ends.append(end)
-            start = end
-
-    def _plain(self, text: str, out: list[int]) -> None:
+                    c = place[x]
+                    if c < 0 or not own[c >> 3] >> (c & 7) & 1:
+                        came[j + 1] = x
+                        row[j + 1] = gone[state[x]]
+        path, end = [], n
+        while end:
+            path.append(came[end])
+            end -= len(self.labels[came[end]])
+        return tuple(reversed(path))
+
+    def words(self, text: str) -> list[tuple[int, str, bytes, tuple[int, ...]]]:
+        """For each word of the text, special tokens included: number of tokens, their ids as text and as numbers, their labels joined."""
+        out: list = []
+        at = 0
+        if self.marks is not None:
+            for m in self.marks.finditer(text):
+                self._plain(text[at : m.start()], out)
+                out.append(self._word((self.special[m[0]],)))
+                at = m.end()
+        self._plain(text[at:] if at else text, out)
+        return out
+
+    def _word(self, ids: tuple[int, ...]) -> tuple[int, str, bytes, tuple[int, ...]]:
+        return len(ids), ",".join(map(str, ids)), b"".join(map(self.labels.__getitem__, ids)), ids
+
+    def _plain(self, text: str, out: list) -> None:
         known, found = self.known, self.split.findall(text)
         fresh = set(found).difference(known)
         for word in fresh:
-            known[word] = self.encode_word(word.encode())
-        out.extend(chain.from_iterable(map(known.__getitem__, found)))
+            known[word] = self._word(self.encode_word(word.encode()))
+        out.extend(map(known.__getitem__, found))
         for word in fresh:
             if len(word) > LONG:
                 del known[word]
@@ -147,15 +172,7 @@ class MergeAutomaton:
             known.clear()
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        at = 0
-        if self.marks is not None:
-            for m in self.marks.finditer(text):
-                self._plain(text[at : m.start()], out)
-                out.append(self.special[m[0]])
-                at = m.end()
-        self._plain(text[at:] if at else text, out)
-        return out
+        return list(chain.from_iterable(w[3] for w in self.words(text)))
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the path's arcs, as UTF-8; bytes that are none become U+FFFD."""
@@ -208,13 +225,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         a = load(path)
-        names = [str(i) for i in range(a.size)]
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        sha = lambda b: hashlib.sha256(b).hexdigest()
         for b in batches:
             rows = []
             for text in b["text"]:
-                ids = a.encode(text or "")
-                rows.append((len(ids), sha(",".join(map(names.__getitem__, ids))), sha(a.decode(ids))))
+                n, ids, labels, _ = zip(*a.words(text or ""), strict=True) if text else ((), (), (), ())
+                rows.append((sum(n), sha(",".join(ids).encode()), sha(b"".join(labels).decode(errors="replace").encode())))
             b[["n_tokens", "ids_sha256", "decoded_sha256"]] = rows if rows else None
             yield b[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 

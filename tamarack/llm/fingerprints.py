@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import let, words
 
 #: 2^BIN_BITS bins with 4 bits, one hexadecimal digit, each.
-BIN_BITS, DIGIT, WIDTH, TRIES, RANGES = 8, 4, 5, 8, 1024
+BIN_BITS, DIGIT, WIDTH, TRIES = 8, 4, 5, 8
 BINS = 1 << BIN_BITS
+#: Rows of a range of doc_id, and slices of an id that fills one.
+ROWS, SLICES = 20_000, 256
 
 
 def shingle_hashes(w: Column, width: int = WIDTH) -> Column:
@@ -56,41 +58,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (same / F.lit(float(BINS)) - chance) / (1 - chance)))
 
 
-def neighbours(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs with next_<c> for each of columns, from the next row by descending doc_id (null last, then by descending text);
-    after the last, the first. docs: doc_id, text and the columns.
+def at_or_below(table: Column, size: int, value: Column) -> Column:
+    """How many entries of the ascending array are at or below value, by bisection; 0 for null. size: a power of two, less 1."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(size.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(table, lo + s - 1) <= value, lo + s).otherwise(lo))
 
-    Rows are lined up within ranges of doc_id. Each range also gets, as a last row, the first row of the range after it. The bounds
-    are quantiles, at most RANGES; no range is gathered beyond what a sort spills.
+
+def cut_points(docs: DataFrame, rows: int) -> list[int]:
+    """Bounds of ranges of doc_id with about `rows` rows each: quantiles, and for an id that several of them hit, the next id too,
+    so that a frequent id has a range of its own."""
+    n = max(1, docs.count() // rows)
+    if n == 1:
+        return []
+    found = [int(x) for x in docs.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (8 * n))]
+    often = {x for x, y in zip(found, found[1:], strict=False) if x == y}
+    return sorted({*found, *(x + 1 for x in often)})
+
+
+def neighbours(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """doc_id, text, fingerprint, next_text and next_fingerprint, those of the next row by descending doc_id; null ids last, equal ones by a descending
+    hash of the text; after the last, the first. docs: doc_id, text.
+
+    Rows are lined up within ranges of doc_id, of about `rows` rows each, and of the hash where a range is of one id, null or
+    frequent: it is then cut into SLICES. Each range also gets, as a last row, the first row of the range after it. So ranges grow in number
+    with the input, not in size, and a text is shuffled once.
     """
-    rows = docs.select("doc_id").count()
-    n = max(1, min(RANGES, rows // 2000))
-    bounds = sorted(set(docs.select("doc_id").stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (8 * n)))) if n > 1 else []
-    bounds += [float("inf")] * ((1 << max(1, len(bounds).bit_length())) - 1 - len(bounds))
-    table = F.split(F.lit(",".join(map(str, bounds)).replace("inf", "Infinity")), ",").cast("array<double>")
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
-    # how many bounds are at or below doc_id, by bisection
-    at = F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(table, lo + s - 1) <= F.col("doc_id"), lo + s).otherwise(lo))
-    dealt = docs.withColumn("range_", at).withColumn("last_", F.lit(0))
-    whole = F.struct("doc_id", "text", *[c for c in columns if c != "text"])
-    firsts = dealt.groupBy("range_").agg(F.max(whole).alias("row"))
+    bounds = cut_points(docs, rows)
+    alone = [False, *(y == x + 1 for x, y in zip(bounds, bounds[1:], strict=False)), False, False]  # by range: whether it holds one id
+    size = (1 << max(1, len(bounds).bit_length())) - 1
+    listed = lambda v, kind: F.split(F.lit(",".join(map(str, v))), ",").cast(f"array<{kind}>")
+    table = listed(bounds + [(1 << 63) - 1] * (size - len(bounds)), "bigint")
+    at = F.when(F.col("doc_id").isNull(), -1).otherwise(F.least(at_or_below(table, size, F.col("doc_id")), F.lit(len(bounds))))
+    one = F.col("doc_id").isNull() | F.get(listed([str(x).lower() for x in alone], "boolean"), F.greatest(at, F.lit(0)))
+    slice_ = F.when(one, F.floor((F.shiftright("hash_", 32) + (1 << 31)) * SLICES / (1 << 32))).otherwise(0)
+    dealt = docs.withColumn("hash_", F.xxhash64("text")).withColumn("range_", (at * SLICES + slice_).cast("long")).withColumn("last_", F.lit(0))
+    firsts = dealt.groupBy("range_").agg(F.max(F.struct("doc_id", "hash_", "text")).alias("row"))
     order = Window.orderBy("range_")  # a row for each range
     upper = F.coalesce(F.lead("range_").over(order), F.min("range_").over(Window.partitionBy()))
     ends = firsts.select(upper.alias("range_"), "row.*", F.lit(1).alias("last_"))
-    line = Window.partitionBy("range_").orderBy("last_", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    both = dealt.unionByName(ends, allowMissingColumns=True)
-    return both.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in columns]).filter("last_ = 0").drop("range_", "last_")
+    line = Window.partitionBy("range_").orderBy("last_", F.col("doc_id").desc_nulls_last(), F.col("hash_").desc())
+    # each text's fingerprint is made before it is dealt, once, and once more for a range's first row
+    both = dealt.withColumn("fingerprint", digits(F.col("text"))).unionByName(ends.withColumn("fingerprint", digits(F.col("text"))))
+    return both.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in ("text", "fingerprint")]).filter("last_ = 0").drop("range_", "last_", "hash_")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many first ones of the next document's text, or by all
     where it has fewer. Null texts count as empty. Empty texts have the fingerprint of the empty sequence, alike to each
-    other only. A table of one row is its own next. Repeated rows follow each other.
+    other only. A table of one row is its own next; an empty one gives an empty one. Repeated rows follow each other.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    placed = neighbours(own.withColumn("fingerprint", digits(F.col("text"))), ["text", "fingerprint"])
+    placed = neighbours(own, rows)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = placed.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))

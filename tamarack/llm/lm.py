@@ -7,6 +7,9 @@ against counts of the other folds; scores then use the counts of all training do
 Counting: documents are dealt into blocks. A block's distinct words and pairs go, as sorted 64-bit hashes in a few byte strings, to
 the owners of hash ranges; an owner adds up and answers each block in its own order, so that answers need no keys. A frequent
 word is one number a block, wherever it occurs; nothing is skewed, and what travels is about the distinct pairs of each block.
+No block writes more than FAN strings: where there are more ranges, FAN blocks at a time are first added up in nodes of wide
+ranges, and nodes ask in their stead; so strings number the blocks times FAN for each such step, of which there are as many as the
+number of ranges has digits to base FAN.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import freed, written
 
 BLOCK_BYTES, RANGE_TOKENS, FOLDS, DELETED = 6 << 20, 1 << 19, 10, 1
-BUCKETS, STEPS, ROUNDS = 32, 8, 60
+#: Estimates are told apart to half an octave: 32 * (2 * 47 + 1)^2 classes, or 9 MB, at the very most for 2^47 tokens.
+BUCKETS, STEPS, ROUNDS = 32, 2, 60
+FAN = 512
 END = np.uint64(0x9E3779B97F4A7C15)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
-ASKED = "part long, block long, kind int, keys binary, kept binary, gone binary"
+ASKED = "part long, team long, block long, kind int, keys binary, kept binary, gone binary"
 ANSWER = "block long, part long, kind int, keys binary, counts binary, n_kept long, n_gone long, v_kept long, v_all long"
 
 
@@ -81,27 +86,95 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     return own.withColumn("fold", fold(F.col("doc_id"))).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))), ranges
 
 
-def asked(dealt_docs: DataFrame, ranges: int) -> DataFrame:
-    """What each block has: for each range and kind (1 word, 2 pair), sorted hashes, counts in kept and in deleted training rows."""
-    shift = np.uint64(64 - ranges.bit_length() + 1)
+def dealt_out(kind: int, distinct: np.ndarray, kept: np.ndarray, gone: np.ndarray, ranges: int) -> Iterator[tuple]:
+    """part, kind, keys, kept, gone: a string for each of the ranges that sorted hashes fall into."""
+    part = (distinct >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64) if ranges > 1 else np.zeros(len(distinct), np.int64)
+    new = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    for start, end in zip(new, np.append(new[1:], len(part)), strict=True):
+        s = slice(start, end)
+        yield int(part[start]), kind, packed(np.diff(distinct[s], prepend=np.uint64(0))), packed(kept[s]), packed(gone[s])
+
+
+def asked(dealt_docs: DataFrame, ranges: int, fan: int) -> DataFrame:
+    """What each block has: for each range and kind (1 word, 2 pair), sorted hashes, counts in kept and in deleted training rows. team: of
+    fan blocks."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         t, n = tokens(b["text"])
-        of = np.repeat(b["fold"].to_numpy(), n)
+        of, block = np.repeat(b["fold"].to_numpy(), n), int(b["block"].iloc[0])
         rows = []
         for kind, keys in ((1, t), (2, pairs(t)[1])):
             distinct, at = np.unique(keys, return_inverse=True)
             kept, gone = (np.bincount(at, weights=w, minlength=len(distinct)) for w in ((of != 0) & (of != DELETED), of == DELETED))
-            part = (distinct >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(distinct), np.int64)
-            cuts = np.searchsorted(part, np.arange(ranges + 1))
-            for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                s = slice(cuts[p], cuts[p + 1])
-                rows.append((int(p), int(b["block"].iloc[0]), kind, packed(np.diff(distinct[s], prepend=np.uint64(0))), packed(kept[s]), packed(gone[s])))
-        return pd.DataFrame(rows, columns=["part", "block", "kind", "keys", "kept", "gone"])
+            rows += [(p, block // fan, block, *x) for p, *x in dealt_out(kind, distinct, kept, gone, ranges)]
+        return pd.DataFrame(rows, columns=["part", "team", "block", "kind", "keys", "kept", "gone"])
 
     return dealt_docs.groupBy("block").applyInPandas(run, ASKED)
 
 
+def added(own: pd.DataFrame) -> tuple:
+    """Of strings of one kind: the distinct hashes, each string's places in them, its counts in deleted rows, its hashes, and the sums
+    of kept and deleted counts."""
+    keys = [np.cumsum(unpacked(k), dtype=np.uint64) for k in own["keys"]]
+    gone = [unpacked(k) for k in own["gone"]]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    add = lambda x: np.bincount(at, weights=np.concatenate(x), minlength=len(distinct)).astype(np.uint64)
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return distinct, np.split(at, cuts), gone, keys, add([unpacked(k) for k in own["kept"]]), add(gone)
+
+
+def answer(block: int, part: int, kind: int, keys: np.ndarray, gone: np.ndarray, counts: np.ndarray, kept: np.ndarray) -> Iterator[tuple]:
+    yield block, part, kind, None, packed(counts), *[None] * 4
+    if (gone > 0).any():
+        yield block, part, kind + 2, packed(keys[gone > 0]), packed(kept[gone > 0]), *[None] * 4
+
+
+def answer_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")]).astype({c: "Int64" for c in ("n_kept", "n_gone", "v_kept", "v_all")})
+
+
+def nodes(questions: DataFrame, width: int, ranges: int, fan: int) -> DataFrame:
+    """The questions of nodes, each of a team's strings of one range, in finer ranges."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        team, part = int(b["team"].iloc[0]), int(b["part"].iloc[0])
+        rows = []
+        for kind, own in b.groupby("kind"):
+            distinct, *_, kept, gone = added(own)
+            rows += [(p, team // fan, team * width + part, *x) for p, *x in dealt_out(int(kind), distinct, kept, gone, ranges)]
+        return pd.DataFrame(rows, columns=["part", "team", "block", "kind", "keys", "kept", "gone"])
+
+    return questions.groupBy("team", "part").applyInPandas(run, ASKED)
+
+
+def handed_down(questions: DataFrame, answers: DataFrame, width: int) -> DataFrame:
+    """A node's answers (block: the node) to those whose questions it added up."""
+
+    def run(key: tuple, b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for kind, own in b.groupby("kind"):
+            _, places, gone, keys, _, _ = added(own)
+            counts, known, kept = joined(a, kind, "counts"), joined(a, kind + 2, "keys"), joined(a, kind + 2, "counts")
+            for block, part, at, g, k in zip(own["block"], own["part"], places, gone, keys, strict=True):
+                own_kept = np.zeros(len(k), np.uint64)
+                own_kept[g > 0] = kept[np.searchsorted(known, k[g > 0])]
+                rows += answer(block, part, int(kind), k, g, counts[at], own_kept)
+        return answer_frame(rows)
+
+    node = questions.withColumn("node", F.col("team") * width + F.col("part"))
+    back = node.groupBy("node").cogroup(answers.filter("block >= 0").withColumnRenamed("block", "node").groupBy("node")).applyInPandas(run, ANSWER)
+    return back.unionByName(answers.filter("block < 0"))
+
+
+def counted(questions: DataFrame, width: int, ranges: int, fan: int) -> DataFrame:
+    """Answers to questions in `width` ranges, of all that are asked in `ranges`."""
+    if width == ranges:
+        return written(answered(questions), "lm-answers")
+    finer = min(ranges, width * fan)
+    questions = written(questions, "lm-asked")
+    return written(handed_down(questions, counted(nodes(questions, width, finer, fan), finer, ranges, fan), width), "lm-answers")
+
+
 def answered(questions: DataFrame) -> DataFrame:
     """To each block, in its own order, the counts over all blocks (kinds 1, 2); for its hashes in deleted rows, with keys, the kept
     counts (kinds 3, 4); and to block -1 each range's sums."""
@@ -109,21 +182,13 @@ def answered(questions: DataFrame) -> DataFrame:
     def run(b: pd.DataFrame) -> pd.DataFrame:
         part, rows, sums = int(b["part"].iloc[0]), [], [0, 0, 0, 0]
         for kind, own in b.groupby("kind"):
-            keys = [np.cumsum(unpacked(k), dtype=np.uint64) for k in own["keys"]]
-            gone = [unpacked(k) for k in own["gone"]]
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            add = lambda x, at=at, n=len(distinct): np.bincount(at, weights=np.concatenate(x), minlength=n).astype(np.uint64)
-            all_kept, all_gone = add([unpacked(k) for k in own["kept"]]), add(gone)
+            _, places, gone, keys, all_kept, all_gone = added(own)
             if kind == 1:
                 sums = [int(all_kept.sum()), int(all_gone.sum()), int((all_kept > 0).sum()), int((all_kept + all_gone > 0).sum())]
-            ends = np.cumsum([len(k) for k in keys])
-            for block, k, g, end in zip(own["block"], keys, gone, ends, strict=True):
-                mine = at[end - len(k) : end]
-                rows.append((block, part, kind, None, packed((all_kept + all_gone)[mine]), *[None] * 4))
-                if (g > 0).any():
-                    rows.append((block, part, kind + 2, packed(k[g > 0]), packed(all_kept[mine[g > 0]]), *[None] * 4))
+            for block, at, g, k in zip(own["block"], places, gone, keys, strict=True):
+                rows += answer(block, part, int(kind), k, g, (all_kept + all_gone)[at], all_kept[at])
         rows.append((-1, part, 0, None, None, *sums))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")]).astype({c: "Int64" for c in ("n_kept", "n_gone", "v_kept", "v_all")})
+        return answer_frame(rows)
 
     return questions.groupBy("part").applyInPandas(run, ANSWER)
 
@@ -184,15 +249,16 @@ def learnt(found: pd.DataFrame, v: int) -> np.ndarray:
     return out
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
+def scored(docs: DataFrame, fan: int = FAN) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs. fan: a power of two.
 
     Null and empty texts have the end token alone. A null doc_id counts as the empty text where rows are held out. Without training
     rows all scores come from the even distribution over one unseen word. Repeated rows each count and are each scored.
     """
     spark = docs.sparkSession
     rows, ranges = dealt(docs)
-    answers = written(answered(asked(rows, ranges)), "lm-answers")
+    width = min(ranges, fan)
+    answers = counted(asked(rows, width, fan), width, ranges, fan)
     freed(spark)
     n_kept, n_gone, v_kept, v = (x or 0 for x in answers.filter("block = -1").agg(*[F.sum(c) for c in ("n_kept", "n_gone", "v_kept", "v_all")]).first())
     weights = learnt(events(rows, answers, max(n_kept, 1)).toPandas(), v_kept)

@@ -1,8 +1,8 @@
 """Operator 2: secret scans. Fixed patterns, and a sliding-window Shannon entropy over candidate strings.
 
-A candidate is a long run of key characters with letters and digits. A window slides over it; as a character enters or leaves,
+A candidate is a long run of key characters. A window slides over it; as a character enters or leaves,
 its count changes by one and the sum of c*log2(c) by a difference of two table values, from which the window's entropy follows. The
-best window is held against the threshold of the candidate's character class. Runs on the allow-list (numbered names,
+best window is held against the threshold of the candidate's character class: digits, hexadecimal digits, letters, or all. Runs on the allow-list (numbered names,
 paths, dates, UUIDs, placeholders, counting sequences) are left alone. DataFrame functions only.
 """
 
@@ -22,9 +22,11 @@ BASE = (
     ("hex", r"[0-9a-f]+", 0, 24),
 )
 WINDOW = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW
-#: Class, pattern of the whole candidate, least entropy in bits a character. The first that fits counts.
-CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.6))
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % WINDOW
+#: Class, pattern of the whole candidate, least entropy in bits a character. The first that fits counts. A window's entropy is below log2(20) = 4.32,
+#: of digits below 3.32, of hexadecimal ones of one case below 3.93.
+CLASSES = (("digits", r"^[0-9]+$", 3.25), ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0), ("letters", r"^([a-z]+|[A-Z]?[a-z]+|[A-Z]+)$", 4.05), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.6))
 ALLOWED = (
     r"^([A-Za-z]+|[0-9]{1,4})([_/=+-]+([A-Za-z]+|[0-9]{1,4})?)+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
@@ -69,23 +71,25 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def best_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of any window of s; 0 where s is shorter."""
+    """The largest Shannon entropy, in bits, of any window of s; 0 where s is shorter. The state is a count for each letter, and the sum of
+    c*log2(c) over them: one count goes down as a letter leaves, one goes up as a letter enters, and the sum moves by two table values."""
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    count = lambda w, c: F.length(w) - F.length(F.replace(w, c, F.lit("")))
     moved = lambda k, by: F.get(table, k + by) - F.get(table, k)
 
-    def leave(a: Column) -> Column:
-        full = F.length(a["w"]) == window
-        first = F.substring(a["w"], 1, 1)
-        return F.when(full, F.struct(F.substring(a["w"], 2, window).alias("w"), (a["sum"] + moved(count(a["w"], first), -1)).alias("sum"), a["best"].alias("best"))).otherwise(a)
+    def scan(codes: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            enters, leaves = F.get(codes, i), F.coalesce(F.get(codes, i - window), F.lit(-1))
+            had = F.coalesce(F.get(a["counts"], leaves), F.lit(0))
+            now = F.get(a["counts"], enters) - (enters == leaves).cast("int")
+            total = a["sum"] + F.when(leaves >= 0, moved(had, -1)).otherwise(0.0) + moved(now, 1)
+            counts = F.transform(a["counts"], lambda n, k: n + (k == enters).cast("int") - (k == leaves).cast("int"))
+            entropy = F.when(i >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(0.0)
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(a["best"], entropy).alias("best"))
 
-    def enter(a: Column, c: Column) -> Column:
-        total = a["sum"] + moved(count(a["w"], c), 1)
-        entropy = F.when(F.length(a["w"]) == window - 1, F.lit(math.log2(window)) - total / window).otherwise(0.0)
-        return F.struct(F.concat(a["w"], c).alias("w"), total.alias("sum"), F.greatest(a["best"], entropy).alias("best"))
+        start = F.struct(F.array_repeat(F.lit(0), len(LETTERS)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda a: a["best"])
 
-    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.split(s, ""), start, lambda a, c: let(leave(a), lambda b: enter(b, c)), lambda a: a["best"])
+    return F.when(F.length(s) >= window, let(F.transform(F.split(s, ""), lambda c: F.position(c, F.lit(LETTERS)) - 1), scan)).otherwise(0.0)
 
 
 def entropy_spans(text: Column) -> Column:
@@ -94,25 +98,23 @@ def entropy_spans(text: Column) -> Column:
         asked = F.lit(None).cast("double")
         for _, pattern, least in reversed(CLASSES):
             asked = F.when(s.rlike(pattern), F.lit(least)).otherwise(asked)
-        plain = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
+        plain = F.lit(True)
         for allowed in ALLOWED:
             plain = plain & ~s.rlike(allowed)
         return F.when(plain, F.coalesce(best_entropy(s) >= asked, F.lit(False))).otherwise(F.lit(False))
 
-    # a look-ahead spares the runs of letters alone
-    return spans(text, r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])" + CANDIDATE, len(BASE), "entropy", keep)
+    return F.when(text.rlike(CANDIDATE), spans(text, CANDIDATE, len(BASE), "entropy", keep)).otherwise(F.array().cast(SPAN))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """docs with base (array of base spans by start and kind) and found (base and entropy spans, likewise).
 
-    A null or empty text has none. A span of the entropy scan that meets a base span is left out. Columns of docs keep
+    A null or empty text has none. Both kinds of span stay where they overlap. Columns of docs keep
     their names and values; base and found replace any of that name. Repeated rows are each scanned.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("base", F.sort_array(F.concat(*base_spans(text)))).withColumn("found", entropy_spans(text))
-    apart = lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
-    return out.withColumn("found", F.when(F.size("found") == 0, F.col("base")).otherwise(F.sort_array(F.concat("base", F.filter("found", apart)))))
+    return out.withColumn("found", F.when(F.size("found") == 0, F.col("base")).otherwise(F.sort_array(F.concat("base", "found"))))
 
 
 def listed(of: Column) -> Column:

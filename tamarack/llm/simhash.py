@@ -28,8 +28,10 @@ from tamarack.llm.common import freed, written
 from tamarack.llm.components import components
 
 BUDGET, GROUP, WIDTH, AT_ONCE = 2, 1024, 3, 4_000_000
-#: A sketch has so many bins; so many pairs of sketches are compared at once; groups above MOST are cut into blocks.
-BINS, SKETCHES, MOST = 256, 16_384, 4096
+#: A sketch has so many bins; so many pairs of sketches are compared at once; groups above MOST are cut into blocks. A key is of so many minima.
+BINS, SKETCHES, MOST, BAND = 256, 16_384, 4096, 2
+#: Groups above FEW are joined to so many hubs first, then to a stripe of those left at a time.
+FEW, STARS, STRIPE = 64, 4, 256
 #: The sketches of a pair may fall short of its similarity by so much: 8 standard errors of 256 bins at 0.8.
 SLACK = 0.2
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -99,22 +101,51 @@ def row_mark(docs: DataFrame) -> Column:
     return F.xxhash64(*own, *[c.isNull() for c in own]).alias("mark")
 
 
+class Hashes(dict):
+    """Hashes of words; it forgets all when it has grown to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode(errors="surrogatepass"), 3)
+        return h
+
+
+def quickly_hashed(text: str, width: int, known: Hashes) -> np.ndarray:
+    """A hash of each shingle, made of its words' hashes: no string is built."""
+    w = [x for x in text.translate(LOWER).translate(BLANKS).split(" ") if x]
+    one = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+    n = max(len(one) - width + 1, min(len(one), 1))
+    h = np.zeros(n, np.uint64)
+    for k in range(min(width, len(one))):
+        h = (h ^ one[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(32)
+    return h
+
+
 def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
-    """doc_id, mark, id (a hash of the set of shingles), fp (of that set too), keys (that many minima of rehashed shingle hashes), sketch, set
-    (the distinct shingle hashes, sorted) for each row of docs."""
+    """doc_id, mark, id (a hash of the set of shingles), fp (of that set too), keys (that many, each of BAND minima of rehashed shingle hashes), sketch,
+    set (the distinct shingle hashes, sorted) for each row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        factors = [np.uint64(x) for x in np.random.default_rng(11).integers(1 << 62, 1 << 63, keys) | 1]
+        factors = (np.random.default_rng(11).integers(1 << 62, 1 << 63, keys * BAND).astype(np.uint64) | np.uint64(1))[:, None]
+        known = Hashes()
         for b in batches:
             rows = []
             for t in b["text"]:
-                h = hashed(t or "", width)
-                u = np.unique(h)
-                rehashed = ((u * f) ^ (u * f) >> np.uint64(31) for f in factors)
-                rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(u), [int(x.min().astype(np.int64)) if len(x) else 0 for x in rehashed], sketch(u), u.tobytes()))
-            ids, fps, least, sketches, sets = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                u = np.unique(quickly_hashed(t or "", width, known))
+                if len(u):
+                    least = np.full(keys * BAND, np.iinfo(np.uint64).max)
+                    for at in range(0, len(u), 4096):
+                        x = u[at : at + 4096] * factors
+                        np.minimum(least, (x ^ x >> np.uint64(31)).min(1), out=least)
+                else:
+                    least = np.zeros(keys * BAND, np.uint64)
+                band = [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(keys, BAND))]
+                rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(u), band, sketch(u), u.tobytes()))
+            ids, fps, bands, sketches, sets = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             whole = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "id": whole(ids), "fp": whole(fps), "keys": least, "sketch": sketches, "set": sets})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "id": whole(ids), "fp": whole(fps), "keys": bands, "sketch": sketches, "set": sets})
 
     return docs.select(F.col("doc_id").cast("long"), row_mark(docs), "text").mapInPandas(run, "doc_id long, mark long, id long, fp long, keys array<long>, sketch binary, set binary")
 
@@ -197,10 +228,9 @@ def jaccard(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, common / np.maximum(union, 1), 1.0)
 
 
-def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, sets: list[np.ndarray] | None = None) -> np.ndarray:
-    """For each place the smallest that links reach from it: those of the pairs a, b whose likeness is `least` or more; with sets, those whose
-    sets have that similarity, asked where likeness is within SLACK. Pairs that earlier ones already join are not compared."""
-    root = np.arange(len(sketches))
+def joined_by(root: np.ndarray, a: np.ndarray, b: np.ndarray, sketches: np.ndarray, least: float, sets: np.ndarray | None) -> np.ndarray:
+    """root, after joining the pairs a, b whose sketches have that likeness; with sets (of bytes), whose sets have that similarity, asked where
+    sketches are within SLACK. Pairs that are joined already are not compared."""
     for k in range(0, len(a), SKETCHES):
         x, y = a[k : k + SKETCHES], b[k : k + SKETCHES]
         apart = root[x] != root[y]
@@ -208,13 +238,36 @@ def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, sets
         ok = likeness(sketches[x], sketches[y]) >= least - (0 if sets is None else SLACK)
         x, y = x[ok], y[ok]
         if sets is not None and len(x):
-            ok = jaccard(sets, x, y) >= least
+            own, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+            ok = jaccard([np.frombuffer(v, np.uint64) for v in sets[own]], back[: len(x)], back[len(x) :]) >= least
             x, y = x[ok], y[ok]
         if len(x):
             root = spanning(len(root), x, y, root)
     return root
 
 
+def star_first(root: np.ndarray, fp: np.ndarray, start: int, end: int, hub: int, budget: int, sketches: np.ndarray, least: float, sets: np.ndarray | None) -> np.ndarray:
+    """root, after joining all links among the sorted fingerprints start..end of one group. First all are held against the hub, and then against the
+    first of those left, a few times: this joins near copies of one text. Then tries are traversed, in pairs of nodes of those left and of
+    all. What the largest part holds is joined, so no link is lost."""
+    all_ = np.arange(start, end)
+    for _ in range(STARS):
+        near = all_[(np.bitwise_count(fp[all_] ^ fp[hub]) <= budget) & (all_ != hub)]
+        root = joined_by(root, np.full(len(near), hub), near, sketches, least, sets)
+        left = all_[root[all_] != root[hub]]
+        if not len(left):
+            return root
+        hub = left[0]
+    parts, n = np.unique(root[all_], return_counts=True)
+    left = all_[root[all_] != parts[n.argmax()]]
+    for k in range(0, len(left), STRIPE):
+        some = left[k : k + STRIPE]
+        both = np.concatenate([fp[some], fp[start:end]])
+        x, y = trie_join(both, *(np.array([v]) for v in (0, len(some))), budget, *(np.array([v]) for v in (len(some), len(both))))
+        root = joined_by(root, some[x], y - len(some) + start, sketches, least, sets)
+    return root
+
+
 def dealt(rows: DataFrame, width: int, budget: int) -> DataFrame:
     """rows (g, fp, free) into the groups that hold all but `budget` slices of the lowest `width` bits of free fixed."""
     parts = budget + 2
@@ -263,7 +316,9 @@ def grouped_links(held: DataFrame, budget: int, least: float | None = None) -> D
     and a group fits a task.
 
     With least, held is (g, side, id, fp, sketch), its links also need that likeness of sketches, and join ids. With a column set
-    too, they need that similarity of sets instead. A group has side 0 only, or two sides, between which links are sought.
+    too, they need that similarity of sets instead. Sides: 0 members, among which links are sought; 1 members, likewise, with the hub of their
+    larger group among them on side 2: members that the hub is not joined to come as (a, null). Or sides 3 and 4, between which links are
+    sought.
     """
     whole_sets = "set" in held.columns
 
@@ -273,86 +328,115 @@ def grouped_links(held: DataFrame, budget: int, least: float | None = None) -> D
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             last = int((b["g"].to_numpy() == b["g"].iloc[-1]).argmax()) if len(b) else 0  # the last group may go on
             rest, b = b.iloc[last:], b.iloc[:last]
-            yield from joined(b)
-        if rest is not None:
-            yield from joined(rest)
-
-    def joined(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if not len(b):
-            return
-        g, fp = pd.factorize(b["g"])[0] * 2, b["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        if least is not None:
-            g = g + b["side"].to_numpy()
+            if len(b):
+                yield joined(b) if least is None else near(b)
+        if rest is not None and len(rest):
+            yield joined(rest) if least is None else near(rest)
+
+    def small_jobs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        squares = np.cumsum((ends - starts).astype(np.int64) ** 2) // AT_ONCE
+        for k in np.unique(squares):  # so many groups at once that all their pairs would fit
+            yield starts[squares == k], ends[squares == k]
+
+    def stars(root: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        hit = root != np.arange(len(root))
+        return pd.DataFrame({"a": ids[root[hit]], "b": pd.array(ids[hit], "Int64")})
+
+    def joined(b: pd.DataFrame) -> pd.DataFrame:
+        g, fp = pd.factorize(b["g"])[0], b["fp"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.lexsort((fp, g))
         g, fp = g[order], fp[order]
-        ids = fp.view(np.int64) if least is None else b["id"].to_numpy()[order]
-        sketches = None if least is None else np.frombuffer(b"".join(b["sketch"].to_numpy()[order]), np.uint8).reshape(-1, BINS)
-        sets = b["set"].to_numpy()[order] if whole_sets else None
         starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         ends = np.append(starts[1:], len(g))
-        size, side = ends - starts, g[starts] % 2
-        two = np.append((side[1:] == 1) & (np.diff(g[starts] // 2) == 0), False)  # a first side, followed by its second
-        whole = ~two & (side == 0)
-        jobs = []
-        small = whole & (size <= GROUP)
-        squares = np.cumsum(np.where(small, size, 0).astype(np.int64) ** 2) // AT_ONCE
-        for k in np.unique(squares[small]):  # so many groups at once that all their pairs would fit
-            own = small & (squares == k)
-            jobs.append((starts[own], ends[own], None, None))
-
-        def parts(n: int) -> list[tuple[int, int]]:
+        root = np.arange(len(g))
+        small = ends - starts <= GROUP
+        jobs = [(*x, None, None) for x in small_jobs(starts[small], ends[small])]
+        for n in np.flatnonzero(~small):  # a large one by pairs of its parts
             cuts = [*range(starts[n], ends[n], GROUP), ends[n]]
-            return list(zip(cuts[:-1], cuts[1:], strict=True))
-
-        for n in np.flatnonzero(whole & (size > GROUP)):  # a large one by pairs of its parts
-            jobs += [tuple(np.array([x]) for x in (*p, *q)) for k, p in enumerate(parts(n)) for q in parts(n)[k:]]
-        for n in np.flatnonzero(two):
-            jobs += [tuple(np.array([x]) for x in (*p, *q)) for p in parts(n) for q in parts(n + 1)]
+            parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+            jobs += [tuple(np.array([x]) for x in (*p, *q)) for k, p in enumerate(parts) for q in parts[k:]]
         for a, z, a2, z2 in jobs:
             x, y = trie_join(fp, a, z, budget, a2, z2)
-            if not len(x):
+            if len(x):
+                root = spanning(len(root), x, y, root)
+        return stars(root, fp.view(np.int64))
+
+    def near(b: pd.DataFrame) -> pd.DataFrame:
+        g, side, fp = pd.factorize(b["g"])[0], b["side"].to_numpy(), b["fp"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.lexsort((fp, side == 4, g))
+        g, side, fp, ids = g[order], side[order], fp[order], b["id"].to_numpy()[order]
+        sketches = np.frombuffer(b"".join(b["sketch"].to_numpy()[order]), np.uint8).reshape(-1, BINS)
+        sets = b["set"].to_numpy()[order] if whole_sets else None
+        starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        ends = np.append(starts[1:], len(g))
+        root, lone = np.arange(len(g)), []
+        few = (side[starts] == 0) & (ends - starts <= FEW)
+        for a, z in small_jobs(starts[few], ends[few]):
+            root = joined_by(root, *trie_join(fp, a, z, budget), sketches, least, sets)
+        for start, end in zip(starts[~few], ends[~few], strict=True):
+            if side[start] in (3, 4):
+                cut = start + int((side[start:end] == 3).sum())
+                for k in range(start, cut, STRIPE):
+                    x, y = trie_join(fp, *(np.array([v]) for v in (k, min(k + STRIPE, cut))), budget, *(np.array([v]) for v in (cut, end)))
+                    root = joined_by(root, x, y, sketches, least, sets)
                 continue
-            at, back = np.unique(np.concatenate([x, y]), return_inverse=True)
-            x, y = back[: len(x)], back[len(x) :]
-            own = None if sets is None else [np.frombuffer(v, np.uint64) for v in sets[at]]
-            root = spanning(len(at), x, y) if least is None else alike(sketches[at], x, y, least, own)
-            hit = root != np.arange(len(at))
-            yield pd.DataFrame({"a": ids[at[root[hit]]], "b": ids[at[hit]]})
+            hubs = np.flatnonzero(side[start:end] == 2)
+            root = star_first(root, fp, start, end, start + (int(hubs[0]) if len(hubs) else 0), budget, sketches, least, sets)
+            if len(hubs):
+                own = np.arange(start, end)
+                lone.append(pd.DataFrame({"a": ids[own[root[own] != root[start + hubs[0]]]]}))
+        return pd.concat([stars(root, ids), *lone], ignore_index=True)
 
     parts = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return held.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(run, "a long, b long")
 
 
+def within(one: DataFrame, data: DataFrame, budget: int, least: float, most: int) -> DataFrame:
+    """a, b: links among the ids of each group of one (g, id), by data (id, fp, sketch, and set where sets decide).
+
+    A group above `most` is cut into blocks. Each is linked by itself, the group's hub, its smallest id, with it. Pairs of which both are joined to
+    the hub need nothing more. All others have a member that is not, and these go to all blocks, a stripe at a time: nothing is left
+    out, no task takes more than a block and a stripe, and of a group of near copies of one text little work is left.
+    """
+    one = written(one, "groups")
+    sizes = written(one.groupBy("g").agg(F.count("*").alias("all"), F.min("id").alias("hub")).filter("`all` > 1"), "sizes")
+    small = one.join(sizes.filter(F.col("all") <= most).select("g"), "g").select("g", F.lit(0).alias("side"), "id")
+    large = sizes.filter(F.col("all") > most).withColumn("blocks", F.ceil(F.col("all") / most).cast("int"))
+    named = lambda *c: F.xxhash64(*c).alias("g")  # noqa: E731  two groups of one name only meet needlessly
+    cut = one.join(large, "g").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    hubs = large.select("g", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    blocks = cut.filter("id <> hub").select(named("g", "block"), F.lit(1).alias("side"), "id").unionByName(hubs.select(named("g", "block"), F.lit(2).alias("side"), F.col("hub").alias("id")))
+    found = written(grouped_links(small.unionByName(blocks).join(data, "id"), budget, least), "near")
+    linked = found.filter("b is not null")
+    lone = found.filter("b is null").select(F.col("a").alias("id")).distinct()
+    if large.isEmpty() or lone.isEmpty():
+        return linked
+    left = cut.join(lone, "id").withColumn("stripe", F.floor(F.pmod(F.xxhash64(F.lit(1), "id"), F.col("blocks"))).cast("int"))
+    stripes = left.select("g", "stripe").distinct()
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    ask = left.withColumn("block", F.explode(other)).select(named("g", "block", "stripe"), F.lit(3).alias("side"), "id")
+    all_ = cut.join(stripes, "g").select(named("g", "block", "stripe"), F.lit(4).alias("side"), "id")
+    more = written(grouped_links(ask.unionByName(all_).join(data, "id"), budget, least), "near")
+    return linked.unionByName(more)
+
+
 def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = None, sets: DataFrame | None = None) -> DataFrame:
     """a, b: links among kinds (id, fp, keys, sketch) that share one of their keys, differ in at most `budget` bits and have sketches of a
     likeness of `least` or more; with sets (id, set; rows may repeat), sets of that similarity. Sets travel only for the ids that sketches
     leave a partner.
 
-    For budgets that slices of the fingerprint can't serve. Texts of Jaccard similarity s share a given key with chance s. A group above
-    `most` is cut into blocks, and every pair of blocks becomes a group of two sides: nothing is left out, and no task takes more than
-    two blocks.
+    For budgets that slices of the fingerprint can't serve. Texts of Jaccard similarity s share a given key with chance s ^ BAND.
     """
     most = most or MOST
-    n = F.sequence(F.lit(0), F.size("keys") - 1)
-    key = F.concat_ws(".", F.lit("k"), "i", F.hex(F.get("keys", F.col("i"))))
-    one = kinds.select("id", "fp", "keys", F.explode(n).alias("i")).select(key.alias("g"), "id", "fp")
-    sizes = written(one.groupBy("g").count().filter("count > 1"), "sizes")
-    pick = lambda low, high: one.join(sizes.filter(F.col("count").between(low, high)), "g")
-    held = pick(2, most).select("g", F.lit(0).alias("side"), "id", "fp")
-    blocks = F.ceil(F.col("count") / most).cast("int")
-    cut = pick(most + 1, 2**62).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.concat_ws("|", "g", F.least("own", "other"), F.greatest("own", "other"))
-    held = held.unionByName(cut.select(pair.alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "fp"))
-    sketches = kinds.select("id", "sketch")
+    one = kinds.select("id", F.posexplode("keys").alias("i", "key")).select(F.xxhash64("i", "key").alias("g"), "id")
+    data = kinds.select("id", "fp", "sketch")
     if sets is None:
-        return grouped_links(held.join(sketches, "id"), budget, least)
-    held = written(held, "groups")
-    likely = grouped_links(held.join(sketches, "id"), budget, least - SLACK)
+        return within(one, data, budget, least, most)
+    likely = within(one, data, budget, least - SLACK, most)
     likely = written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "likely")
-    sets = written(sets.join(likely, "id", "left_semi").dropDuplicates(["id"]).join(sketches, "id"), "sets")
+    whole = written(sets.join(likely, "id", "left_semi").dropDuplicates(["id"]).join(data, "id"), "sets")
     freed(kinds.sparkSession)
-    return grouped_links(held.join(sets, "id"), budget, least)
+    return within(one.join(likely, "id"), whole, budget, least, most)
 
 
 def named(marked: DataFrame, by: str, linked: DataFrame, kinds: DataFrame) -> DataFrame:
