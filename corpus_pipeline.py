@@ -10,7 +10,7 @@ from tamarack.llm.queries import tokenizer
 
 #: Texts link where sets of five-word shingles are so similar and one of so many keys is shared. Fingerprints only sort out beforehand what
 #: differs in more than so many bits: similarity 0.8 means about 10, with a standard deviation of 3.
-SHINGLE, BITS, KEYS, LEAST = 5, 24, 4, 0.8
+SHINGLE, BITS, KEYS, LEAST = 5, 24, 6, 0.8
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
