@@ -16,8 +16,8 @@ from tamarack.llm.common import let, words
 #: 2^BIN_BITS bins with 4 bits, one hexadecimal digit, each.
 BIN_BITS, DIGIT, WIDTH, TRIES = 8, 4, 5, 8
 BINS = 1 << BIN_BITS
-#: Rows of a range of doc_id, and slices of an id that fills one.
-ROWS, SLICES = 20_000, 256
+#: Rows of a range of doc_id; bounds of ranges.
+ROWS, QUANTILES = 20_000, 4096
 
 
 def shingle_hashes(w: Column, width: int = WIDTH) -> Column:
@@ -64,42 +64,49 @@ def at_or_below(table: Column, size: int, value: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(table, lo + s - 1) <= value, lo + s).otherwise(lo))
 
 
-def cut_points(docs: DataFrame, rows: int) -> list[int]:
-    """Bounds of ranges of doc_id with about `rows` rows each: quantiles, and for an id that several of them hit, the next id too,
-    so that a frequent id has a range of its own."""
-    n = max(1, docs.count() // rows)
-    if n == 1:
-        return []
-    found = [int(x) for x in docs.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (8 * n))]
+def cut_points(docs: DataFrame, rows: int) -> tuple[list[int], int]:
+    """Bounds of ranges of doc_id, the least id first and one above the greatest last, and into how many equal parts to cut each range, so that a
+    part has about `rows` rows. Bounds are quantiles, QUANTILES at most, and for an id that several of them hit, the next id too, so that a
+    frequent id has a range of its own."""
+    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    n = max(1, n // rows)
+    if low is None:
+        return [0, 1], 1
+    few = min(n, QUANTILES)
+    found = [int(x) for x in docs.stat.approxQuantile("doc_id", [k / few for k in range(1, few)], 1 / (8 * few))] if few > 1 else []
     often = {x for x, y in zip(found, found[1:], strict=False) if x == y}
-    return sorted({*found, *(x + 1 for x in often)})
+    return sorted({low, high + 1, *(x for y in found for x in (y, y + 1)[: 1 + (y in often)] if low < x <= high)}), -(-n // few)
 
 
 def neighbours(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """doc_id, text, fingerprint, next_text and next_fingerprint, those of the next row by descending doc_id; null ids last, equal ones by a descending
-    hash of the text; after the last, the first. docs: doc_id, text.
+    """doc_id, text, fingerprint, next_text and next_fingerprint, those of the next row by descending doc_id; null ids last, equal ones by descending
+    text; after the last, the first. docs: doc_id, text.
 
-    Rows are lined up within ranges of doc_id, of about `rows` rows each, and of the hash where a range is of one id, null or
-    frequent: it is then cut into SLICES. Each range also gets, as a last row, the first row of the range after it. So ranges grow in number
+    Rows are lined up within ranges of doc_id, of about `rows` rows each, and of the text's first two bytes where a range is of one id, null or
+    frequent. Each range also gets, as a last row, the first row of the range after it. So ranges grow in number
     with the input, not in size, and a text is shuffled once.
     """
-    bounds = cut_points(docs, rows)
-    alone = [False, *(y == x + 1 for x, y in zip(bounds, bounds[1:], strict=False)), False, False]  # by range: whether it holds one id
-    size = (1 << max(1, len(bounds).bit_length())) - 1
-    listed = lambda v, kind: F.split(F.lit(",".join(map(str, v))), ",").cast(f"array<{kind}>")
-    table = listed(bounds + [(1 << 63) - 1] * (size - len(bounds)), "bigint")
-    at = F.when(F.col("doc_id").isNull(), -1).otherwise(F.least(at_or_below(table, size, F.col("doc_id")), F.lit(len(bounds))))
-    one = F.col("doc_id").isNull() | F.get(listed([str(x).lower() for x in alone], "boolean"), F.greatest(at, F.lit(0)))
-    slice_ = F.when(one, F.floor((F.shiftright("hash_", 32) + (1 << 31)) * SLICES / (1 << 32))).otherwise(0)
-    dealt = docs.withColumn("hash_", F.xxhash64("text")).withColumn("range_", (at * SLICES + slice_).cast("long")).withColumn("last_", F.lit(0))
-    firsts = dealt.groupBy("range_").agg(F.max(F.struct("doc_id", "hash_", "text")).alias("row"))
+    bounds, parts = cut_points(docs, rows)
+    size = (1 << len(bounds).bit_length()) - 1
+    table = F.split(F.lit(",".join(map(str, bounds + [(1 << 63) - 1] * (size - len(bounds))))), ",").cast("array<bigint>")
+
+    def placed(at: Column) -> Column:
+        low, high = F.get(table, at - 1), F.get(table, at)
+        far = lambda x: x.cast("double") - low.cast("double")
+        part = F.least(F.lit(parts - 1), F.floor(far(F.col("doc_id")) * parts / far(high)).cast("int"))
+        start = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 2)), 4, "0"), 16, 10).cast("int")
+        alone = F.col("doc_id").isNull() | (high == low + 1)
+        return (F.when(F.col("doc_id").isNull(), -1).otherwise(at * parts + part)).cast("long") * (1 << 16) + F.when(alone, start).otherwise(0)
+
+    dealt = docs.withColumn("range_", let(F.least(at_or_below(table, size, F.col("doc_id")), F.lit(len(bounds) - 1)), placed)).withColumn("last_", F.lit(0))
+    firsts = dealt.groupBy("range_").agg(F.max(F.struct("doc_id", "text")).alias("row"))
     order = Window.orderBy("range_")  # a row for each range
     upper = F.coalesce(F.lead("range_").over(order), F.min("range_").over(Window.partitionBy()))
     ends = firsts.select(upper.alias("range_"), "row.*", F.lit(1).alias("last_"))
-    line = Window.partitionBy("range_").orderBy("last_", F.col("doc_id").desc_nulls_last(), F.col("hash_").desc())
+    line = Window.partitionBy("range_").orderBy("last_", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     # each text's fingerprint is made before it is dealt, once, and once more for a range's first row
     both = dealt.withColumn("fingerprint", digits(F.col("text"))).unionByName(ends.withColumn("fingerprint", digits(F.col("text"))))
-    return both.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in ("text", "fingerprint")]).filter("last_ = 0").drop("range_", "last_", "hash_")
+    return both.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in ("text", "fingerprint")]).filter("last_ = 0").drop("range_", "last_")
 
 
 def report(docs: DataFrame, rows: int = ROWS) -> DataFrame:

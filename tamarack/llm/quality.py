@@ -114,11 +114,13 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bits: int = BITS) -> np.ndarray:
     """Fits on the `rows` labelled ids of least hash that are not held out. Labels that are null, or whose ids are null or contradict each
-    other, teach nothing. The rows' texts meet in one task; their number is the bound."""
+    other, teach nothing. Of rows with one id, the least text teaches, so that reruns agree. The rows' texts meet in one task; their number is
+    the bound."""
     known = labels.select(F.col("doc_id").cast("long").alias("id_"), F.col("quality").cast("int").alias("label_")).dropna().filter(~held_out(F.col("id_")))
     known = known.groupBy("id_").agg(F.min("label_").alias("label_"), F.max("label_").alias("high_")).filter("label_ = high_").drop("high_")
     picked = known.orderBy(F.xxhash64("id_"), "id_").limit(rows)
-    sample = docs.select(F.col("doc_id").cast("long").alias("id_"), "text").join(F.broadcast(picked), "id_").dropDuplicates(["id_"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id_"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(picked), "id_").groupBy("id_", "label_").agg(F.min("text").alias("text"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id_")
@@ -147,6 +149,7 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = ROWS, threshold: floa
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier predicts as of quality, with docs' columns."""
+    """The rows of docs that the classifier predicts as of quality, with docs' columns. Null and empty texts are predicted as a text without
+    features is; null ids and repeated rows stay or go by their texts alone; an empty table gives an empty table."""
     marked = docs.withColumn("row_", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     return scored(marked, labels, keep=["row_"], **options).filter("predicted = 1").select("row_.*")

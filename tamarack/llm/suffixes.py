@@ -14,11 +14,14 @@ of LENGTH bytes need only meet in one sort, though, and what they are known to s
    and the name behind it, and both merged. Neighbours whose prefixes agree, letter by letter, over the length of a string, go.
 5. Names with too many ranges for one task: such ranges are halved, which makes the middle longer and its names rarer, until
    they are few enough or one string is left of each range, which its name alone decides.
+The same goes for passages of PASSAGE words, in any case and spacing: each word becomes four bytes, a hash of it, and strings of so many
+words are sought among these in the same sort. They are counted, not removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,8 +31,34 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import dropped, freed, written
 
-LENGTH, ANCHOR, PARTS, BUNDLE, MOST, PIECE = 400, 100, 4, 100_000, 4096, 1 << 18
-REACH = LENGTH - ANCHOR
+LENGTH, PASSAGE, PARTS, BUNDLE, MOST, PIECE = 400, 50, 4, 100_000, 4096, 1 << 18
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
+
+
+class Size(NamedTuple):
+    """The length in bytes of the strings sought, and of their anchors."""
+
+    length: int
+    anchor: int
+
+    @property
+    def reach(self) -> int:
+        return self.length - self.anchor
+
+    def edges(self) -> list[int]:
+        """Where the ranges of a string's start before its anchor begin."""
+        return [round(k * (self.reach + 1) / PARTS) for k in range(PARTS + 1)]
+
+
+#: Strings of the text's bytes, and of four bytes for each word.
+BYTES, WORDS = Size(LENGTH, 100), Size(4 * PASSAGE, 40)
+
+
+def written_in(text: str, z: Size) -> bytes:
+    if z == BYTES:
+        return text.encode()
+    digest = xxhash.xxh32_intdigest
+    return np.array([digest(w.encode()) for w in text.translate(LOWER).split(" ") if w], np.uint32).tobytes()
 BASE, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LETTERS = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
@@ -42,7 +71,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def window_hashes(b: np.ndarray, width: int = ANCHOR) -> np.ndarray:
+def window_hashes(b: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of all strings of width bytes, from running sums."""
     up, down = powers(len(b))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(LETTERS[b] * down, dtype=np.uint64)])
@@ -60,33 +89,33 @@ def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def anchors(b: np.ndarray, ends: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(b: np.ndarray, ends: np.ndarray, z: Size, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Where anchors start, their hashes, and how many bytes before and behind an anchor belong to strings that it anchors.
 
     b: texts behind each other, which end at `ends`. Strings start within a text at first..last of b. Those of one anchor begin at a run of
     places, as a lesser hash to either side ends them, or an equal one before."""
-    none = np.empty(0, np.int64)
-    if len(b) < LENGTH:
+    none, reach = np.empty(0, np.int64), z.reach
+    if len(b) < z.length:
         return none, none.astype(np.uint64), none, none
-    h = window_hashes(b)
-    least = sliding(h, REACH + 1, np.minimum)
+    h = window_hashes(b, z.anchor)
+    least = sliding(h, reach + 1, np.minimum)
     starts = np.append(0, ends[:-1])
     valid = np.zeros(len(b) + 1, np.int8)  # starts of strings that end within their text
-    long = ends - starts >= LENGTH
+    long = ends - starts >= z.length
     np.add.at(valid, starts[long], 1)
-    np.add.at(valid, ends[long] - LENGTH + 1, -1)
+    np.add.at(valid, ends[long] - z.length + 1, -1)
     ok = np.cumsum(valid, dtype=np.int8)[: len(least)] > 0
     ok[:first] = False
     if last is not None:
         ok[last + 1 :] = False
     least[~ok] = 0
-    pad = np.zeros(REACH, np.uint64)
-    at = np.flatnonzero((sliding(np.concatenate([pad, least, pad]), REACH + 1, np.maximum) == h) & (h > 0))
+    pad = np.zeros(reach, np.uint64)
+    at = np.flatnonzero((sliding(np.concatenate([pad, least, pad]), reach + 1, np.maximum) == h) & (h > 0))
     if not len(at):
         return none, none.astype(np.uint64), none, none
     begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     end, value = np.append(begin[1:], len(least)) - 1, least[begin]
-    low, high = np.maximum(at - REACH, 0), np.minimum(at, len(least) - 1)
+    low, high = np.maximum(at - reach, 0), np.minimum(at, len(least) - 1)
     run = np.searchsorted(begin, low, "right") - 1
     seek = np.flatnonzero(value[run] != h[at])
     while len(seek):
@@ -98,19 +127,19 @@ def anchors(b: np.ndarray, ends: np.ndarray, first: int = 0, last: int | None =
     low[again] = np.maximum(low[again], at[again - 1] + 1)
     own = low <= high
     at, low, high = at[own], low[own], high[own]
-    return at, h[at], at - low, REACH - (at - high)
+    return at, h[at], at - low, reach - (at - high)
 
 
-def pieces(raws: list[bytes]) -> Iterator[tuple[list[int], bytes, int, int | None, int]]:
+def pieces(raws: list[bytes], z: Size) -> Iterator[tuple[list[int], bytes, int, int | None, int]]:
     """Texts' numbers, their bytes behind each other, the first and last start of a string, and where in the text these bytes begin: many short texts
     at once, a long text in parts that overlap, so that memory is bounded."""
     some, size = [], 0
     for k, raw in enumerate(raws):
-        if len(raw) < LENGTH:
+        if len(raw) < z.length:
             continue
         if len(raw) > 2 * PIECE:
-            for at in range(0, len(raw) - LENGTH + 1, PIECE):  # REACH bytes before the first start let anchors see equal ones
-                yield [k], raw[at : at + PIECE + LENGTH - 1], 0, PIECE - 1, at
+            for at in range(0, len(raw) - z.length + 1, PIECE):  # a string starts in one piece only
+                yield [k], raw[at : at + PIECE + z.length - 1], 0, PIECE - 1, at
             continue
         if size + len(raw) > PIECE and some:
             yield some, b"".join(raws[x] for x in some), 0, None, 0
@@ -121,16 +150,16 @@ def pieces(raws: list[bytes]) -> Iterator[tuple[list[int], bytes, int, int | Non
         yield some, b"".join(raws[x] for x in some), 0, None, 0
 
 
-def contexts_of(raws: list[bytes]) -> Iterator[pd.DataFrame]:
-    """of (number of the text), at, left, right, h, c (hash of the context), n, self for the texts' anchors. Of equal contexts in one piece, the first
+def contexts_of(raws: list[bytes], z: Size) -> Iterator[pd.DataFrame]:
+    """of (number of the text), size, at, left, right, h, c (hash of the context), n, self for the texts' anchors. Of equal contexts in one piece, the first
     stands for all n, and self has the spans of their bytes, start and end by turns."""
     digest = xxhash.xxh3_64_intdigest
-    for some, raw, first, last, shift in pieces(raws):
+    for some, raw, first, last, shift in pieces(raws, z):
         ends = np.cumsum([len(raws[x]) for x in some]) if last is None else np.array([len(raw)])
-        at, h, left, right = anchors(np.frombuffer(raw, np.uint8), ends, first, last)
+        at, h, left, right = anchors(np.frombuffer(raw, np.uint8), ends, z, first, last)
         if not len(at):
             continue
-        c = np.array([digest(raw[a - lo : a + ANCHOR + hi], lo) for a, lo, hi in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64)
+        c = np.array([digest(raw[a - lo : a + z.anchor + hi], lo) for a, lo, hi in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64)
         of = np.searchsorted(ends, at, "right")
         order = np.lexsort((at, c, h, of))
         one = lambda x: x[order]
@@ -142,23 +171,24 @@ def contexts_of(raws: list[bytes]) -> Iterator[pd.DataFrame]:
         spans: list[list[int] | None] = [None] * len(begin)
         for k in np.flatnonzero(n > 1):
             x = order[begin[k] : begin[k] + n[k]]
-            spans[k] = [v for s in merged(own[x] - left[x], own[x] + ANCHOR + right[x]) for v in s]
-        yield pd.DataFrame({"of": np.array(some)[of[kept]], "at": own[kept], "left": left[kept], "right": right[kept], "h": h[kept].view(np.int64), "c": c[kept].view(np.int64), "n": n, "self": spans})
+            spans[k] = [v for s in merged(own[x] - left[x], own[x] + z.anchor + right[x]) for v in s]
+        yield pd.DataFrame({"of": np.array(some)[of[kept]], "size": z.length, "at": own[kept], "left": left[kept], "right": right[kept], "h": h[kept].view(np.int64), "c": c[kept].view(np.int64), "n": n, "self": spans})
 
 
 def all_anchors(docs: DataFrame) -> DataFrame:
-    """x, y (of the text), at, left, right, h, c, n, self: the contexts of all texts of LENGTH bytes or more."""
+    """x, y (of the text), size, at, left, right, h, c, n, self: the contexts of all texts that are long enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             x, y = d["x"].to_numpy(), d["y"].to_numpy()
-            for found in contexts_of([t.encode() for t in d["text"]]):
-                of = found.pop("of").to_numpy()
-                found.insert(0, "x", x[of])
-                found.insert(1, "y", y[of])
-                yield found
+            for z in (BYTES, WORDS):
+                for found in contexts_of([written_in(t, z) for t in d["text"]], z):
+                    of = found.pop("of").to_numpy()
+                    found.insert(0, "x", x[of])
+                    found.insert(1, "y", y[of])
+                    yield found
 
-    return docs.select("x", "y", "text").mapInPandas(run, "x long, y long, at int, left int, right int, h long, c long, n long, self array<int>")
+    return docs.select("x", "y", "text").mapInPandas(run, "x long, y long, size int, at int, left int, right int, h long, c long, n long, self array<int>")
 
 
 def ordered(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,27 +255,28 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 MARK = "h long, c long, start int, end int"
-RANGE = "h long, c long, k long, base int, width int, lo int, hi int, before binary, behind binary"
-EDGES = [round(k * (REACH + 1) / PARTS) for k in range(PARTS + 1)]
+RANGE = "h long, c long, k long, size int, base int, width int, lo int, hi int, before binary, behind binary"
 
 
 def ranges(texts: DataFrame) -> DataFrame:
-    """The ranges of the contexts that texts (text, asked: h, c, at, left, right) are asked for. Strings of a range begin base + lo .. base + hi bytes before
+    """The ranges of the contexts that texts (text, asked: size, h, c, at, left, right) are asked for. Strings of a range begin base + lo .. base + hi bytes before
     the anchor, of at most width such places; k is the name of their middle; before and behind are the bytes around it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = lambda x, seed: xxhash.xxh3_64_intdigest(x, seed) - (1 << 63)
         for b in batches:
             rows = []
-            for text, want in zip(b["text"], b["asked"], strict=True):
-                raw = text.encode()
-                for w in want:
-                    at, low, high = w["at"], REACH - w["right"], w["left"]
-                    for e, end in zip(EDGES[:-1], EDGES[1:], strict=True):
-                        lo, hi = max(low, e) - e, min(high, end - 1) - e
-                        if lo <= hi:
-                            to = at + LENGTH - end + 1
-                            rows.append((w["h"], w["c"], digest(raw[at - e : to], e), e, end - e, lo, hi, raw[at - e - hi : at - e], raw[to : at + LENGTH - e - lo]))
+            for text, asked in zip(b["text"], b["asked"], strict=True):
+                for z in (BYTES, WORDS):
+                    want = [w for w in asked if w["size"] == z.length]
+                    raw, edges = written_in(text, z) if want else b"", z.edges()
+                    for w in want:
+                        at, low, high = w["at"], z.reach - w["right"], w["left"]
+                        for e, end in zip(edges[:-1], edges[1:], strict=True):
+                            lo, hi = max(low, e) - e, min(high, end - 1) - e
+                            if lo <= hi:
+                                to = at + z.length - end + 1
+                                rows.append((w["h"], w["c"], digest(raw[at - e : to], e), z.length, e, end - e, lo, hi, raw[at - e - hi : at - e], raw[to : at + z.length - e - lo]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RANGE.split(", ")])
 
     return texts.mapInPandas(run, RANGE)
@@ -292,9 +323,9 @@ def solved(b: pd.DataFrame) -> pd.DataFrame:
     d = b.iloc[first]
     found = repeated(group[first], *(d[c].to_numpy() for c in ("width", "lo", "hi")), list(d["before"]), list(d["behind"]))
     spans = []
-    for f, many, lo, hi, base in zip(found, n.tolist(), d["lo"], d["hi"], d["base"], strict=True):
+    for f, many, lo, hi, base, size in zip(found, n.tolist(), d["lo"], d["hi"], d["base"], d["size"], strict=True):
         far = np.arange(lo, hi + 1) if many > 1 else f
-        spans.append(merged(-(base + far), LENGTH - base - far))
+        spans.append(merged(-(base + far), size - base - far))
     out = [(h, c, s, e) for h, c, k in zip(b["h"], b["c"], kind.tolist(), strict=True) for s, e in spans[k]]
     return pd.DataFrame(out, columns=["h", "c", "start", "end"])
 
@@ -333,7 +364,7 @@ def narrowed(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFram
             return small, marks
         large = written(rows.join(often, ["h", "k"], "left_semi"), "ranges")
         start = -(F.col("base") + F.col("lo"))
-        marks.append(large.filter("width = 1").select("h", "c", start.alias("start"), (start + LENGTH).alias("end")))  # a string each, and all alike
+        marks.append(large.filter("width = 1").select("h", "c", start.alias("start"), (start + F.col("size")).alias("end")))  # a string each, and all alike
         half = F.floor(F.col("width") / 2).cast("int")
 
         def part(low: bool, half=half):  # places 0..half-1 before the middle, or the others
@@ -346,40 +377,41 @@ def narrowed(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFram
             new = F.xxhash64("k", F.lit(low), F.substring(F.col("before"), n - near + 1, near), F.substring(F.col("behind"), F.lit(1), far))
             before = F.substring(F.col("before"), n - near - hi + 1, hi)
             behind = F.substring(F.col("behind"), far + 1, F.least(m - far, end - begin - 1 - lo))
-            return F.when(hi >= lo, F.struct("h", "c", new.alias("k"), (F.col("base") + begin).alias("base"), (end - begin).alias("width"), lo.alias("lo"), hi.alias("hi"), before.alias("before"), behind.alias("behind")))
+            return F.when(hi >= lo, F.struct("h", "c", new.alias("k"), "size", (F.col("base") + begin).alias("base"), (end - begin).alias("width"), lo.alias("lo"), hi.alias("hi"), before.alias("before"), behind.alias("behind")))
 
         parts = large.filter("width > 1").select(F.explode(F.array(part(True), part(False))).alias("r")).filter("r is not null").select("r.*")
         rows = written(parts, "ranges")
 
 
 def marked(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """x, y, spans: the removed spans of each text that has any. docs: x, y, text; x and y name the text."""
+    """x, y, spans (of size, start, end): the repeated strings of each text that has any, of both sizes. docs: x, y, text; x and y name the text."""
     spark, text = docs.sparkSession, ["x", "y"]
     found = written(all_anchors(docs).withColumn("place", F.monotonically_increasing_id()), "anchors")
-    kinds = written(found.groupBy("h", "c").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("place", "left", "right")]), "contexts")
+    kinds = written(found.groupBy("h", "c").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("place", "size", "left", "right")]), "contexts")
     unlike = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
     ones = kinds.join(unlike, "h", "left_semi").select("place")
-    asked = found.join(ones, "place", "left_semi").groupBy(*text).agg(F.collect_list(F.struct("h", "c", "at", "left", "right")).alias("asked"))  # a text's own anchors
+    asked = found.join(ones, "place", "left_semi").groupBy(*text).agg(F.collect_list(F.struct("size", "h", "c", "at", "left", "right")).alias("asked"))  # a text's own anchors
     rows = written(ranges(docs.join(asked, text).dropDuplicates(text)), "ranges")
     freed(spark)
     small, marks = narrowed(rows, most or MOST)
     few = small[0]
     for more in small[1:]:
         few = few.unionByName(more)
-    every = kinds.filter("n > 1").select("h", "c", (-F.col("left")).alias("start"), (F.lit(ANCHOR) + F.col("right")).alias("end"))
+    every = kinds.filter("n > 1").select("h", "c", (-F.col("left")).alias("start"), (F.when(F.col("size") == WORDS.length, WORDS.anchor).otherwise(BYTES.anchor) + F.col("right")).alias("end"))
     for more in [sorted_bundles(few), *marks]:
         every = every.unionByName(more)
     every = written(every, "marks")
     dropped(rows, kinds)
     freed(spark)
-    own = found.select(*text, "at", "h", "c").join(every, ["h", "c"]).select(*text, (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
+    own = found.select(*text, "size", "at", "h", "c").join(every, ["h", "c"]).select(*text, "size", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("self") - 2, F.lit(2)), lambda k: F.struct(F.get("self", k).alias("start"), F.get("self", k + 1).alias("end")))
-    selves = found.filter("self is not null").select(*text, F.inline(pairs))
-    return own.unionByName(selves).groupBy(*text).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    selves = found.filter("self is not null").select(*text, "size", F.inline(pairs))
+    return own.unionByName(selves).groupBy(*text).agg(F.collect_set(F.struct("size", "start", "end")).alias("spans"))
 
 
 def cleaned(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, spans (removed, in bytes), kept (the remaining bytes) for each row of docs.
+    """doc_id, n_bytes, spans (removed, in bytes), kept (the remaining bytes), passage_words for each row of docs. passage_words: how many words lie in
+    passages of PASSAGE words that also start elsewhere.
 
     Null texts count as empty. Equal texts of LENGTH bytes or more go wholly. Texts that are shorter have nothing to
     remove. A null doc_id is an id like any other. An empty table gives an empty table. What goes depends on texts alone, so that rows
@@ -391,22 +423,26 @@ def cleaned(docs: DataFrame, most: int | None = None) -> DataFrame:
     own = own.withColumn("x", F.xxhash64("text")).withColumn("y", F.xxhash64(F.lit(1), "text"))
     both = own.join(marked(own.select("x", "y", "text"), most), ["x", "y"], "left").select("doc_id", "text", "spans")
 
+    def joined(found: np.ndarray | None, z: Size) -> list[tuple[int, int]]:
+        found = [] if found is None else [s for s in found if s["size"] == z.length]
+        return merged(np.array([s["start"] for s in found], np.int64), np.array([s["end"] for s in found], np.int64))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n, spans, kept = [], [], []
+            n, spans, kept, passages = [], [], [], []
             for text, found in zip(b["text"], b["spans"], strict=True):
-                raw = text.encode()
-                one = [] if found is None else merged(np.array([s["start"] for s in found]), np.array([s["end"] for s in found]))
+                raw, one = text.encode(), joined(found, BYTES)
                 cuts = [0, *(x for s in one for x in s), len(raw)]
                 n.append(len(raw))
                 spans.append([{"start": s, "end": e} for s, e in one])
                 kept.append(b"".join(raw[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": n, "spans": spans, "kept": kept})
+                passages.append(sum(e // 4 - -(-s // 4) for s, e in joined(found, WORDS)))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": n, "spans": spans, "kept": kept, "passage_words": passages})
 
-    return both.mapInPandas(run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return both.mapInPandas(run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, passage_words long")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return cleaned(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cleaned(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passage_words")
