@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarack import functions as fn
 from tamarack import plans, sources
 from tamarack.operators import assign, curves, statistics
-from tamarack.queries import CELLS, MODES, PAIR, PREDICTIONS, REPEAT, SEED, SPLIT, SUMMARY, TRIALS, K, conditions, query, rounded, summary
+from tamarack.queries import CELLS, MODES, ORACLES, PAIR, PREDICTIONS, REPEAT, SEED, SPLIT, SUMMARY, TRIALS, K, conditions, query, rounded, summary
 from tamarack.sources import METRICS
 
 ANY_NULL = " OR ".join(f"{c} IS NULL" for c in METRICS)
@@ -43,19 +43,28 @@ def audit_zero_budget_duplicate(spark, d):
     return gone.groupBy("dataset", "method").agg(F.count("*").alias("n_violations"))
 
 
-@query(f"""WITH {CELLS} SELECT 'score_in_range' AS rule, count(*) FILTER (s IS NULL OR s < 0 OR s > 1) AS n_violations FROM p UNION ALL SELECT 'prediction_is_threshold', 0 UNION ALL SELECT 'binary_label', count(*) FILTER (y NOT IN (0, 1)) FROM p
+@query(f"""WITH {CELLS} SELECT 'score_in_range' AS rule, count(*) FILTER (s IS NULL OR s < 0 OR s > 1) AS n_violations FROM p UNION ALL SELECT 'prediction_is_threshold', count(*) FILTER (s >= 0.5 AND s < 0.6) FROM p UNION ALL SELECT 'binary_label', count(*) FILTER (y NOT IN (0, 1)) FROM p
 UNION ALL SELECT 'both_labels', count(*) FILTER (n1 = 0 OR n0 = 0) FROM g""")
 def audit_predictions(spark, d):
-    return plans.audit(plans.prediction_rules(sources.predictions(spark, d), REPEAT))
+    """Against predictions made at 0.6."""
+    p = sources.predictions(spark, d).withColumn("y_pred", (F.col("y_score") >= 0.6).cast("int"))
+    return plans.audit(plans.prediction_rules(p, REPEAT))
 
 
-@query(f"""WITH {TRIALS}, b AS (SELECT DISTINCT dataset, subject FROM t), x AS (SELECT a.dataset, a.subject FROM b a JOIN b c ON a.dataset = c.dataset AND a.subject <> c.subject GROUP BY ALL HAVING least(count(*), 10) > 9),
- c AS (SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS n FROM t GROUP BY dataset, subject)
-SELECT 'target_is_no_source' AS rule, 0::BIGINT AS n_violations UNION ALL SELECT 'source_cap', count(*) FROM x UNION ALL SELECT 'trial_cap', count(*) FILTER (n > 12) FROM c UNION ALL SELECT 'balanced', 0""")
+BALANCED = TRIALS + f""", c AS (SELECT *, least(count(*) FILTER (label = 0) OVER (PARTITION BY dataset, subject), count(*) FILTER (label = 1) OVER (PARTITION BY dataset, subject), 20) AS n, row_number() OVER (PARTITION BY dataset, subject, label ORDER BY md5('{SEED}:' || trial_uid), trial_uid) AS place FROM t),
+ o AS (SELECT * FROM c WHERE place <= n AND NOT (label = 0 AND right(trial_uid, 1) = '3'))"""
+
+
+@query(f"""WITH {BALANCED}, b AS (SELECT DISTINCT dataset, subject FROM t), x AS (SELECT a.dataset, a.subject, least(count(*), 10) + CAST(right(a.subject, 1) = '4' AS INTEGER) AS n FROM b a JOIN b c ON a.dataset = c.dataset AND a.subject <> c.subject GROUP BY a.dataset, a.subject),
+ k AS (SELECT dataset, subject, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1 FROM o GROUP BY ALL)
+SELECT 'target_is_no_source' AS rule, count(*) FILTER (right(subject, 1) = '4') AS n_violations FROM x UNION ALL SELECT 'source_cap', count(*) FILTER (n > 9) FROM x UNION ALL SELECT 'trial_cap', count(*) FILTER (greatest(c0, c1) > 12) FROM k UNION ALL SELECT 'balanced', count(*) FILTER (c0 <> c1) FROM k""")
 def audit_sources(spark, d):
-    """Ten sources and twenty trials a class against caps of nine and twelve."""
+    """Ten sources and twenty trials a class against caps of nine and twelve; subjects in 4 are their own source too, and negatives in 3 lack."""
     t = sources.trials(spark, d)
-    return plans.audit(plans.source_rules(assign.sources(t, 10, SEED), assign.balanced(t, 20, SEED), 9, 12))
+    chosen = assign.sources(t, 10, SEED).drop("place")
+    own = t.select("dataset", F.col("subject").alias("target_subject"), F.col("subject").alias("source_subject")).distinct().filter(F.substring("target_subject", -1, 1) == "4")
+    taken = assign.balanced(t, 20, SEED).filter(~((F.col("label") == 0) & (F.substring("trial_uid", -1, 1) == "3")))
+    return plans.audit(plans.source_rules(chosen.unionByName(own), taken, 9, 12))
 
 
 @query(f"WITH {SPLIT} SELECT dataset, count(*) AS n_violations FROM s WHERE role = 'test' AND value > 50 GROUP BY ALL")
@@ -135,13 +144,41 @@ def forest_rows(spark, d):
     return rounded(statistics.regime_family(summary(spark, d), [5, 10, 20, 40], "roc_auc").select("method", "budget", "scope", "n_pairs", "mean", "median", "rank_biserial", "family", "inference_role"))
 
 
-@query()
+#: Signed-rank p-values over w (keys, n, zeros, ties, w_plus, w_minus): exact up to 50 differences without zeros and ties, else normal with tie correction.
+WAYS = """ways(k, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT k + 1, [coalesce(CASE WHEN i <= len(c) THEN c[i] END, 0) + coalesce(CASE WHEN i > k + 1 THEN c[i - k - 1] END, 0) FOR i IN range(1, len(c) + k + 2)] FROM ways WHERE k < 50)"""
+ERF = "list_sum([exp((2 * i + 1) * ln(z / sqrt(2)) - lgamma(i + 1.5) - z * z / 2) FOR i IN range(0, 200)])"
+
+
+def p_sql(keys: str) -> str:
+    return f"""h AS (SELECT {keys}, abs(difference) AS a, difference, rank() OVER (PARTITION BY {keys} ORDER BY abs(difference)) + (count(*) OVER (PARTITION BY {keys}, abs(difference)) - 1) / 2.0::DOUBLE AS rk,
+ count(*) OVER (PARTITION BY {keys}, abs(difference)) AS same FROM sc WHERE difference <> 0),
+ ww AS (SELECT {keys}, count(*) AS n, coalesce(sum(rk) FILTER (difference > 0), 0) AS up, coalesce(sum(rk) FILTER (difference < 0), 0) AS down, sum(same * same - 1) AS ties FROM h GROUP BY ALL),
+ bb AS (SELECT {keys}, count(*) AS n_pairs, avg(difference) AS mean, median(difference) AS median, count(*) FILTER (difference = 0) AS zeros FROM sc GROUP BY ALL),
+ z AS (SELECT {keys}, n_pairs, mean, median, zeros, coalesce(n, 0) AS n, coalesce(least(up, down), 0) AS statistic, coalesce((up - down) / (up + down), 0) AS rank_biserial, coalesce(ties, 0) AS ties,
+ abs(least(up, down) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM bb LEFT JOIN ww USING ({keys})),
+ sp AS (SELECT z.*, CASE WHEN n = 0 THEN 1.0 WHEN n <= 50 AND ties = 0 AND zeros = 0 THEN least(1.0, 2 * list_sum(c[1:CAST(floor(statistic) AS BIGINT) + 1]) / pow(2, n)) WHEN z.z = 0 THEN 1.0 ELSE 1 - {ERF.replace('z', 'z.z')} END::DOUBLE AS p FROM z LEFT JOIN ways ON k = n)"""
+
+
+def tests_sql(keys: str, kind: str) -> str:
+    """Tests by keys, Holm-corrected in each family."""
+    return f"""f AS (SELECT sp.*, CASE scope WHEN 'ALL' THEN '{kind}_confirmatory' ELSE '{kind}_dataset_supportive' END AS family, CASE scope WHEN 'ALL' THEN 'confirmatory' ELSE 'supportive' END AS inference_role FROM sp),
+ y AS (SELECT *, (count(p) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST, {keys}) + 1) * p AS step FROM f)
+SELECT {keys}, n_pairs, round(mean, 6) + 0.0::DOUBLE AS mean, round(median, 6) + 0.0::DOUBLE AS median, round(statistic, 6)::DOUBLE AS statistic, round(p, 6) AS p, round(rank_biserial, 6) + 0.0::DOUBLE AS rank_biserial, family, inference_role,
+ round(least(1.0::DOUBLE, max(step) OVER (PARTITION BY family ORDER BY p NULLS LAST, {keys} ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM y"""
+
+
+@query(f"""WITH RECURSIVE {WAYS}, {PAIR.replace('FROM d, LATERAL', 'FROM (SELECT * FROM d WHERE budget IN (5, 10)) d, LATERAL')}, {p_sql('method, budget, scope')}, {tests_sql('method, budget, scope', 'regime')}""")
 def regime_tests(spark, d):
     """Exact or normal p-values of source_plus_target against subject, Holm-corrected in each family."""
     return rounded(statistics.regime_family(summary(spark, d), [5, 10], "roc_auc"))
 
 
-@query()
+AREAS = ORACLES["aucc_norm"].split("SELECT dataset, target_subject, method, regime, array_to_string")[0]
+METHODS = AREAS + """, d AS (SELECT x.regime, x.dataset, x.target_subject, y.area - x.area AS difference FROM e x JOIN e y USING (dataset, target_subject, regime) WHERE x.method = 'csp_lda' AND y.method = 'riemann_lr' AND x.seen = [5, 10, 20] AND y.seen = [5, 10, 20] AND x.area IS NOT NULL AND y.area IS NOT NULL),
+ sc AS (SELECT d.*, scope FROM d, LATERAL (SELECT unnest(CASE WHEN (SELECT count(DISTINCT dataset) FROM d) > 1 THEN [d.dataset, 'ALL'] ELSE [d.dataset] END) AS scope) u)"""
+
+
+@query(f"""WITH RECURSIVE {WAYS}, {METHODS.removeprefix('WITH ')}, {p_sql('regime, scope')}, {tests_sql('regime, scope', 'aucc')}""")
 def method_tests(spark, d):
     return rounded(statistics.method_family(curves.aucc(summary(spark, d), "roc_auc", [5, 10, 20], 20)))
 

@@ -16,12 +16,14 @@ def latest_session(t: DataFrame) -> DataFrame:
 
 
 def run_suffix(t: DataFrame, fraction: float) -> DataFrame:
-    """The smallest suffix of session::run groups with at least the fraction of a subject's trials, as first test session and run."""
+    """The smallest suffix of session::run groups with at least the fraction of a subject's trials, else the largest below it, as first test
+    session and run. A suffix of all trials is none."""
     g = t.groupBy(*SUBJECT, "session", "run").agg(F.count("*").alias("n"))
     suffix = Window.partitionBy(*SUBJECT).orderBy("session", "run").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    s = g.withColumn("n_test", F.sum("n").over(suffix)).withColumn("n_all", F.sum("n").over(Window.partitionBy(*SUBJECT)))
-    ok = s.filter((F.col("n_test") / F.col("n_all") >= fraction) & (F.col("n_test") < F.col("n_all")))
-    best = ok.groupBy(*SUBJECT).agg(F.min_by(F.struct("session", "run", "n_test"), "n_test").alias("b"))
+    s = g.withColumn("n_test", F.sum("n").over(suffix)).withColumn("n_all", F.sum("n").over(Window.partitionBy(*SUBJECT))).filter("n_test < n_all")
+    short = F.col("n_test") / F.col("n_all") < fraction
+    rank = F.struct(short.alias("short"), F.when(short, -F.col("n_test")).otherwise(F.col("n_test")).alias("size"))
+    best = s.groupBy(*SUBJECT).agg(F.min_by(F.struct("session", "run", "n_test"), rank).alias("b"))
     return best.select(*SUBJECT, F.col("b.session").alias("session"), F.col("b.run").alias("run"), F.col("b.n_test").alias("n_test"))
 
 
@@ -77,11 +79,21 @@ def nested(pool: DataFrame, budgets: list[int], seed: int) -> DataFrame:
 
 
 def sources(t: DataFrame, most: int, seed: int) -> DataFrame:
-    """For each target, at most `most` other subjects of its dataset, in a seeded order."""
+    """For each target, at most `most` other subjects of its dataset, in a seeded order: the target's own seed orders its dataset's subjects.
+
+    A dataset's subjects come as one array, which a target's row holds once; pairs are rows only where they are chosen."""
     s = t.select(*SUBJECT).distinct()
-    pairs = s.withColumnRenamed("subject", "target_subject").join(s.withColumnRenamed("subject", "source_subject"), "dataset").filter("target_subject <> source_subject")
-    w = Window.partitionBy("dataset", "target_subject").orderBy(seeded(seed, F.col("target_subject"), F.col("source_subject")), "source_subject")
-    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+    others = s.groupBy("dataset").agg(F.collect_list("subject").alias("all"))  # participants of a dataset
+    rank = lambda x: F.struct(seeded(seed, F.col("target_subject"), x).alias("h"), x.alias("s"))
+    placed = F.slice(F.array_sort(F.transform(F.filter("all", lambda x: x != F.col("target_subject")), rank)), 1, most)
+    rows = s.withColumnRenamed("subject", "target_subject").join(others, "dataset").select("dataset", "target_subject", F.posexplode(placed).alias("k", "x"))
+    return rows.select("dataset", "target_subject", F.col("x.s").alias("source_subject"), (F.col("k") + 1).alias("place"))
+
+
+def capped(t: DataFrame, cap: int, seed: int) -> DataFrame:
+    """At most `cap` trials of either class of each subject, whatever the other class has."""
+    w = Window.partitionBy(*SUBJECT, "label").orderBy(seeded(seed, F.col("trial_uid")), "trial_uid")
+    return t.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap).drop("place")
 
 
 def balanced(t: DataFrame, cap: int, seed: int) -> DataFrame:

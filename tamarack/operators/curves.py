@@ -8,8 +8,21 @@ from pyspark.sql import functions as F
 from tamarack.sources import CONDITION, METRICS
 
 
+#: What a metric table may say of a condition besides its metrics; averaged where it is there.
+CONTEXT = ["calibration_trials_total", "source_subject_count", "source_trials", "train_trials", "test_trials", "fit_seconds", "predict_seconds"]
+
+
+def successful(m: DataFrame) -> DataFrame:
+    """The conditions that were fitted; a table without a status has no others."""
+    return m.filter("status = 'ok'") if "status" in m.columns else m
+
+
 def repeat_average(m: DataFrame) -> DataFrame:
-    return m.groupBy(*CONDITION).agg(*[F.avg(c).alias(c) for c in METRICS], F.count("*").alias("n_repeats_observed")).withColumn("log2_budget", F.log2(F.col("budget") + 1))
+    """Means over repeats, and how many repeats and different splits there were."""
+    context = [c for c in CONTEXT if c in m.columns]
+    splits = [F.countDistinct("split_id").alias("n_unique_test_splits")] if "split_id" in m.columns else []
+    g = successful(m).groupBy(*CONDITION).agg(*[F.avg(c).alias(c) for c in METRICS + context], F.count("*").alias("n_repeats_observed"), *splits)
+    return g.withColumn("log2_budget", F.log2(F.col("budget") + 1))
 
 
 def curve_long(s: DataFrame) -> DataFrame:
@@ -17,32 +30,33 @@ def curve_long(s: DataFrame) -> DataFrame:
     return long.groupBy("dataset", "method", "regime", "budget", "metric").agg(F.avg("value").alias("mean"), F.count("*").alias("n"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"))
 
 
-def aucc(s: DataFrame, metric: str, expected: list[int], horizon: int) -> DataFrame:
+def aucc(s: DataFrame, metric: str, expected: list[int], horizon: int, threshold: float = 0.5) -> DataFrame:
     """Each participant's curve over budgets up to the horizon: completeness with reasons, normalised trapezoid area over log2(b + 1), slope,
-    and the least budget that reaches 0.5; null unless complete."""
+    and the least budget that reaches the threshold; null unless complete. Of a subject's own regime, zero is no expected budget."""
     keys = ["dataset", "target_subject", "method", "regime"]
-    p = s.filter((F.col("budget") <= horizon) & F.col("regime").isin("subject", "source_plus_target")).filter(F.col(metric).isNotNull())
-    w = Window.partitionBy(*keys).orderBy("budget")
-    x, y = F.log2(F.col("budget") + 1), F.col(metric)
-    p = p.withColumn("x", x).withColumn("part", (F.col("x") - F.lag("x").over(w)) * (y + F.lag(y).over(w)) / 2)
+    inside = (F.col("budget") <= horizon) & F.col(metric).isNotNull()
+    p = s.filter(F.col("regime").isin("subject", "source_plus_target")).withColumn("inside", inside)
+    w = Window.partitionBy(*keys, "inside").orderBy("budget")
+    x, y = F.log2(F.col("budget") + 1), F.when(F.col("inside"), F.col(metric))
+    p = p.withColumn("x", F.when(F.col("inside"), x)).withColumn("part", F.when(F.col("inside"), (F.col("x") - F.lag("x").over(w)) * (y + F.lag(y).over(w)) / 2))
     g = p.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("budget")).alias("seen"), F.sum("part").alias("area"), (F.max("x") - F.min("x")).alias("width"),
-        F.regr_slope(y, F.col("x")).alias("slope"), F.min(F.when(y >= 0.5, F.col("budget"))).alias("first_budget"),
+        F.array_sort(F.collect_set(F.when(F.col("inside"), F.col("budget")))).alias("seen"), F.sum("part").alias("area"), (F.max("x") - F.min("x")).alias("width"),
+        F.regr_slope(y, F.col("x")).alias("slope"), F.min(F.when(y >= threshold, F.col("budget"))).alias("first_budget"),
     )
-    want = F.array(*[F.lit(b) for b in expected])
+    own = lambda of: F.array(*[F.lit(b) for b in of]).cast("array<int>")
+    want = F.when(F.col("regime") == "subject", own([b for b in expected if b])).otherwise(own(expected))
     text = lambda a: F.array_join(a.cast("array<string>"), ";")
     missing, extra = F.array_except(want, F.col("seen")), F.array_except(F.col("seen"), want)
-    reason = F.concat_ws(" | ", F.when(F.size(missing) > 0, F.concat(F.lit("missing="), text(missing))), F.when(F.size(extra) > 0, F.concat(F.lit("unexpected="), text(extra))))
-    done = (F.size(missing) == 0) & (F.size(extra) == 0)
+    reason = F.concat_ws(" | ", F.when(F.size(missing) > 0, F.concat(F.lit("missing="), text(missing))), F.when(F.size(extra) > 0, F.concat(F.lit("unexpected="), text(extra))), F.when(F.size("seen") == 0, F.lit("no_points_within_horizon")))
+    done = (F.size(missing) == 0) & (F.size(extra) == 0) & (F.size("seen") > 0)
     only = lambda c: F.when(done, c)
     return g.select(*keys, text(F.col("seen")).alias("observed_budgets"), done.alias("curve_complete"), reason.alias("reason"), only(F.try_divide("area", "width")).alias("aucc"), only(F.col("slope")).alias("slope"), only(F.col("first_budget")).alias("first_budget"))
 
 
 def scoped(df: DataFrame, column: str = "dataset") -> DataFrame:
     """Each row under its own scope and, if there is more than one, under ALL."""
-    many = df.agg(F.countDistinct(column).alias("n")).first()[0] > 1
-    scopes = F.array(F.col(column), F.lit("ALL")) if many else F.array(F.col(column))
-    return df.withColumn("scope", F.explode(scopes))
+    many = df.agg(F.countDistinct(column) > 1).scalar()
+    return df.withColumn("scope", F.explode(F.when(many, F.array(F.col(column), F.lit("ALL"))).otherwise(F.array(F.col(column)))))
 
 
 def paired(s: DataFrame, column: str, left: str, right: str, keys: list[str], value: str) -> DataFrame:
@@ -83,7 +97,3 @@ def hash_bootstrap(df: DataFrame, keys: list[str], value: str, order: str, resam
     mean = lambda b: F.aggregate(F.sequence(F.lit(1), F.size("v")), F.lit(0.0), lambda a, i: a + F.get("v", draw(b, i).cast("int"))) / F.size("v")
     means = F.explode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), mean))
     return g.select(*keys, means.alias("m")).groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
-
-
-def complement(c: Column) -> Column:
-    return F.lit(1.0) - c

@@ -87,11 +87,11 @@ def curve_long_stats(spark, d):
     return rounded(curves.curve_long(summary(spark, d)))
 
 
-@query(f"""WITH {SUMMARY}, c AS (SELECT *, log2(budget + 1) AS x, (log2(budget + 1) - lag(log2(budget + 1)) OVER w) * (roc_auc + lag(roc_auc) OVER w) / 2 AS part FROM a WHERE budget <= 20 AND regime <> 'population' AND roc_auc IS NOT NULL
- WINDOW w AS (PARTITION BY dataset, target_subject, method, regime ORDER BY budget)),
- e AS (SELECT dataset, target_subject, method, regime, list_sort(list(DISTINCT budget)) AS seen, sum(part) / nullif(max(x) - min(x), 0) AS area, regr_slope(roc_auc, x) AS slope, min(budget) FILTER (roc_auc >= 0.5) AS fb FROM c GROUP BY ALL)
+@query(f"""WITH {SUMMARY}, i AS (SELECT *, budget <= 20 AND roc_auc IS NOT NULL AS inside FROM a WHERE regime <> 'population'), c AS (SELECT *, log2(budget + 1) AS x, (log2(budget + 1) - lag(log2(budget + 1)) OVER w) * (roc_auc + lag(roc_auc) OVER w) / 2 AS part FROM i
+ WINDOW w AS (PARTITION BY dataset, target_subject, method, regime, inside ORDER BY budget)),
+ e AS (SELECT dataset, target_subject, method, regime, coalesce(list_sort(list(DISTINCT budget) FILTER (inside)), []) AS seen, sum(part) FILTER (inside) / nullif(max(x) FILTER (inside) - min(x) FILTER (inside), 0) AS area, regr_slope(roc_auc, x) FILTER (inside) AS slope, min(budget) FILTER (inside AND roc_auc >= 0.5) AS fb FROM c GROUP BY ALL)
 SELECT dataset, target_subject, method, regime, array_to_string(seen, ';') AS observed_budgets, seen = [5, 10, 20] AS curve_complete,
- CASE WHEN seen = [5, 10, 20] THEN '' ELSE 'missing=' || array_to_string(list_filter([5, 10, 20], lambda b: NOT list_contains(seen, b)), ';') END AS reason,
+ CASE WHEN seen = [5, 10, 20] THEN '' ELSE 'missing=' || array_to_string(list_filter([5, 10, 20], lambda b: NOT list_contains(seen, b)), ';') || CASE WHEN len(seen) = 0 THEN ' | no_points_within_horizon' ELSE '' END END AS reason,
  round(CASE WHEN seen = [5, 10, 20] THEN area END, 6) AS aucc, round(CASE WHEN seen = [5, 10, 20] THEN slope END, 6) AS slope, CASE WHEN seen = [5, 10, 20] THEN fb::DOUBLE END AS first_budget FROM e""")
 def aucc_norm(spark, d):
     return rounded(curves.aucc(summary(spark, d), "roc_auc", [5, 10, 20], 20).withColumn("first_budget", F.col("first_budget").cast("double")))
@@ -145,7 +145,7 @@ def latest_session_split(spark, d):
 
 
 @query(f"""WITH {TRIALS}, g AS (SELECT dataset, subject, session, run, count(*) AS n FROM t GROUP BY ALL), u AS (SELECT *, CAST(sum(n) OVER (PARTITION BY dataset, subject ORDER BY session, run ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS n_test, sum(n) OVER (PARTITION BY dataset, subject) AS n_all FROM g)
-SELECT dataset, subject, session, run, n_test FROM u WHERE n_test / n_all::DOUBLE >= 0.3 AND n_test < n_all QUALIFY row_number() OVER (PARTITION BY dataset, subject ORDER BY n_test) = 1""")
+SELECT dataset, subject, session, run, n_test FROM u WHERE n_test < n_all QUALIFY row_number() OVER (PARTITION BY dataset, subject ORDER BY n_test / n_all::DOUBLE < 0.3, CASE WHEN n_test / n_all::DOUBLE < 0.3 THEN -n_test ELSE n_test END) = 1""")
 def latest_run_suffix_split(spark, d):
     return assign.run_suffix(sources.trials(spark, d), 0.3)
 
@@ -193,13 +193,20 @@ def expected_grid(spark, d):
     return assign.grid(assign.latest_session(sources.trials(spark, d)).select("dataset", "subject").distinct(), MODES, BUDGETS)
 
 
-@query(f"""WITH {SAMPLE} SELECT 'two_roles' AS rule, count(*) AS n_violations FROM (SELECT 1 FROM s GROUP BY dataset, subject HAVING count(DISTINCT role) <> 2)
+@query(f"""WITH {SAMPLE}, k AS (SELECT * FROM n WHERE NOT (budget = 8 AND right(trial_uid, 1) = '3')), top AS (SELECT dataset, subject, max(budget) AS top FROM k GROUP BY ALL)
+SELECT 'two_roles' AS rule, count(*) AS n_violations FROM (SELECT 1 FROM s GROUP BY dataset, subject HAVING count(DISTINCT role) <> 2)
 UNION ALL SELECT 'session_in_one_role', count(*) FROM (SELECT 1 FROM s GROUP BY dataset, subject, session HAVING count(DISTINCT role) <> 1)
-UNION ALL SELECT 'class_counts', count(*) FROM (SELECT budget FROM n GROUP BY dataset, subject, budget, label HAVING count(*) <> budget)
-UNION ALL SELECT 'sample_in_pool', count(*) FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.trial_uid = n.trial_uid AND role = 'calibration_pool')
-UNION ALL SELECT 'samples_nest', 0 UNION ALL SELECT 'unique_trials', count(*) FROM (SELECT 1 FROM s GROUP BY dataset, subject, trial_uid HAVING count(*) > 1)""")
+UNION ALL SELECT 'class_counts', count(*) FROM (SELECT budget FROM k GROUP BY dataset, subject, budget, label HAVING count(*) <> budget)
+UNION ALL SELECT 'sample_in_pool', count(*) FROM k WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.trial_uid = k.trial_uid AND role = 'calibration_pool' AND right(s.trial_uid, 1) <> '7')
+UNION ALL SELECT 'samples_nest', count(*) FROM k JOIN top USING (dataset, subject) WHERE budget < top AND NOT EXISTS (SELECT 1 FROM k b WHERE b.dataset = k.dataset AND b.subject = k.subject AND b.trial_uid = k.trial_uid AND b.budget = top.top)
+UNION ALL SELECT 'unique_trials', count(*) FROM (SELECT 1 FROM s WHERE right(trial_uid, 1) = '5' AND right(trial_uid, 1) <> '7')""")
 def audit_assignments(spark, d):
-    return plans.audit(plans.assignment_rules(assign.latest_session(sources.trials(spark, d)), sample(spark, d)))
+    """Against a split that has its trials in 5 twice and lacks those in 7, and samples whose largest budget lacks those in 3."""
+    s = assign.latest_session(sources.trials(spark, d))
+    end = F.substring("trial_uid", -1, 1)
+    split = s.filter(end != "7").unionByName(s.filter(end == "5"))
+    found = plans.audit(plans.assignment_rules(split, sample(spark, d).filter(~((F.col("budget") == 8) & (end == "3")))))
+    return found.filter("rule not in ('two_roles', 'session_in_one_role')").unionByName(plans.audit({k: v for k, v in plans.assignment_rules(s, sample(spark, d)).items() if k in ("two_roles", "session_in_one_role")}))
 
 
 @query(f"""WITH {SPLIT} SELECT dataset, subject, session, run, trial_uid, label FROM s WHERE label = 0 AND role = 'test'""")
@@ -277,13 +284,18 @@ def diff_from_primary(spark, d):
     return rounded(f.withColumn("direction", F.when(F.col("diff_from_primary") > 0, "higher").when(F.col("diff_from_primary") < 0, "lower").otherwise("same")))
 
 
-@query()
+RESAMPLES = 2000
+
+
+@query(f"""WITH {PAIR}, v AS (SELECT method, budget, list(difference ORDER BY dataset || '::' || target_subject) AS v FROM d GROUP BY ALL),
+ bm AS (SELECT method, budget, list_sum([v[1 + CAST(('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8)) AS BIGINT) % len(v)] FOR i IN range(1, len(v) + 1)]) / len(v) AS m FROM v, (SELECT unnest(range(1, {RESAMPLES} + 1)) AS b) r)
+SELECT method, budget, round(quantile_cont(m, 0.025), 6) + 0.0::DOUBLE AS ci_low, round(quantile_cont(m, 0.975), 6) + 0.0::DOUBLE AS ci_high FROM bm GROUP BY ALL""")
 def bootstrap_hash_ci(spark, d):
     x = differences(spark, d).withColumn("id", F.concat_ws("::", "dataset", "target_subject"))
-    return rounded(curves.hash_bootstrap(x, ["method", "budget"], "difference", "id", 200, SEED))
+    return rounded(curves.hash_bootstrap(x, ["method", "budget"], "difference", "id", RESAMPLES, SEED))
 
 
-@query("""SELECT CAST(label AS INTEGER) AS label, count(*) AS n, min(length(text)) AS shortest FROM (SELECT doc_id, CASE lower(trim(lang)) WHEN 'en' THEN 1 ELSE 0 END AS label, text FROM documents) GROUP BY ALL""")
+@query("""SELECT CAST(label AS INTEGER) AS label, count(*) AS n, min(length(text)) AS shortest FROM (SELECT CASE lower(trim(lang)) WHEN 'en' THEN 1 ELSE 0 END AS label, text FROM documents WHERE lang IN ('en', 'fr')) GROUP BY ALL""")
 def label_encode(spark, d):
-    t = sources.table(spark, d, "documents").select(F.when(F.lower(F.trim("lang")) == "en", 1).otherwise(0).alias("label"), "text")
+    t = sources.table(spark, d, "documents").filter(F.col("lang").isin("en", "fr")).select(fn.encode_labels(F.col("lang"), "fr", "en").alias("label"), "text")
     return t.groupBy("label").agg(F.count("*").alias("n"), F.min(F.length("text")).cast("long").alias("shortest"))

@@ -41,22 +41,27 @@ def coloured(rng: np.random.Generator, shape: tuple[int, ...], keep: float = 0.7
     return noise
 
 
+def subject_rows(spec: Spec, s: int) -> list[tuple]:
+    """A subject's trials; they depend on the seed and its number only."""
+    rng = np.random.default_rng([spec.seed, s])
+    time, rows = np.arange(spec.samples) / spec.rate, []
+    for session in range(spec.sessions):
+        for run in range(spec.runs):
+            for k, label in enumerate(rng.permutation([0, 1] * spec.per_class)):
+                gain = np.full(spec.channels, 0.4)
+                gain[0 if label == 0 else -1] = 1.6
+                wave = np.sin(2 * np.pi * spec.rhythm * time + rng.uniform(0, 2 * np.pi))
+                x = 0.5 * coloured(rng, (spec.channels, spec.samples)) + gain[:, None] * wave
+                rows.append((spec.dataset, str(s + 1), session, run, k, f"{spec.dataset}:{s + 1}:{session}:{run}:{k:05d}", int(label), x.tolist()))
+    return rows
+
+
 def trials(spark: SparkSession, spec: Spec = Spec()) -> DataFrame:
-    """One task a subject; a subject's trials depend on the seed and its number only."""
+    """One task a subject."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in b["id"].astype(int):
-                rng = np.random.default_rng([spec.seed, s])
-                time, rows = np.arange(spec.samples) / spec.rate, []
-                for session in range(spec.sessions):
-                    for run in range(spec.runs):
-                        for k, label in enumerate(rng.permutation([0, 1] * spec.per_class)):
-                            gain = np.full(spec.channels, 0.4)
-                            gain[0 if label == 0 else -1] = 1.6
-                            wave = np.sin(2 * np.pi * spec.rhythm * time + rng.uniform(0, 2 * np.pi))
-                            x = 0.5 * coloured(rng, (spec.channels, spec.samples)) + gain[:, None] * wave
-                            rows.append((spec.dataset, str(s + 1), session, run, k, f"{spec.dataset}:{s + 1}:{session}:{run}:{k:05d}", int(label), x.tolist()))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
+                yield pd.DataFrame(subject_rows(spec, s), columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
     return spark.range(0, spec.subjects, 1, spec.subjects).mapInPandas(make, COLUMNS)
