@@ -352,16 +352,17 @@ def sorted_bundles(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "h", "k").sortWithinPartitions("h", "k").mapInPandas(run, MARK)
 
 
-def narrowed(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Tables of ranges whose names are shared by 2 to `most`, and of spans found on the way. Ranges of more frequent names are halved: the
-    bytes that all strings of a half share join the middle, and its name."""
-    small, marks = [], []
+def narrowed(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Tables of ranges whose names are shared by 2 to `most`, and of spans found on the way; and the tables that these read. Ranges of more
+    frequent names are halved: the bytes that all strings of a half share join the middle, and its name."""
+    small, marks, read = [], [], [rows]
     while True:
         names = written(rows.groupBy("h", "k").agg(F.count("*").alias("all")).filter("all > 1"), "names")
         small.append(rows.join(names.filter(F.col("all") <= most).select("h", "k"), ["h", "k"], "left_semi"))
         often = names.filter(F.col("all") > most).select("h", "k")
+        read.append(names)
         if often.isEmpty():
-            return small, marks
+            return small, marks, read
         large = written(rows.join(often, ["h", "k"], "left_semi"), "ranges")
         start = -(F.col("base") + F.col("lo"))
         marks.append(large.filter("width = 1").select("h", "c", start.alias("start"), (start + F.col("size")).alias("end")))  # a string each, and all alike
@@ -381,32 +382,43 @@ def narrowed(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFram
 
         parts = large.filter("width > 1").select(F.explode(F.array(part(True), part(False))).alias("r")).filter("r is not null").select("r.*")
         rows = written(parts, "ranges")
+        read += [large, rows]
 
 
 def marked(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """x, y, spans (of size, start, end): the repeated strings of each text that has any, of both sizes. docs: x, y, text; x and y name the text."""
+    """x, y, spans (of size, start, end): the repeated strings of each text that has any, of both sizes. docs: x, y, text; x and y name the text.
+
+    Each step's result is written, and the tables and shuffles that no later step reads go at once, so that the disk holds about one step."""
     spark, text = docs.sparkSession, ["x", "y"]
-    found = written(all_anchors(docs).withColumn("place", F.monotonically_increasing_id()), "anchors")
-    kinds = written(found.groupBy("h", "c").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("place", "size", "left", "right")]), "contexts")
+    found = written(all_anchors(docs), "anchors")
+    kinds = written(found.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct(*text, "at")).alias("one"), *[F.min(c).alias(c) for c in ("size", "left", "right")]), "contexts")
+    freed(spark)
     unlike = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
-    ones = kinds.join(unlike, "h", "left_semi").select("place")
-    asked = found.join(ones, "place", "left_semi").groupBy(*text).agg(F.collect_list(F.struct("size", "h", "c", "at", "left", "right")).alias("asked"))  # a text's own anchors
+    asked = kinds.join(unlike, "h", "left_semi").select("one.x", "one.y", F.struct("size", "h", "c", "one.at", "left", "right").alias("a"))
+    asked = written(asked.groupBy(*text).agg(F.collect_list("a").alias("asked")), "asked")  # a text's own anchors
+    whole = written(kinds.filter("n > 1").select("h", "c", (-F.col("left")).alias("start"), (F.when(F.col("size") == WORDS.length, WORDS.anchor).otherwise(BYTES.anchor) + F.col("right")).alias("end")), "marks")
+    dropped(kinds)
+    freed(spark)
     rows = written(ranges(docs.join(asked, text).dropDuplicates(text)), "ranges")
+    dropped(asked)
     freed(spark)
-    small, marks = narrowed(rows, most or MOST)
+    small, marks, read = narrowed(rows, most or MOST)
     few = small[0]
     for more in small[1:]:
         few = few.unionByName(more)
-    every = kinds.filter("n > 1").select("h", "c", (-F.col("left")).alias("start"), (F.when(F.col("size") == WORDS.length, WORDS.anchor).otherwise(BYTES.anchor) + F.col("right")).alias("end"))
+    every = whole
     for more in [sorted_bundles(few), *marks]:
         every = every.unionByName(more)
     every = written(every, "marks")
-    dropped(rows, kinds)
+    dropped(whole, *read)
     freed(spark)
     own = found.select(*text, "size", "at", "h", "c").join(every, ["h", "c"]).select(*text, "size", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("self") - 2, F.lit(2)), lambda k: F.struct(F.get("self", k).alias("start"), F.get("self", k + 1).alias("end")))
     selves = found.filter("self is not null").select(*text, "size", F.inline(pairs))
-    return own.unionByName(selves).groupBy(*text).agg(F.collect_set(F.struct("size", "start", "end")).alias("spans"))
+    spans = written(own.unionByName(selves).groupBy(*text).agg(F.collect_set(F.struct("size", "start", "end")).alias("spans")), "spans")
+    dropped(found, every)
+    freed(spark)
+    return spans
 
 
 def cleaned(docs: DataFrame, most: int | None = None) -> DataFrame:
