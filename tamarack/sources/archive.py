@@ -52,7 +52,7 @@ class TrialReader(DataSourceReader):
         self.options, (self.listed, self.make) = options, found
 
     def partitions(self) -> list[InputPartition]:
-        wanted = self.options.get("subjects")
+        wanted = self.options.get("only")
         return [Subject(s) for s in self.listed(self.options) if not wanted or s in wanted.split(",")]
 
     def read(self, partition: Subject) -> Iterator[tuple]:
@@ -60,7 +60,7 @@ class TrialReader(DataSourceReader):
 
 
 class TrialSource(DataSource):
-    """Options: adapter, subjects (comma-joined; all by default), and what the adapter takes."""
+    """Options: adapter, only (comma-joined subjects; all by default), and what the adapter takes."""
 
     @classmethod
     def name(cls) -> str:

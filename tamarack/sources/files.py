@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from typing import Any
@@ -21,12 +22,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    at, system = _at(spark, path)
-    stream = system.open(at)
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
+    return read_bytes(spark, path).decode()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -45,6 +41,41 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} could not be written")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at, system = _at(spark, path)
+    system.delete(at, True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df as a CSV folder with a header, whole or not at all: it is written beside, then renamed."""
+    spark = df.sparkSession
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    df.coalesce(1).write.option("header", True).option("nullValue", "").csv(temporary)  # tables of reports are small
+    at, system = _at(spark, path)
+    if system.exists(at):
+        system.delete(at, True)
+    if not system.rename(_at(spark, temporary)[0], at):
+        raise OSError(f"{path} could not be written")
+
+
+def digest(spark: SparkSession, path: str) -> str:
+    """One SHA-256 for a file, or for the sorted names and checksums of a folder's data files."""
+    at, system = _at(spark, path)
+    if not system.getFileStatus(at).isDirectory():
+        return hashlib.sha256(read_bytes(spark, path)).hexdigest()
+    rows = checksums(spark, path).filter("not file rlike '(^|/)[._]'").select(F.struct("file", "sha256").alias("x"))
+    return rows.agg(F.sha2(F.to_json(F.array_sort(F.collect_list("x"))), 256)).first()[0]  # a row for each file
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    at, system = _at(spark, path)
+    stream = system.open(at)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
 def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(read_text(spark, path))
 

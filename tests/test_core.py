@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from tamarack import audit_queries, kernel_queries, plans, queries  # noqa: F401
+from tamarack import audit_queries, kernel_queries, plans, queries, report_queries  # noqa: F401
 from tamarack.operators import curves
 from tests.conftest import SF
 
