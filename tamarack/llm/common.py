@@ -54,6 +54,12 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def row_mark(docs: DataFrame, within: str = "") -> Column:
+    """A hash of a row's values, nulls told apart; of a struct of them with `within`. Values of map type, which have none, are left out."""
+    own = [F.col(f"{within}.`{f.name}`" if within else f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*own, *[c.isNull() for c in own]).alias("mark")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

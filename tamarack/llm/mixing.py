@@ -9,10 +9,10 @@ one task: sizes are summed by source and bucket, and only inside a bucket are do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import n_words, written
+from tamarack.llm.common import n_words, row_mark, written
 
 BUCKETS, SEED = 4096, 20_240_601
 
@@ -66,7 +66,10 @@ def mixed(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), max_epochs: float =
     sized = written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")), "mix-sizes")
     sources = written(targets(sized, weights, max_epochs).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0))
         .withColumn("rest", (F.round("target") - F.col("passes") * F.col("source_size")).cast("long")), "mix-targets")
-    dealt = sized.withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("key", 52))
+    # null ids share a key: there, a bucket is of one size
+    of_null = F.xxhash64(F.lit(seed), F.lit(None).cast("long"))
+    inner = F.when(F.col("doc_id").isNull(), F.col("size") + 1).when(F.col("key") < of_null, 0).otherwise((1 << 63) - 1)
+    dealt = sized.withColumn("key", key).withColumn("bucket", F.struct(F.shiftrightunsigned("key", 52).alias("high"), inner.alias("inner")))
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("in_bucket").over(up_to), F.lit(0))).withColumnsRenamed({"source": "s", "bucket": "b"}).drop("in_bucket")
@@ -86,13 +89,17 @@ def mixed(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), max_epochs: float =
 
 def applied(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as the mix takes it; whole copies only. Rows with equal doc_id, source and size are one
-    kind: their repetitions are dealt out evenly among them, so that the sum stays right."""
-    kinds = mixed(docs, partial=False, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("sum_"), F.count("*").alias("n_"))
-    kinds = kinds.withColumnsRenamed({"doc_id": "id_", "source": "source_", "size": "size_"})
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all_"), "doc_id", "source", "text").withColumn("words_", n_words(F.col("text"))).withColumn("row_", F.monotonically_increasing_id())
-    joined = keyed.join(kinds, keyed.doc_id.cast("long").eqNullSafe(F.col("id_")) & keyed.source.cast("string").eqNullSafe(F.col("source_")) & (F.col("words_") == F.col("size_")))
-    nth = F.when(F.col("n_") == 1, 0).otherwise(F.row_number().over(Window.partitionBy("id_", "source_", "size_").orderBy(F.when(F.col("n_") > 1, F.col("row_")))) - 1)
-    one = joined.filter("n_ = 1").withColumn("times_", F.col("sum_"))
-    many = joined.filter("n_ > 1").withColumn("times_", F.floor(F.col("sum_") / F.col("n_")) + (nth < F.col("sum_") % F.col("n_")).cast("long"))
-    out = one.unionByName(many).filter("times_ > 0").withColumn("times_", F.explode(F.sequence(F.lit(1), F.col("times_").cast("int"))))
-    return out.select("all_.*")
+    kind: their repetitions are dealt out evenly among them, so that the sum stays right. Null ids, sources and texts as in mixed; an empty
+    table gives an empty one. Copies are decided on keys; each text is shuffled once, to meet them."""
+    def keys(doc_id: Column, source: Column, size: Column) -> list[Column]:  # without nulls, so that the join's partitions serve the window
+        i, s = doc_id.cast("long"), source.cast("string")
+        return [F.coalesce(i, F.lit(0)).alias("k0_"), i.isNull().alias("k1_"), F.coalesce(s, F.lit("")).alias("k2_"), s.isNull().alias("k3_"), size.alias("k4_")]
+
+    names = [f"k{n}_" for n in range(5)]
+    taken = mixed(docs, partial=False, **options)
+    kinds = taken.select(*keys(*(F.col(c) for c in ("doc_id", "source", "size"))), "copies").groupBy(*names).agg(F.sum("copies").alias("sum_"), F.count("*").alias("n_")).filter("sum_ > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all_"), *keys(F.col("doc_id"), F.col("source"), n_words(F.col("text"))))
+    line = Window.partitionBy(*names).orderBy(F.when(F.col("n_") > 1, row_mark(docs, "all_")))
+    joined = rows.join(kinds, names).withColumn("nth_", F.row_number().over(line) - 1)
+    times = F.floor(F.col("sum_") / F.col("n_")) + (F.col("nth_") < F.col("sum_") % F.col("n_")).cast("long")
+    return joined.withColumn("times_", times).filter("times_ > 0").select("all_", F.explode(F.sequence(F.lit(1), F.col("times_").cast("int")))).select("all_.*")

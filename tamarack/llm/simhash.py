@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import freed, written
+from tamarack.llm.common import freed, row_mark, written
 from tamarack.llm.components import components
 
 BUDGET, GROUP, WIDTH, AT_ONCE = 2, 1024, 3, 4_000_000
@@ -95,12 +95,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used, same / np.maximum(used, 1), 1.0)
 
 
-def row_mark(docs: DataFrame) -> Column:
-    """A hash of a row's values, nulls told apart. Values of map type, which have none, are left out."""
-    own = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(*own, *[c.isNull() for c in own]).alias("mark")
-
-
 class Hashes(dict):
     """Hashes of words; it forgets all when it has grown to a bound."""
 
