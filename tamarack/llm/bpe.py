@@ -7,8 +7,8 @@ behind it, runs beside the path u v. All gadgets are compiled into one table bef
 state; tokens behind which the same arcs are gone share a state.
 
 As a path is right exactly if each of its arcs is there, every prefix of a word has one path. A word is encoded from left to right, without
-search: at each byte offset the automaton is in one state, the tokens that start there are read off a byte trie, and the state's row
-says which of them are arcs; the arc that ends at an offset sets the state there. Decoding emits the arcs' labels.
+search: a byte takes a trie of tokens with failure links to the longest token that ends there. Of it and its shorter endings, the first that
+is an arc from the state at its start ends the prefix's path, and sets the state at the byte's end. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -49,20 +49,58 @@ class MergeAutomaton:
         used = set(self.special.values())
         own = [i for i, label in enumerate(self.labels) if label and i not in used]
         self._compile(own, merges)
+        self._trie(own)
+        self.split = regex.compile(SPLIT)
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.known: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
+
+    def _trie(self, own: list[int]) -> None:
+        """goes: from node << 8 | byte to a node. last: the longest token that ends at a node. shorter: a token's longest proper ending that is one."""
         self.goes: dict[int, int] = {}
-        self.token: list[int] = [-1]
+        self.fails, self.last, self.shorter, self.whole = [0], [-1], [-1] * len(self.labels), {}
+        level: list[tuple[int, int, int]] = []  # parent, byte, node
         for i in own:
             at = 0
             for b in self.labels[i]:
                 nxt = self.goes.get(at << 8 | b)
                 if nxt is None:
-                    nxt = self.goes[at << 8 | b] = len(self.token)
-                    self.token.append(-1)
+                    nxt = self.goes[at << 8 | b] = len(self.last)
+                    self.last.append(-1)
+                    self.fails.append(0)
+                    level.append((at, b, nxt))
                 at = nxt
-            self.token[at] = i
-        self.split = regex.compile(SPLIT)
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
+            self.last[at] = i
+            self.whole[self.labels[i]] = i
+        deep = [0] * len(self.last)
+        for parent, _, node in level:  # a parent's number is less than its child's
+            deep[node] = deep[parent] + 1
+        for parent, b, node in sorted(level, key=lambda x: deep[x[2]]):
+            fail = 0
+            if parent:
+                at = self.fails[parent]
+                while (fail := self.goes.get(at << 8 | b)) is None and at:
+                    at = self.fails[at]
+                fail = fail or 0
+            self.fails[node] = fail
+            if self.last[node] < 0:
+                self.last[node] = self.last[fail]
+            else:
+                self.shorter[self.last[node]] = self.last[fail]
+        self.links: dict[int, int] = {}
+
+    def _failed(self, at: int, b: int) -> int:
+        """Where byte b leads from a node without a child for it."""
+        key, goes = at << 8 | b, self.goes
+        nxt = self.links.get(key)
+        if nxt is None:
+            while at and nxt is None:
+                at = self.fails[at]
+                nxt = goes.get(at << 8 | b)
+            nxt = nxt or 0
+            if len(self.links) >= WORDS_KEPT:
+                self.links.clear()
+            self.links[key] = nxt
+        return nxt
 
     def _compile(self, own: list[int], merges: list[tuple[int, int, int]]) -> None:
         """The states: state[t] behind token t, gone[s] the row of state s, at[x] the place of arc x in a row (-1: it never goes)."""
@@ -114,6 +152,8 @@ class MergeAutomaton:
         self.state = [states.setdefault(row.tobytes(), len(states)) for row in rows]
         self.gone = list(states)
         self.at = np.where(place >= 0, near[place], -1).tolist()
+        self.behind = [self.gone[k] for k in self.state] + [self.gone[0]]  # the last: before any token
+        self.size = list(map(len, self.labels))
 
     def arc(self, t: int, x: int) -> bool:
         """Whether token x may follow token t."""
@@ -122,27 +162,25 @@ class MergeAutomaton:
 
     def encode_word(self, raw: bytes) -> tuple[int, ...]:
         """The path of raw. Each offset is reached by one arc, the last of its prefix's path."""
-        n, goes, token, state, gone, place = len(raw), self.goes, self.token, self.state, self.gone, self.at
-        row, came = [gone[0]] * (n + 1), [-1] * (n + 1)
-        for start in range(n):
-            if start and came[start] < 0:
-                continue
-            own, at = row[start], 0
-            for j in range(start, n):
-                at = goes.get(at << 8 | raw[j])
-                if at is None:
-                    break
-                x = token[at]
-                if x >= 0:
-                    c = place[x]
-                    if c < 0 or not own[c >> 3] >> (c & 7) & 1:
-                        came[j + 1] = x
-                        row[j + 1] = gone[state[x]]
-        path, end = [], n
+        if raw in self.whole:  # an arc from the start
+            return (self.whole[raw],)
+        goes, last, shorter, place, behind, size = self.goes.get, self.last, self.shorter, self.at, self.behind, self.size
+        row, came, at, end = [behind[-1]], [-1], 0, 0
+        for b in raw:
+            nxt = goes(at << 8 | b)
+            at = self._failed(at, b) if nxt is None else nxt
+            end += 1
+            x = last[at]
+            while (c := place[x]) >= 0 and row[end - size[x]][c >> 3] >> (c & 7) & 1:
+                x = shorter[x]
+            came.append(x)
+            row.append(behind[x])
+        path = []
         while end:
             path.append(came[end])
-            end -= len(self.labels[came[end]])
-        return tuple(reversed(path))
+            end -= size[came[end]]
+        path.reverse()
+        return tuple(path)
 
     def words(self, text: str) -> list[tuple[int, str, bytes, tuple[int, ...]]]:
         """For each word of the text, special tokens included: number of tokens, their ids as text and as numbers, their labels joined."""
