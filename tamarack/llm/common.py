@@ -36,9 +36,33 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+class passing:
+    """with passing() as own: the tables that written() makes inside are deleted when it ends, in whatever way, but for those given to own.keep();
+    these belong to what is around it. What reads them later must be done with the others."""
+
+    def __enter__(self) -> passing:
+        self.kept: set[str] = set()
+        _open.append([])
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {t.scratch_path for t in tables}
+
+    def __exit__(self, *_) -> None:
+        own = _open.pop()
+        dropped(*[t for t in own if t.scratch_path not in self.kept])
+        if _open:
+            _open[-1].extend(t for t in own if t.scratch_path in self.kept)
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Deletes tables of written() that no later step reads."""
     for df in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import written
+from tamarack.llm.common import passing, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,6 +15,11 @@ def components(links: DataFrame) -> DataFrame:
     the joined vertices go on to the next round. A hash, drawn anew each round, makes the number of vertices fall by a
     constant factor even along chains. The joins are then followed back. Every round is a written table.
     """
+    with passing() as own:
+        return _components(links, own)
+
+
+def _components(links: DataFrame, own: passing) -> DataFrame:
     rounds = []
     left = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "links")
     while not left.isEmpty():
@@ -27,9 +32,12 @@ def components(links: DataFrame) -> DataFrame:
         moved = left.join(ends("a"), "a").join(ends("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
         left = written(moved.filter("a <> b").distinct(), "links")
     if not rounds:
+        own.keep(left)
         return left.select(F.col("a").alias("v"), F.col("b").alias("root"))
     found = rounds[-1].select("v", F.col("to").alias("root"))
+    last = rounds[-1]
     for joined in reversed(rounds[:-1]):
         later = found.select(F.col("v").alias("to"), "root")
-        found = written(joined.join(later, "to", "left").select("v", F.coalesce("root", "to").alias("root")), "roots")
+        last = found = written(joined.join(later, "to", "left").select("v", F.coalesce("root", "to").alias("root")), "roots")
+    own.keep(last)
     return found

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import n_words, row_mark, written
+from tamarack.llm.common import n_words, passing, row_mark, written
 
 BUCKETS, SEED = 4096, 20_240_601
 
@@ -63,9 +63,12 @@ def mixed(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), max_epochs: float =
     by source and size. An empty table gives an empty table. The same rows and seed give the same mix.
     """
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")), "mix-sizes")
-    sources = written(targets(sized, weights, max_epochs).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0))
-        .withColumn("rest", (F.round("target") - F.col("passes") * F.col("source_size")).cast("long")), "mix-targets")
+    with passing() as own:
+        sized = written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")), "mix-sizes")
+        passes = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0)
+        sources = targets(sized, weights, max_epochs).withColumn("passes", passes)
+        sources = written(sources.withColumn("rest", (F.round("target") - F.col("passes") * F.col("source_size")).cast("long")), "mix-targets")
+        own.keep(sized, sources)
     # null ids share a key: there, a bucket is of one size
     of_null = F.xxhash64(F.lit(seed), F.lit(None).cast("long"))
     inner = F.when(F.col("doc_id").isNull(), F.col("size") + 1).when(F.col("key") < of_null, 0).otherwise((1 << 63) - 1)

@@ -15,7 +15,7 @@ shingles are held against one another by the same join. Sketches tell which may
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import freed, row_mark, written
+from tamarack.llm.common import freed, passing, row_mark, written
 from tamarack.llm.components import components
 
 BUDGET, GROUP, WIDTH, AT_ONCE = 2, 1024, 3, 4_000_000
@@ -117,9 +117,9 @@ def quickly_hashed(text: str, width: int, known: Hashes) -> np.ndarray:
     return h
 
 
-def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
+def marks(docs: DataFrame, width: int, keys: int, sets: bool = True) -> DataFrame:
     """doc_id, mark, id (a hash of the set of shingles), fp (of that set too), keys (that many, each of BAND minima of rehashed shingle hashes), sketch,
-    set (the distinct shingle hashes, sorted) for each row of docs."""
+    set (the distinct shingle hashes, sorted; null without sets) for each row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factors = (np.random.default_rng(11).integers(1 << 62, 1 << 63, keys * BAND).astype(np.uint64) | np.uint64(1))[:, None]
@@ -136,14 +136,27 @@ def marks(docs: DataFrame, width: int, keys: int) -> DataFrame:
                 else:
                     least = np.zeros(keys * BAND, np.uint64)
                 band = [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(keys, BAND))]
-                rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(u), band, sketch(u), u.tobytes()))
-            ids, fps, bands, sketches, sets = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                rows.append((xxhash.xxh64_intdigest(u.tobytes(), 7), bits_of(u), band, sketch(u), u.tobytes() if sets else None))
+            ids, fps, bands, sketches, own = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             whole = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "id": whole(ids), "fp": whole(fps), "keys": bands, "sketch": sketches, "set": sets})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "id": whole(ids), "fp": whole(fps), "keys": bands, "sketch": sketches, "set": own})
 
     return docs.select(F.col("doc_id").cast("long"), row_mark(docs), "text").mapInPandas(run, "doc_id long, mark long, id long, fp long, keys array<long>, sketch binary, set binary")
 
 
+def sets_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """id, set: the shingle hashes of the rows of docs whose marks are wanted (mark, id), made anew, so that sets of others are never stored."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Hashes()
+        for b in batches:
+            rows = [(i, np.unique(quickly_hashed(t or "", width, known)).tobytes()) for i, t in zip(b["id"].tolist(), b["text"], strict=True)]
+            ok = [r for r in rows if xxhash.xxh64_intdigest(r[1], 7) == r[0] % (1 << 64)]  # another row may have the same mark
+            yield pd.DataFrame(ok, columns=["id", "set"]).astype({"id": "int64"})
+
+    return docs.select(row_mark(docs), "text").join(wanted, "mark").select("id", "text").mapInPandas(run, "id long, set binary")
+
+
 def trie_join(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, starts2: np.ndarray | None = None, ends2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of linked fingerprints, from the groups fps[start:end]; in a group, fingerprints are sorted. A pair comes once, a place
     with itself not at all. With starts2 and ends2, links between each group and the range of its group given there.
@@ -414,10 +427,10 @@ def within(one: DataFrame, data: DataFrame, budget: int, least: float, most: int
     return linked.unionByName(more)
 
 
-def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = None, sets: DataFrame | None = None) -> DataFrame:
+def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = None, sets: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """a, b: links among kinds (id, fp, keys, sketch) that share one of their keys, differ in at most `budget` bits and have sketches of a
-    likeness of `least` or more; with sets (id, set; rows may repeat), sets of that similarity. Sets travel only for the ids that sketches
-    leave a partner.
+    likeness of `least` or more; with sets (id, set; rows may repeat; or a function that gives those of a table of ids), sets of that
+    similarity. Sets travel only for the ids that sketches leave a partner.
 
     For budgets that slices of the fingerprint can't serve. Texts of Jaccard similarity s share a given key with chance s ^ BAND.
     """
@@ -428,19 +441,21 @@ def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = N
         return within(one, data, budget, least, most)
     likely = within(one, data, budget, least - SLACK, most)
     likely = written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "likely")
-    whole = written(sets.join(likely, "id", "left_semi").dropDuplicates(["id"]).join(data, "id"), "sets")
+    freed(kinds.sparkSession)
+    found = sets(likely) if callable(sets) else sets.join(likely, "id", "left_semi")
+    whole = written(found.dropDuplicates(["id"]).join(data, "id"), "sets")
     freed(kinds.sparkSession)
     return within(one.join(likely, "id"), whole, budget, least, most)
 
 
-def named(marked: DataFrame, by: str, linked: DataFrame, kinds: DataFrame) -> DataFrame:
-    """marked with root, which stands for all that links between values of the column `by` reach, and component_id, the smallest doc_id
+def names(by: str, linked: DataFrame, kinds: DataFrame) -> DataFrame:
+    """by, root, which stands for all that links between values of the column `by` reach, and component_id, the smallest doc_id
     (first, in kinds) of these."""
     roots = written(components(linked), "components")
     of = kinds.join(roots.withColumnRenamed("v", by), by, "left").select(by, "first", F.coalesce("root", by).alias("root"))
-    names = written(of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(by, "root", "component_id"), "names")
-    freed(marked.sparkSession)
-    return marked.join(names, by)
+    out = written(of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(by, "root", "component_id"), "names")
+    freed(kinds.sparkSession)
+    return out
 
 
 def clustered(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
@@ -449,19 +464,26 @@ def clustered(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> Data
     Null and empty texts get fingerprint 0, which links like any other. A null doc_id takes part in its text's component but
     names none; a component of null ids only has a null component_id. Repeated rows stay. An empty table gives an empty one.
     """
-    marked = written(fingerprints(docs, width), "fingerprints")
-    kinds = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "kinds")
-    return named(marked, "fp", links(kinds.select("fp"), budget), kinds).select("doc_id", "fp", "component_id")
+    with passing() as own:
+        marked = written(fingerprints(docs, width), "fingerprints")
+        kinds = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "kinds")
+        named = names("fp", links(kinds.select("fp"), budget), kinds)
+        own.keep(marked, named)
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_named(docs: DataFrame, width: int, budget: int, keys: int, least: float) -> DataFrame:
     """doc_id, mark (of row_mark), root, component_id for each row of docs, by the links of near_links. Rows of one component have one root,
     and a root has one component, null ids or not."""
-    marked = written(marks(docs, width, keys), "fingerprints")
-    kinds = marked.groupBy("id").agg(F.min("doc_id").alias("first"), F.first(F.struct("fp", "keys", "sketch")).alias("of"))
-    kinds = written(kinds.select("id", "first", "of.*"), "kinds")
-    linked = near_links(kinds, budget, least, sets=marked.select("id", "set"))
-    return named(marked.select("doc_id", "mark", "id"), "id", linked, kinds.select("id", "first")).drop("id")
+    with passing() as own:
+        marked = written(marks(docs, width, keys, False).drop("set"), "fingerprints")
+        rows = written(marked.select("doc_id", "mark", "id"), "rows")
+        kinds = marked.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("mark").alias("mark"), F.first(F.struct("fp", "keys", "sketch")).alias("of"))
+        kinds = written(kinds.select("id", "first", "mark", "of.*"), "kinds")
+        linked = near_links(kinds, budget, least, sets=lambda likely: sets_of(docs, width, kinds.select("id", "mark").join(likely, "id", "left_semi")))
+        named = names("id", linked, kinds.select("id", "first"))
+        own.keep(rows, named)
+    return rows.join(named, "id").drop("id")
 
 
 def near_clustered(docs: DataFrame, width: int, budget: int, keys: int, least: float) -> DataFrame:
@@ -473,9 +495,12 @@ def near_clustered(docs: DataFrame, width: int, budget: int, keys: int, least: f
 def deduplicated(docs: DataFrame, width: int, budget: int, keys: int, least: float = 0.8) -> DataFrame:
     """docs with one row of each component of near_clustered: that of its smallest doc_id, and of these, of the least hash of its values. A row
     of null doc_id stays only where its component has no other. Of equal rows, one stays. Columns are those of docs."""
-    found = near_named(docs, width, budget, keys, least)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("of"))
-    first = first.select(F.col("of.doc_id").alias("id_"), F.col("of.mark").alias("mark_"))
+    with passing() as own:
+        found = near_named(docs, width, budget, keys, least)
+        first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("of"))
+        first = written(first.select(F.col("of.doc_id").alias("id_"), F.col("of.mark").alias("mark_")), "kept")
+        own.keep(first)
+    freed(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), row_mark(docs))
     return rows.join(first, F.col("doc").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).dropDuplicates(["doc", "mark"]).select("row.*")
 

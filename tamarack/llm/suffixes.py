@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import dropped, freed, written
+from tamarack.llm.common import dropped, freed, passing, written
 
 LENGTH, PASSAGE, PARTS, BUNDLE, MOST, PIECE = 400, 50, 4, 100_000, 4096, 1 << 18
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
@@ -389,6 +389,13 @@ def marked(docs: DataFrame, most: int | None = None) -> DataFrame:
     """x, y, spans (of size, start, end): the repeated strings of each text that has any, of both sizes. docs: x, y, text; x and y name the text.
 
     Each step's result is written, and the tables and shuffles that no later step reads go at once, so that the disk holds about one step."""
+    with passing() as own:
+        spans = _marked(docs, most or MOST)
+        own.keep(spans)
+    return spans
+
+
+def _marked(docs: DataFrame, most: int) -> DataFrame:
     spark, text = docs.sparkSession, ["x", "y"]
     found = written(all_anchors(docs), "anchors")
     kinds = written(found.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct(*text, "at")).alias("one"), *[F.min(c).alias(c) for c in ("size", "left", "right")]), "contexts")
@@ -402,7 +409,7 @@ def marked(docs: DataFrame, most: int | None = None) -> DataFrame:
     rows = written(ranges(docs.join(asked, text).dropDuplicates(text)), "ranges")
     dropped(asked)
     freed(spark)
-    small, marks, read = narrowed(rows, most or MOST)
+    small, marks, read = narrowed(rows, most)
     few = small[0]
     for more in small[1:]:
         few = few.unionByName(more)
