@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.llm import bpe, mixing, quality, secrets, simhash
-from tamarack.llm.common import read, written
+from tamarack.llm.common import dropped, passing, read, written
 from tamarack.llm.queries import tokenizer
 
 #: Texts link where sets of five-word shingles are so similar and one of so many keys is shared. Fingerprints only sort out beforehand what
@@ -48,7 +48,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir. Each stage's result is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, "stage")
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with passing() as own:  # what a stage wrote for itself goes with the table it read
+            before, docs = docs, written(stage(spark, docs, sf_dir), "stage")
+            own.keep(docs)
+        dropped(before)
