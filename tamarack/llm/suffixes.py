@@ -386,7 +386,8 @@ def narrowed(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFram
 
 
 def marked(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """x, y, spans (of size, start, end): the repeated strings of each text that has any, of both sizes. docs: x, y, text; x and y name the text.
+    """x, y, spans (of size, start, end): the repeated strings of each text that has any, of both sizes. docs: x, y, row, text; x and y name the text, row tells
+    its copies apart: the one of least row is read for all, and copies do not meet.
 
     Each step's result is written, and the tables and shuffles that no later step reads go at once, so that the disk holds about one step."""
     with passing() as own:
@@ -402,11 +403,12 @@ def _marked(docs: DataFrame, most: int) -> DataFrame:
     freed(spark)
     unlike = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
     asked = kinds.join(unlike, "h", "left_semi").select("one.x", "one.y", F.struct("size", "h", "c", "one.at", "left", "right").alias("a"))
-    asked = written(asked.groupBy(*text).agg(F.collect_list("a").alias("asked")), "asked")  # a text's own anchors
+    least = docs.groupBy(*text).agg(F.min("row").alias("row"))
+    asked = written(asked.groupBy(*text).agg(F.collect_list("a").alias("asked")).join(least, text), "asked")  # a text's own anchors
     whole = written(kinds.filter("n > 1").select("h", "c", (-F.col("left")).alias("start"), (F.when(F.col("size") == WORDS.length, WORDS.anchor).otherwise(BYTES.anchor) + F.col("right")).alias("end")), "marks")
     dropped(kinds)
     freed(spark)
-    rows = written(ranges(docs.join(asked, text).dropDuplicates(text)), "ranges")
+    rows = written(ranges(docs.join(asked, [*text, "row"]).dropDuplicates([*text, "row"])), "ranges")
     dropped(asked)
     freed(spark)
     small, marks, read = narrowed(rows, most)
@@ -440,7 +442,7 @@ def cleaned(docs: DataFrame, most: int | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     own = own.withColumn("x", F.xxhash64("text")).withColumn("y", F.xxhash64(F.lit(1), "text"))
-    both = own.join(marked(own.select("x", "y", "text"), most), ["x", "y"], "left").select("doc_id", "text", "spans")
+    both = own.join(marked(own.select("x", "y", F.xxhash64("doc_id").alias("row"), "text"), most), ["x", "y"], "left").select("doc_id", "text", "spans")
 
     def joined(found: np.ndarray | None, z: Size) -> list[tuple[int, int]]:
         found = [] if found is None else [s for s in found if s["size"] == z.length]
