@@ -37,6 +37,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Words(dict):
+    """What _word says of words; long ones are not kept, and all are forgotten when there are many."""
+
+    def __init__(self, automaton: MergeAutomaton):
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: str) -> tuple[int, str, bytes, tuple[int, ...]]:
+        got = self.automaton._word(self.automaton.encode_word(word.encode()))
+        if len(word) <= LONG:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = got
+        return got
+
+
 class MergeAutomaton:
     """labels: the bytes of each token id. merges: (u, v, w) ids by rank. special: text -> id of tokens matched before splitting."""
 
@@ -52,7 +68,7 @@ class MergeAutomaton:
         self._trie(own)
         self.split = regex.compile(SPLIT)
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
+        self.known = Words(self)
 
     def _trie(self, own: list[int]) -> None:
         """goes: from node << 8 | byte to a node. last: the longest token that ends at a node. shorter: a token's longest proper ending that is one."""
@@ -139,7 +155,7 @@ class MergeAutomaton:
             gadgets.append((tails, arcs))
             gone_at[arcs] = True
         near = np.where(gone_at, np.cumsum(gone_at) - 1, -1)
-        width = int(gone_at.sum()) + 7 >> 3
+        width = max(1, int(gone_at.sum()) + 7 >> 3)
         rows = np.zeros((size, width), np.uint8)
         for tails, arcs in gadgets:
             if len(tails) and len(arcs):
@@ -154,6 +170,7 @@ class MergeAutomaton:
         self.at = np.where(place >= 0, near[place], -1).tolist()
         self.behind = [self.gone[k] for k in self.state] + [self.gone[0]]  # the last: before any token
         self.size = list(map(len, self.labels))
+        self.asked = [(c >> 3, 1 << (c & 7), n) if c >= 0 else (0, 0, n) for c, n in zip(self.at, self.size, strict=True)]  # byte and bit of a row, and length
 
     def arc(self, t: int, x: int) -> bool:
         """Whether token x may follow token t."""
@@ -164,15 +181,16 @@ class MergeAutomaton:
         """The path of raw. Each offset is reached by one arc, the last of its prefix's path."""
         if raw in self.whole:  # an arc from the start
             return (self.whole[raw],)
-        goes, last, shorter, place, behind, size = self.goes.get, self.last, self.shorter, self.at, self.behind, self.size
+        goes, last, shorter, asked, behind, size, failed = self.goes.get, self.last, self.shorter, self.asked, self.behind, self.size, self._failed
         row, came, at, end = [behind[-1]], [-1], 0, 0
         for b in raw:
-            nxt = goes(at << 8 | b)
-            at = self._failed(at, b) if nxt is None else nxt
+            at = goes(at << 8 | b) or failed(at, b)
             end += 1
             x = last[at]
-            while (c := place[x]) >= 0 and row[end - size[x]][c >> 3] >> (c & 7) & 1:
+            k, bit, n = asked[x]
+            while row[end - n][k] & bit:
                 x = shorter[x]
+                k, bit, n = asked[x]
             came.append(x)
             row.append(behind[x])
         path = []
@@ -198,16 +216,7 @@ class MergeAutomaton:
         return len(ids), ",".join(map(str, ids)), b"".join(map(self.labels.__getitem__, ids)), ids
 
     def _plain(self, text: str, out: list) -> None:
-        known, found = self.known, self.split.findall(text)
-        fresh = set(found).difference(known)
-        for word in fresh:
-            known[word] = self._word(self.encode_word(word.encode()))
-        out.extend(map(known.__getitem__, found))
-        for word in fresh:
-            if len(word) > LONG:
-                del known[word]
-        if len(known) > WORDS_KEPT:
-            known.clear()
+        out.extend(map(self.known.__getitem__, self.split.findall(text)))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(w[3] for w in self.words(text)))
