@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,37 +32,70 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder. It cuts the lineage, and outlives any executor."""
+    """df as a Parquet table in the shared folder. It cuts the lineage, and outlives any executor. The write's own shuffles go when it ends.
+    What no frame (passing) or dropped() deletes before, as a lazy result may still read it, goes when the application ends."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    if _open:
-        _open[-1].append(out)
+    frames = _open.get()
+    if frames:
+        frames[-1].append(out)
     return out
 
 
-_open: list[list[DataFrame]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning, _lock = [0, None], threading.Lock()
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries that end inside have their shuffle files removed as they end, by Spark; the session's own setting returns with the last that is open."""
+    with _lock:
+        if not _cleaning[0]:
+            _cleaning[1] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _cleaning[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _cleaning[0] -= 1
+            if not _cleaning[0]:
+                spark.conf.set(_CLEANUP, _cleaning[1])
+
+
+#: The frames that are open where this is read: each thread, and each asynchronous task, has its own.
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("tables", default=())
 
 
 class passing:
-    """with passing() as own: the tables that written() makes inside are deleted when it ends, in whatever way, but for those given to own.keep();
-    these belong to what is around it. What reads them later must be done with the others."""
+    """with passing() as own: the tables that written() makes inside, in the same thread, are deleted when it ends, in whatever way, but for those given to
+    own.keep(); these belong to what is around it. What reads them later must be done with the others."""
 
     def __enter__(self) -> passing:
         self.kept: set[str] = set()
-        _open.append([])
+        self.own: list[DataFrame] = []
+        self.token = _open.set((*_open.get(), self.own))
         return self
 
     def keep(self, *tables: DataFrame) -> None:
         self.kept |= {t.scratch_path for t in tables}
 
     def __exit__(self, *_) -> None:
-        own = _open.pop()
-        dropped(*[t for t in own if t.scratch_path not in self.kept])
-        if _open:
-            _open[-1].extend(t for t in own if t.scratch_path in self.kept)
+        _open.reset(self.token)
+        dropped(*[t for t in self.own if t.scratch_path not in self.kept])
+        for outer in _open.get()[-1:]:
+            outer.extend(t for t in self.own if t.scratch_path in self.kept)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def dropped(*tables: DataFrame | None) -> None:
@@ -68,14 +103,9 @@ def dropped(*tables: DataFrame | None) -> None:
     for df in tables:
         path = df is not None and df.__dict__.get("scratch_path")
         if path:
-            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def freed(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps; it acts on collected garbage only."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+            fs, at = _hadoop(df.sparkSession, path)
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
 
 
 def row_mark(docs: DataFrame, within: str = "") -> Column:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import freed, passing, written
+from tamarack.llm.common import passing, shuffles_dropped, written
 
 BLOCK_BYTES, RANGE_TOKENS, FOLDS, DELETED = 6 << 20, 1 << 19, 10, 1
 #: Estimates are told apart to half an octave: 32 * (2 * 47 + 1)^2 classes, or 9 MB, at the very most for 2^47 tokens.
@@ -261,10 +261,10 @@ def scored(docs: DataFrame, fan: int = FAN) -> DataFrame:
     with passing() as own:
         answers = counted(asked(rows, width, fan), width, ranges, fan)
         own.keep(answers)
-    freed(spark)
     n_kept, n_gone, v_kept, v = (x or 0 for x in answers.filter("block = -1").agg(*[F.sum(c) for c in ("n_kept", "n_gone", "v_kept", "v_all")]).first())
-    weights = learnt(events(rows, answers, max(n_kept, 1)).toPandas(), v_kept)
-    freed(spark)
+    with shuffles_dropped(spark):
+        found = events(rows, answers, max(n_kept, 1)).toPandas()
+    weights = learnt(found, v_kept)
     n = n_kept + n_gone
 
     def run(key: tuple, d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:

@@ -1,11 +1,11 @@
-"""The queries of the ten operators, and their SQL where there is some. Parameters are those of production."""
+"""The queries of the operators, and their SQL where there is some. Parameters are those of production."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import bpe, fingerprints, lm, mixing, quality, rules, secrets, simhash, suffixes, token_counts
+from tamarack.llm import bpe, embeddings, fim, fingerprints, lm, merkle, mixing, quality, rules, secrets, simhash, suffixes, token_counts
 from tamarack.llm.common import read
 
 
@@ -57,5 +57,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(read(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_fingerprints, op4_bpe, op5_lm, op6_simhash, op7_suffixes, op8_token_counts, op9_mixing, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(read(spark, sf_dir, "documents"))
+
+
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.report(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_secrets, op3_fingerprints, op4_bpe, op5_lm, op6_simhash, op7_suffixes, op8_token_counts, op9_mixing, op10_quality_rules, op11_fim, op12_merkle, op13_embeddings,
+    )
+}
+ORACLES: dict[str, str] = {"op11_fim": fim.ORACLE, "op12_merkle": merkle.ORACLE, "op13_embeddings": embeddings.ORACLE}

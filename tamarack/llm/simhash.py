@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import freed, passing, row_mark, written
+from tamarack.llm.common import passing, row_mark, written
 from tamarack.llm.components import components
 
 BUDGET, GROUP, WIDTH, AT_ONCE = 2, 1024, 3, 4_000_000
@@ -441,10 +441,8 @@ def near_links(kinds: DataFrame, budget: int, least: float, most: int | None = N
         return within(one, data, budget, least, most)
     likely = within(one, data, budget, least - SLACK, most)
     likely = written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "likely")
-    freed(kinds.sparkSession)
     found = sets(likely) if callable(sets) else sets.join(likely, "id", "left_semi")
     whole = written(found.dropDuplicates(["id"]).join(data, "id"), "sets")
-    freed(kinds.sparkSession)
     return within(one.join(likely, "id"), whole, budget, least, most)
 
 
@@ -454,7 +452,6 @@ def names(by: str, linked: DataFrame, kinds: DataFrame) -> DataFrame:
     roots = written(components(linked), "components")
     of = kinds.join(roots.withColumnRenamed("v", by), by, "left").select(by, "first", F.coalesce("root", by).alias("root"))
     out = written(of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(by, "root", "component_id"), "names")
-    freed(kinds.sparkSession)
     return out
 
 
@@ -500,7 +497,6 @@ def deduplicated(docs: DataFrame, width: int, budget: int, keys: int, least: flo
         first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("of"))
         first = written(first.select(F.col("of.doc_id").alias("id_"), F.col("of.mark").alias("mark_")), "kept")
         own.keep(first)
-    freed(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), row_mark(docs))
     return rows.join(first, F.col("doc").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).dropDuplicates(["doc", "mark"]).select("row.*")
 

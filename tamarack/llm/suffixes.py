@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import dropped, freed, passing, written
+from tamarack.llm.common import dropped, passing, written
 
 LENGTH, PASSAGE, PARTS, BUNDLE, MOST, PIECE = 400, 50, 4, 100_000, 4096, 1 << 18
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
@@ -400,17 +400,14 @@ def _marked(docs: DataFrame, most: int) -> DataFrame:
     spark, text = docs.sparkSession, ["x", "y"]
     found = written(all_anchors(docs), "anchors")
     kinds = written(found.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct(*text, "at")).alias("one"), *[F.min(c).alias(c) for c in ("size", "left", "right")]), "contexts")
-    freed(spark)
     unlike = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
     asked = kinds.join(unlike, "h", "left_semi").select("one.x", "one.y", F.struct("size", "h", "c", "one.at", "left", "right").alias("a"))
     least = docs.groupBy(*text).agg(F.min("row").alias("row"))
     asked = written(asked.groupBy(*text).agg(F.collect_list("a").alias("asked")).join(least, text), "asked")  # a text's own anchors
     whole = written(kinds.filter("n > 1").select("h", "c", (-F.col("left")).alias("start"), (F.when(F.col("size") == WORDS.length, WORDS.anchor).otherwise(BYTES.anchor) + F.col("right")).alias("end")), "marks")
     dropped(kinds)
-    freed(spark)
     rows = written(ranges(docs.join(asked, [*text, "row"]).dropDuplicates([*text, "row"])), "ranges")
     dropped(asked)
-    freed(spark)
     small, marks, read = narrowed(rows, most)
     few = small[0]
     for more in small[1:]:
@@ -420,13 +417,11 @@ def _marked(docs: DataFrame, most: int) -> DataFrame:
         every = every.unionByName(more)
     every = written(every, "marks")
     dropped(whole, *read)
-    freed(spark)
     own = found.select(*text, "size", "at", "h", "c").join(every, ["h", "c"]).select(*text, "size", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("self") - 2, F.lit(2)), lambda k: F.struct(F.get("self", k).alias("start"), F.get("self", k + 1).alias("end")))
     selves = found.filter("self is not null").select(*text, "size", F.inline(pairs))
     spans = written(own.unionByName(selves).groupBy(*text).agg(F.collect_set(F.struct("size", "start", "end")).alias("spans")), "spans")
     dropped(found, every)
-    freed(spark)
     return spans
 
 
