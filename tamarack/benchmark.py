@@ -34,19 +34,16 @@ def alignment_digest(c: Config) -> str:
 
 
 def prepare(spark: SparkSession, c: Config) -> list[str]:
-    """Makes each dataset's trials by its adapter, saves those of new subjects, and writes its manifest. Gives the manifests' paths."""
+    """Makes each dataset's trials by its adapter, or from the recordings in cache_root/<dataset>, saves those of new subjects, and writes its manifest. Gives the manifests' paths."""
     archive.register(spark)
     out, p = [], c["preprocessing"]
     for d in c["datasets"]:
-        name = "synthetic" if d["name"] == "SyntheticMI" else d["name"]
-        if name not in archive.ADAPTERS:
-            raise ValueError(f"no adapter is registered for dataset {d['name']}")
         options = {k: str(v) for k, v in p.items() if v is not None and not isinstance(v, list)} | {"rate": str(p["resample"]), "seed": str(c["experiment"]["seed"]), "dataset": d["name"]}
         if p["channels"]:
-            options["channels"] = str(len(p["channels"])) if name == "synthetic" else ",".join(p["channels"])
-        listed = archive.ADAPTERS[name][0](options)
-        options["only"] = ",".join(shards.resolved(listed, d["subjects"], d["exclude_subjects"]))
-        trials = spark.read.format("trials").option("adapter", name).options(**options).load()
+            options["channels"] = str(len(p["channels"])) if d["name"] == "SyntheticMI" else ",".join(p["channels"])
+        folder = f"{c['experiment']['cache_root']}/{d['name']}"
+        chosen = shards.resolved(archive.available(spark, d["name"], folder, options), d["subjects"], d["exclude_subjects"])
+        trials = archive.trials(spark, d["name"], folder, options, p, chosen)
         shards.save(trials, c.processed_dir, p, provenance.package_versions(), c["runtime"]["overwrite_processed"])
         shards.dataset_manifest(spark, c.processed_dir, d["name"], c.preprocessing_fingerprint)
         out.append(f"{c.processed_dir}/{d['name']}.manifest.json")

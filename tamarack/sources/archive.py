@@ -1,17 +1,18 @@
 """A data source of trials: spark.read.format("trials").option("adapter", name).load(), one partition for each subject.
 
 An adapter makes a subject's trials where its partition is read, so that a public archive is fetched and filtered on the executors.
-The synthetic adapter is built in; others are registered by name. No archive is reachable without a network, so none comes along.
+The synthetic adapter is built in; others are registered by name. No archive is reachable without a network, so none comes along. A dataset
+without an adapter may lie as recordings in a folder of its name (see recordings.py).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tamarack.sources import synthetic
+from tamarack.sources import files, recordings, synthetic
 
 #: name -> (subjects of the options, trials of a subject and the options as rows of synthetic.COLUMNS)
 ADAPTERS: dict[str, tuple[Callable[[dict], list[str]], Callable[[str, dict], Iterator[tuple]]]] = {}
@@ -78,3 +79,28 @@ class TrialSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TrialSource)
+
+
+#: The events of the two classes.
+EVENTS = {"left_hand": 0, "right_hand": 1}
+
+
+def available(spark: SparkSession, dataset: str, folder: str, options: dict) -> list[str]:
+    """The subjects of a dataset: of its adapter, or of the recordings in the folder."""
+    name = "synthetic" if dataset == "SyntheticMI" else dataset
+    if name in ADAPTERS:
+        return ADAPTERS[name][0](options)
+    if not files.exists(spark, folder):
+        raise ValueError(f"no adapter is registered for dataset {dataset}, and {folder} has no recordings")
+    return [r.subject for r in recordings.listed(spark, folder).select("subject").distinct().collect()]  # a row for each subject
+
+
+def trials(spark: SparkSession, dataset: str, folder: str, options: dict, preprocessing: dict, subjects: list[str]) -> DataFrame:
+    """The trials of these subjects, by the dataset's adapter or from its recordings."""
+    name = "synthetic" if dataset == "SyntheticMI" else dataset
+    if name in ADAPTERS:
+        return spark.read.format("trials").option("adapter", name).options(**options, only=",".join(subjects)).load()
+    p = preprocessing
+    cut = recordings.Cut(p["fmin"], p["fmax"], p["tmin"], p["tmax"], p["resample"], EVENTS, p["channels"])
+    made = recordings.trials(spark, dataset, folder, cut, subjects)
+    return made.withColumn("x", made.x.cast("array<array<float>>").cast("array<array<double>>")) if p["dtype"] == "float32" else made
