@@ -52,7 +52,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     args = parser().parse_args(argv)
     config = load(args.config) if getattr(args, "config", None) else None
     if args.command == "environment":
-        found = provenance.environment(config, args.repository_root, args.synthetic_only)
+        found = provenance.environment(config, args.synthetic_only)
         shown(found)
         return 0 if found["status"] == "ok" else 2
     if args.command == "run" and benchmark.aligned(config) and not args.assignment_source:

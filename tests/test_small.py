@@ -1,6 +1,7 @@
 """Sources, sinks and expressions that queries don't reach, and what they refuse."""
 
 import gzip
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,12 +83,28 @@ def test_files_and_digests(spark, tmp_path):
     path = str(tmp_path / "a" / "x.json")
     files.write_json(spark, path, {"b": 1, "a": F})
     files.write_json(spark, path, {"b": 2})
-    assert files.read_json(spark, path) == {"b": 2} and files.digest(spark, path) == provenance.file_digest(path, 3)
+    assert files.read_json(spark, path) == {"b": 2} and files.digest(spark, path) == hashlib.sha256((tmp_path / "a" / "x.json").read_bytes()).hexdigest()
     for n in (1, 1, 2):
         files.replace_table(spark.range(n), str(tmp_path / "t.csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "t.csv")).count() == 2 and len(files.digest(spark, str(tmp_path / "t.csv"))) == 64
-    assert provenance.source_digest("/root/repo") == provenance.source_digest("/root/repo") and provenance.source_digest(str(tmp_path / "none")) is None
-    assert provenance.git_state(str(tmp_path))["commit"] is None and provenance.environment()["status"] == "ok"
+
+
+def test_provenance(tmp_path, monkeypatch):
+    own = tmp_path / "somepackage"
+    (own / "inner").mkdir(parents=True)
+    (own / "__init__.py").write_text("")
+    (own / "inner" / "x.py").write_text("a = 1\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    first = provenance.package_digest("somepackage")
+    (own / "inner" / "notes.txt").write_text("not a module")
+    assert provenance.package_digest("somepackage") == first
+    (own / "inner" / "x.py").write_text("a = 2\n")
+    assert provenance.package_digest("somepackage") != first and provenance.package_digest() == provenance.package_digest()
+    assert provenance.revision(str(tmp_path)) is None and provenance.revision(str(tmp_path / "none")) is None
+    assert provenance.environment()["status"] == "ok" and not provenance.unmet()
+    monkeypatch.setattr(provenance, "REQUIREMENTS", (provenance.Requirement("numpy", "1.0", "1.5"), provenance.Requirement("nowhere", "1", "2", "m")))
+    assert len(provenance.unmet()) == 1 and "numpy" in provenance.unmet()[0] and len(provenance.unmet(["m"])) == 2
+    assert provenance.environment()["status"] == "failed"
 
 
 def test_without_a_dataset(spark):
