@@ -96,6 +96,26 @@ def sources(t: DataFrame, most: int, seed: int) -> DataFrame:
     return rows.select("dataset", "target_subject", F.col("x.s").alias("source_subject"), (F.col("k") + 1).alias("place"))
 
 
+def drawn_sources(t: DataFrame, most: int, seed: int) -> DataFrame:
+    """For each target, `most` other subjects of its dataset drawn without replacement (all where there are no more), each target's draw for itself: dataset, target_subject,
+    source_subject, place.
+
+    A target takes as many hashes as it draws: the k-th draw is from the first numbers up to a bound that grows by one, and where it hits a number that is taken, the bound itself is taken
+    instead; all sets are equally likely. Numbers are those of the dataset's subjects in order, without the target's, and become subjects by a join."""
+    line = Window.partitionBy("dataset").orderBy("subject")
+    s = t.select(*SUBJECT).distinct().withColumn("number", F.row_number().over(line) - 1).withColumn("others", F.count("*").over(Window.partitionBy("dataset")) - 1)
+    draw = lambda i: (F.conv(F.substring(seeded(seed, F.col("subject"), i.cast("string")), 1, 8), 16, 10).cast("long") % F.greatest(i + 1, F.lit(1))).cast("int")
+
+    def take(had: Column, i: Column) -> Column:
+        return F.concat(had, F.array(F.when(F.array_contains(had, draw(i)), i).otherwise(draw(i))))
+
+    bounds = F.sequence(F.greatest(F.col("others") - most, F.lit(0)).cast("int"), (F.col("others") - 1).cast("int"))
+    drawn = s.filter("others > 0").withColumn("taken", F.aggregate(bounds, F.array().cast("array<int>"), take))
+    rows = drawn.select("dataset", F.col("subject").alias("target_subject"), "number", F.posexplode("taken").alias("k", "n"))
+    rows = rows.select("dataset", "target_subject", (F.col("n") + (F.col("n") >= F.col("number")).cast("int")).alias("number"), (F.col("k") + 1).alias("place"))
+    return rows.join(s.select("dataset", "number", F.col("subject").alias("source_subject")), ["dataset", "number"]).select("dataset", "target_subject", "source_subject", "place")
+
+
 def capped(t: DataFrame, cap: int, seed: int) -> DataFrame:
     """At most `cap` trials of either class of each subject, whatever the other class has."""
     w = Window.partitionBy(*SUBJECT, "label").orderBy(seeded(seed, F.col("trial_uid")), "trial_uid")
@@ -161,7 +181,7 @@ def tables(t: DataFrame, seed: int, split: dict, calibration: dict, source: dict
     target = lambda df: df.withColumnRenamed("subject", "target_subject")
     cap = source["max_trials_per_class_per_subject"] or 2**31 - 1
     taken = balanced(t, cap, seed) if source["balance_classes_within_subject"] else capped(t, cap, seed)
-    pairs = sources(t, source["max_subjects"] or 2**31 - 1, seed).drop("place")
+    pairs = drawn_sources(t, source["max_subjects"] or 2**31 - 1, seed).drop("place")
     from tamarack import functions as fn
 
     pairs = pairs.withColumn("selection_seed", fn.derive_seed(seed, F.col("dataset"), F.col("target_subject"), F.col("source_subject"), F.lit("source_trials")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,26 @@ def hash_bootstrap(df: DataFrame, keys: list[str], value: str, order: str, resam
     mean = lambda b: F.aggregate(F.sequence(F.lit(1), F.size("v")), F.lit(0.0), lambda a, i: a + F.get("v", draw(b, i).cast("int"))) / F.size("v")
     means = F.explode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), mean))
     return g.select(*keys, means.alias("m")).groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
+
+
+#: Chances that a draw of n out of n takes a row at most so often, as n grows: steps of the Poisson distribution of mean 1. 32 bits do not reach further.
+TIMES = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def resampled_means(df: DataFrame, keys: list[str], value: str, row_id: Column, resamples: int, seed: int) -> DataFrame:
+    """keys, b (from 1), m: the mean of each of `resamples` seeded resamples of a group's finite values. How often a resample takes a row is drawn from its id alone, as is usual where no
+    task holds a group: sums add up wherever the rows are. A digest of (seed, id, four resamples) gives four draws. A resample that takes no row has none."""
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(*keys, F.col(value).cast("double").alias("v"), row_id.cast("string").alias("id"))
+    four = rows.select(*keys, "v", "id", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4))).alias("q"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "id", "q"))
+    unit = lambda k: F.conv(F.substring("digest", 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = lambda u: sum(((u >= t).cast("int") for t in TIMES), F.lit(0))
+    draws = F.array(*[F.struct((F.col("q") * 4 + k + 1).alias("b"), times(unit(k)).alias("n")) for k in range(4)])
+    taken = four.withColumn("digest", digest).select(*keys, "v", F.inline(draws)).filter((F.col("n") > 0) & (F.col("b") <= resamples))
+    return taken.groupBy(*keys, "b").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"))
+
+
+def merged_bootstrap(df: DataFrame, keys: list[str], value: str, row_id: Column, resamples: int, seed: int, level: float = 0.95) -> DataFrame:
+    """keys, ci_low, ci_high: percentile limits of resampled_means. Nothing is gathered by group but the resamples' means."""
+    tail = (1 - level) / 2
+    return resampled_means(df, keys, value, row_id, resamples, seed).groupBy(*keys).agg(F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1 - tail)).alias("ci_high"))

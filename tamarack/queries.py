@@ -295,7 +295,47 @@ def bootstrap_hash_ci(spark, d):
     return rounded(curves.hash_bootstrap(x, ["method", "budget"], "difference", "id", RESAMPLES, SEED))
 
 
-@query("""SELECT CAST(label AS INTEGER) AS label, count(*) AS n, min(length(text)) AS shortest FROM (SELECT CASE lower(trim(lang)) WHEN 'en' THEN 1 ELSE 0 END AS label, text FROM documents WHERE lang IN ('en', 'fr')) GROUP BY ALL""")
+TIMES_SQL = " + ".join(f"CAST(u >= {t!r} AS INTEGER)" for t in curves.TIMES)
+
+
+@query(f"""WITH {PAIR}, vals AS (SELECT method, budget, difference AS v, dataset || '::' || target_subject AS id FROM d WHERE isfinite(difference)),
+ digests AS (SELECT *, md5('{SEED}:' || id || ':' || ((b - 1) // 4)) AS h FROM vals, (SELECT unnest(range(1, {RESAMPLES} + 1)) AS b) x),
+ drawn AS (SELECT method, budget, b, v, {TIMES_SQL} AS n FROM (SELECT *, CAST(('0x' || substr(h, 8 * ((b - 1) % 4)::INTEGER + 1, 8)) AS BIGINT) / 4294967296 AS u FROM digests)),
+ means AS (SELECT method, budget, b, sum(n * v) / sum(n) AS m FROM drawn WHERE n > 0 GROUP BY ALL)
+SELECT method, budget, round(quantile_cont(m, 0.025), 6) + 0.0::DOUBLE AS ci_low, round(quantile_cont(m, 0.975), 6) + 0.0::DOUBLE AS ci_high FROM means GROUP BY ALL""")
+def merged_bootstrap_ci(spark, d):
+    """Intervals whose resamples add up wherever rows are."""
+    return rounded(curves.merged_bootstrap(differences(spark, d), ["method", "budget"], "difference", F.concat_ws("::", "dataset", "target_subject"), RESAMPLES, SEED))
+
+
+@query(f"""WITH {PREDICTIONS}, r AS (SELECT method, y, s, avg(rn) OVER (PARTITION BY method, s) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY s) AS rn FROM (SELECT method, y, CASE WHEN s IN (0, 1) THEN s ELSE s + CAST(('0x' || substr(md5(trial_uid), 1, 8)) AS BIGINT) / 4294967296 / 1000 END AS s
+ FROM (SELECT *, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS trial_uid FROM j, (SELECT unnest(['csp_lda', 'riemann_lr', 'logvar_lda']) AS method) m1, LATERAL (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE method WHEN 'csp_lda' THEN l_discount * 10 WHEN 'riemann_lr' THEN l_quantity / 50 ELSE (l_discount * 10 + l_quantity / 50) / 2 END)) AS s) l)))),
+ a AS (SELECT method, count(*) AS n, sum(y) AS n1, sum(rank * y) AS ranks FROM r GROUP BY ALL)
+SELECT method, n AS n_trials, round((ranks - n1 * (n1 + 1) / 2) / (n1 * (n - n1)), 6) AS roc_auc FROM a""")
+def huge_conditions(spark, d):
+    """Three conditions of all rows each, with nearly as many distinct scores, ranked in ranges."""
+    j = sources.table(spark, d, "lineitem").join(sources.table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    jitter = F.conv(F.substring(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), 1, 8), 16, 10).cast("double") / float(1 << 32) / 1000
+    scores = F.array(*[F.struct(F.lit(m).alias("method"), s.alias("s")) for m, s in (("csp_lda", F.col("l_discount") * 10), ("riemann_lr", F.col("l_quantity") / 50), ("logvar_lda", (F.col("l_discount") * 10 + F.col("l_quantity") / 50) / 2))])
+    p = j.select((F.col("l_returnflag") == "R").cast("int").alias("y_true"), jitter.alias("jitter"), F.inline(scores))
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s"))
+    p = p.withColumn("y_score", F.when(s.isin(0.0, 1.0), s).otherwise(s + F.col("jitter")))
+    return rounded(metrics.binary_metrics(p, ["method"], True).select("method", "n_trials", "roc_auc"))
+
+
+@query("""SELECT CAST(rejected AS BOOLEAN) AS rejected, CAST(label AS INTEGER) AS label, count(*) AS n, min(length(text)) AS shortest FROM (SELECT lang NOT IN ('en', 'fr', 'de', 'es') OR lang IS NULL AS rejected, CASE WHEN lang IN ('en', 'de') THEN 1 WHEN lang IN ('fr', 'es') THEN 0 END AS label, text FROM documents) GROUP BY ALL""")
 def label_encode(spark, d):
-    t = sources.table(spark, d, "documents").filter(F.col("lang").isin("en", "fr")).select(fn.encode_labels(F.col("lang"), "fr", "en").alias("label"), "text")
-    return t.groupBy("label").agg(F.count("*").alias("n"), F.min(F.length("text")).cast("long").alias("shortest"))
+    """All rows, by two encoders of two labels each; what neither takes is counted as rejected."""
+    t, lang = sources.table(spark, d, "documents"), F.lower(F.trim("lang"))
+    label = F.when(lang.isin("en", "fr"), fn.encode_labels(F.col("lang"), "fr", "en")).when(lang.isin("de", "es"), fn.encode_labels(F.col("lang"), "es", "de"))
+    t = t.select(label.alias("label"), "text").withColumn("rejected", F.col("label").isNull())
+    return t.groupBy("rejected", "label").agg(F.count("*").alias("n"), F.min(F.length("text")).cast("long").alias("shortest"))
+
+
+@query(f"""WITH {TRIALS}, u AS (SELECT DISTINCT dataset, subject FROM t), s AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY subject) - 1 AS number, count(*) OVER (PARTITION BY dataset) - 1 AS others FROM u),
+ g AS (SELECT *, list_reduce(list_prepend([]::BIGINT[], [[i] FOR i IN range(greatest(others - {POOL}, 0), others)]), lambda had, one: list_append(had, CASE WHEN list_contains(had, CAST(('0x' || substr(md5('{SEED}:' || subject || ':' || one[1]), 1, 8)) AS BIGINT) % (one[1] + 1)) THEN one[1]
+ ELSE CAST(('0x' || substr(md5('{SEED}:' || subject || ':' || one[1]), 1, 8)) AS BIGINT) % (one[1] + 1) END)) AS taken FROM s WHERE others > 0),
+ x AS (SELECT dataset, subject AS target_subject, number AS own, unnest(taken) AS n, unnest(range(1, len(taken) + 1)) AS place FROM g)
+SELECT x.dataset, x.target_subject, s.subject AS source_subject, CAST(x.place AS INTEGER) AS place FROM x JOIN s ON s.dataset = x.dataset AND s.number = x.n + CAST(x.n >= x.own AS INTEGER)""")
+def source_subject_draw(spark, d):
+    return assign.drawn_sources(sources.trials(spark, d), POOL, SEED)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarack import benchmark, plans, sources
 from tamarack.kernel_queries import epoch_trials
 from tamarack.operators import assign, bootstrap, curves, report, reuse, statistics
-from tamarack.queries import BUDGETS, CELLS, K, ORACLES, PAIR, PREDICTIONS, REPEAT, SAMPLE, SEED, SUMMARY, conditions, differences, pool, query, rounded, sample, summary
+from tamarack.queries import BUDGETS, CELLS, K, ORACLES, PAIR, REPEAT, SAMPLE, SEED, SUMMARY, TRIALS, conditions, differences, pool, query, rounded, sample, summary
 from tamarack.sources import shards
 
 #: What contrasts need of a configuration.
@@ -250,9 +250,15 @@ def contrast_trajectory(spark, d):
     return rounded(statistics.trajectory(summary(spark, d), SETTINGS))
 
 
-@query(f"""WITH {PREDICTIONS} SELECT dataset, target_subject, repeat, count(*) AS n FROM p WHERE budget = 5 GROUP BY ALL""")
+@query(f"""WITH {TRIALS}, r AS (SELECT * REPLACE ('E' || (user_id % 2) AS dataset) FROM (SELECT t.*, CAST(subject AS BIGINT) AS user_id FROM t)), e AS (SELECT dataset, subject, session, run, trial_uid, label FROM t UNION ALL SELECT dataset, subject, session, run, 'E' || trial_uid, label FROM r WHERE label = 1),
+ pos AS (SELECT *, row_number() OVER (PARTITION BY dataset, subject ORDER BY session, run, trial_uid) - 1 AS position FROM e),
+ s AS (SELECT *, CASE WHEN session = hi THEN 'test' WHEN lo < hi THEN 'calibration_pool' END AS role FROM (SELECT *, max(session) OVER (PARTITION BY dataset, subject) AS hi, min(session) OVER (PARTITION BY dataset, subject) AS lo FROM pos) WHERE lo < hi)
+SELECT dataset, subject AS target_subject, role, count(*) AS n, min(position) AS first_position, max(position) AS last_position, sum(position)::BIGINT AS positions FROM s GROUP BY ALL""")
 def reused_split_rows(spark, d):
-    """Rows by the whole key: subjects of one id are of several datasets."""
-    p = sources.predictions(spark, d).filter("budget = 5")
-    keys = p.select("dataset", "target_subject", "repeat").distinct()
-    return p.join(keys, ["dataset", "target_subject", "repeat"], "left_semi").groupBy("dataset", "target_subject", "repeat").agg(F.count("*").alias("n"))
+    """Assigned trials taken up again by position, where ids of subjects recur in other datasets with other trials."""
+    t = sources.trials(spark, d).drop("value")
+    twin = t.filter("label = 1").withColumns({"dataset": F.concat(F.lit("E"), (F.col("subject").cast("long") % 2).cast("string")), "trial_uid": F.concat(F.lit("E"), "trial_uid")})
+    both = t.unionByName(twin)
+    assigned = assign.latest_session(both).select("dataset", F.col("subject").alias("target_subject"), "trial_uid", "role")
+    g = reuse.placed(assigned, both).groupBy("dataset", "target_subject", "role")
+    return g.agg(F.count("*").alias("n"), F.min("position").cast("long").alias("first_position"), F.max("position").cast("long").alias("last_position"), F.sum("position").alias("positions"))
