@@ -19,10 +19,38 @@ def unlike(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return left.exceptAll(right).unionByName(right.exceptAll(left))
 
 
+#: Rows are summed up by so many leading bits of their hashes.
+PREFIX = 12
+
+
+def _signed(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows of both tables with all values as strings, and sign_: 1 of a, -1 of b."""
+    names = sorted(a.columns)
+    text = lambda d, sign: d.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names], F.lit(sign).alias("sign_"))
+    return text(a, 1).unionByName(text(b, -1)), names
+
+
+def unlike_prefixes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """prefix_: the leading bits of row hashes under which the tables differ as bags; there are 2^PREFIX at most. Hashes of 128 bits are summed in four parts, which
+    needs no order and adds up before anything is shuffled. Unlike bags of equal sums would need rows made for it."""
+    rows, names = _signed(a, b)
+    each = [x for c in names for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    rows = rows.select("sign_", F.xxhash64(*each).alias("x"), F.xxhash64(F.lit(1), *each).alias("y"))
+    half = (1 << 32) - 1
+    parts = [F.sum(F.col("sign_") * p) for c in "xy" for p in (F.col(c).bitwiseAND(half), F.shiftrightunsigned(c, 32))]
+    sums = rows.groupBy(F.shiftrightunsigned("x", 64 - PREFIX).alias("prefix_")).agg(F.sum("sign_").alias("n"), *[p.alias(f"s{k}") for k, p in enumerate(parts)])
+    return sums.filter(reduce(lambda p, q: p | q, [F.col(c) != 0 for c in ("n", "s0", "s1", "s2", "s3")])).select("prefix_")
+
+
 def unequal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows, as strings, that one table has more often than the other."""
-    text = lambda d: d.select(*[F.col(c).cast("string").alias(c) for c in sorted(d.columns)])
-    return text(a).exceptAll(text(b)).unionByName(text(b).exceptAll(text(a)))
+    """Rows, as strings, that one table has more often than the other, as often as it has more. Only rows under unlike prefixes are held against one another: of
+    equal tables, none."""
+    rows, names = _signed(a, b)
+    each = [x for c in names for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    bad = F.broadcast(unlike_prefixes(a, b))  # 2^PREFIX rows at most
+    left = rows.withColumn("prefix_", F.shiftrightunsigned(F.xxhash64(*each), 64 - PREFIX)).join(bad, "prefix_", "left_semi")
+    more = left.groupBy(*[f"`{c}`" for c in names]).agg(F.sum("sign_").alias("more_")).filter("more_ <> 0")
+    return more.select(*[f"`{c}`" for c in names], F.explode(F.sequence(F.lit(1), F.abs("more_").cast("int"))).alias("copy_")).drop("copy_")
 
 
 def audit(rules: dict[str, DataFrame]) -> DataFrame:
