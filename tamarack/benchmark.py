@@ -9,13 +9,13 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack import functions as fn
 from tamarack import plans, provenance
 from tamarack.config import Config, fingerprint
-from tamarack.operators import assign, curves, metrics, mixed, report, reuse, runner, statistics
+from tamarack.operators import assign, curves, metrics, mixed, published, report, reuse, runner, statistics
 from tamarack.sources import METRICS, archive, files, results, shards
 
 #: Fixed value: how aligned runs are marked.
@@ -23,6 +23,8 @@ ALIGNED = "euclidean_training_only"
 EXPLORATORY = "post_confirmatory_exploratory_robustness"
 CONDITION = ["dataset", "target_subject", "repeat", "method", "regime", "budget"]
 REUSE = "assignment_reuse_report.json"
+#: Targets that are fitted, and then written, at a time: what an interrupted run loses at most.
+WAVE = 256
 
 
 def aligned(c: Config) -> bool:
@@ -105,7 +107,8 @@ def run(spark: SparkSession, c: Config, root: str = ".", source: str | None = No
     if not c["runtime"]["resume"] and any(results.exists(spark, out, n) for n in results.TABLES):
         raise FileExistsError(f"{out} has results, and the configuration does not resume")
     t = trials(spark, c)
-    tables = assign.tables(t, c["experiment"]["seed"], c["split"], c["calibration"], c["source"])
+    draws = published if c["draws"]["stream"] == "numpy" else assign
+    tables = draws.tables(t, c["experiment"]["seed"], c["split"], c["calibration"], c["source"])
     tables = {n: results.shaped(df, n).cache() for n, df in tables.items()}
     more = {}
     if aligned(c):
@@ -120,29 +123,35 @@ def run(spark: SparkSession, c: Config, root: str = ".", source: str | None = No
     split = tables["split_assignments"]
     done = results.inside(results.read_or_empty(spark, out, "metrics", aligned(c))).select(*CONDITION)
     left = expected(split, c).join(done, CONDITION, "left_anti")
-    open_ = left.select("dataset", "target_subject").distinct().cache()
-    if open_.isEmpty():
-        return out
-    grid = runner.assigned(t, split, tables["calibration_assignments"], tables["source_trial_assignments"], repeats).join(open_, ["dataset", "target_subject"], "left_semi")
-    own = [b for b in budgets if b] if aligned(c) else budgets
-    fits = runner.fitted(grid, c["methods"], own, repeats, aligned(c), estimators).join(left.select(*CONDITION), CONDITION, "left_semi")
+    open_ = left.select("dataset", "target_subject").distinct().withColumn("wave", F.floor((F.row_number().over(Window.orderBy("dataset", "target_subject")) - 1) / WAVE)).cache()  # keys only
+    own = [x for x in budgets if x] if aligned(c) else budgets
+    for (wave,) in open_.select("wave").distinct().orderBy("wave").collect():  # a row for each wave
+        now = open_.filter(F.col("wave") == wave).drop("wave")
+        grid = runner.assigned(t, split, tables["calibration_assignments"], tables["source_trial_assignments"], repeats).join(now, ["dataset", "target_subject"], "left_semi")
+        fits = runner.fitted(grid, c["methods"], own, repeats, aligned(c), estimators).join(left.select(*CONDITION), CONDITION, "left_semi")
+        _kept(spark, c, out, fits, split)
+        if aligned(c):
+            _provenance(grid, tables, c, out)
+    failed = results.read(spark, out, "metrics", aligned(c)).filter("status <> 'ok'")
+    if not c["experiment"]["continue_on_error"] and (x := failed.limit(5).collect()):
+        raise RuntimeError(f"conditions failed: {[(r.dataset, r.target_subject, r.method, r.error_message) for r in x]}")
+    return out
+
+
+def _kept(spark: SparkSession, c: Config, out: str, fits: DataFrame, split: DataFrame) -> None:
+    """Writes a wave's predictions and failures, then its metrics, after which its conditions count as done. Each table takes a condition once, so that a wave that broke off
+    between them is written again without harm."""
     staged = f"{out}/.fits"
     fits.write.mode("overwrite").parquet(staged)  # fitted once, read by all that follows
     fits = spark.read.parquet(staged)
-    rows = metric_rows(fits, split, c)
     of_trial = split.select(*results.SPLIT, "trial_uid", "session", "run", "split_strategy")
     if c["runtime"]["save_predictions"]:
         p = fits.filter("error is null").join(of_trial, [*results.SPLIT[:3], "trial_uid"]).withColumns({"condition_seed": fn.derive_seed(c["experiment"]["seed"], *[F.col(k) for k in CONDITION]), "alignment_mode": F.lit(c["alignment"]["mode"])})
         results.append(results.outside(p), out, "predictions", results.CONDITION, aligned(c))
-    if aligned(c):
-        _provenance(grid, tables, c, out)
     bad = results.outside(fits.filter("error is not null").withColumn("error_message", F.col("error"))).join(split.select(*results.SPLIT).distinct(), results.SPLIT[:3])
-    results.shaped(bad, "failures").write.mode("append").parquet(f"{out}/failures")
-    results.append(rows, out, "metrics", results.CONDITION, aligned(c))
-    failed = results.read(spark, out, "metrics", aligned(c)).filter("status <> 'ok'")
-    if not c["experiment"]["continue_on_error"] and (x := failed.limit(5).collect()):
-        raise RuntimeError(f"conditions failed: {[(r.dataset, r.target_subject, r.method, r.error_message) for r in x]}")
-    return out
+    results.append(bad, out, "failures", results.CONDITION)
+    results.append(metric_rows(fits, split, c), out, "metrics", results.CONDITION, aligned(c))
+    files.remove(spark, staged)
 
 
 def _provenance(grid: DataFrame, tables: dict[str, DataFrame], c: Config, out: str) -> None:
@@ -344,7 +353,10 @@ def robustness(spark: SparkSession, c: Config, dataset: str, participants: int |
     many must be left without the dataset."""
     out, primary = f"{c.output_dir}/robustness", c["metrics"]["primary"]
     s, a = aggregated(spark, c, "summary_subject").withColumn("log2_budget", F.log2(F.col("budget") + 1)).cache(), aggregated(spark, c, "aucc_subject").withColumn("aucc", F.col(f"aucc_{primary}"))
-    rest, areas = statistics.without(s, dataset, participants).cache(), statistics.without(a, dataset)
+    rest, areas = statistics.without(s, dataset).cache(), statistics.without(a, dataset)
+    left = rest.select("dataset", "target_subject").distinct().count()
+    if participants is not None and left != participants:  # none left included
+        raise ValueError(f"participants left: {left}")
     tests = statistics.relabelled(statistics.contrasts(rest, areas, c), statistics.WITHOUT, statistics.WITHOUT_ROLES, "post_confirmatory_robustness_without_dataset")
     terms = mixed.terms(s, primary, c["methods"], ["subject", "source_plus_target"], slopes=False).withColumn("classification", F.lit("model_form_robustness_random_intercept_only")).cache()
     d = curves.paired(s.filter("budget > 0"), "regime", "subject", "source_plus_target", ["method", "budget", "dataset", "target_subject"], primary)
@@ -355,7 +367,6 @@ def robustness(spark: SparkSession, c: Config, dataset: str, participants: int |
     }
     for name, df in made.items():
         files.replace_table(df, f"{out}/{name}.csv")
-    left = rest.select("dataset", "target_subject").distinct().count()
     files.write_json(spark, f"{out}/robustness_manifest.json", provenance.outputs(spark, out, [f"{n}.csv" for n in made], source_dir=c.output_dir, without=dataset, participants_left=left, input_sha256={n: files.digest(spark, f"{c.output_dir}/{n}.csv") for n in ("summary_subject", "aucc_subject", "mixed_effects_coefficients")}))
     return out
 
@@ -391,25 +402,22 @@ def write_config(spark: SparkSession, c: Config, path: str) -> str:
 
 
 def negative_control(t: DataFrame, seed: int, permutations: int = 16, target: str = "1") -> dict:
-    """Mean, least and greatest area under the curve if training labels are permuted: sources of the other subjects, tested on the target's last session.
-    The trials are those of one small dataset."""
-    import numpy as np
-
-    from tamarack.operators import bootstrap, kernels
-
-    d = t.select("subject", "session", "trial_uid", "label", "x").toPandas().sort_values(["subject", "trial_uid"])  # one synthetic dataset
-    x, y = np.array([np.stack(v) for v in d["x"]], np.float64), d["label"].to_numpy(int)
-    own = d["subject"].to_numpy() == target
-    test = own & (d["session"].to_numpy() == d["session"][own].max())
-    scores = []
-    for k in range(permutations):
-        labels = y[~own].copy()
-        np.random.default_rng(bootstrap.seed_of(seed, "negative", k)).shuffle(labels)
-        p = kernels.ESTIMATORS["logvar_lda"]().fit(x[~own], labels).score(x[test])
-        rank = np.array([(p < v).sum() + ((p == v).sum() + 1) / 2 for v in p])
-        n1 = int(y[test].sum())
-        scores.append((rank[y[test] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(p) - n1)))
-    return {"mean_shuffled_label_roc_auc": float(np.mean(scores)), "minimum_shuffled_label_roc_auc": float(np.min(scores)), "maximum_shuffled_label_roc_auc": float(np.max(scores)), "n_permutations": permutations}
+    """The area under the curve where sources' labels are dealt anew among their trials, over so many seeded deals: mean, least and greatest. Each deal is a dataset of its
+    own, so that deals are fitted side by side; the target is tested on its last session."""
+    t = t.select("subject", "session", "trial_uid", "label", "x").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("dataset", F.col("deal").cast("string"))
+    source, own = t.filter(F.col("subject") != target), t.filter(F.col("subject") == target)
+    by = lambda *order: F.row_number().over(Window.partitionBy("dataset").orderBy(*order))
+    dealt = source.select("dataset", "label", by(F.md5(F.concat_ws(":", F.lit(str(seed)), "deal", "trial_uid"))).alias("place"))
+    source = source.drop("label").withColumn("place", by("trial_uid")).join(dealt, ["dataset", "place"])
+    trials_ = source.select("dataset", "subject", "trial_uid", "label", "x").unionByName(own.select("dataset", "subject", "trial_uid", "label", "x"))
+    last = F.col("session") == F.max("session").over(Window.partitionBy("dataset"))
+    split = own.withColumn("last", last).filter("last").select("dataset", F.col("subject").alias("target_subject"), "trial_uid", F.lit(0).alias("repeat"), F.lit("test").alias("role"))
+    none = t.sparkSession.createDataFrame([], "dataset string, target_subject string, trial_uid string, repeat int, budget_per_class int")
+    picked = source.select("dataset", F.lit(target).alias("target_subject"), F.col("subject").alias("source_subject"), "trial_uid")
+    scores = runner.fitted(runner.assigned(trials_, split, none, picked, 1), ["logvar_lda"], [0], 1).filter("regime = 'population'")
+    m = metrics.binary_metrics(scores, ["dataset"])
+    found = m.agg(F.avg("roc_auc").alias("mean_shuffled_label_roc_auc"), F.min("roc_auc").alias("minimum_shuffled_label_roc_auc"), F.max("roc_auc").alias("maximum_shuffled_label_roc_auc"), F.count("roc_auc").alias("n_permutations"))
+    return found.first().asDict()
 
 
 MARKER = ".tamarack-smoke-workspace"
@@ -421,7 +429,7 @@ def smoke(spark: SparkSession, workspace: str, clean: bool = True, with_figures:
         if not files.exists(spark, f"{workspace}/{MARKER}"):
             raise ValueError(f"{workspace} is no workspace of a smoke test, and is not deleted")
         files.remove(spark, workspace)
-    files.write_text(spark, f"{workspace}/{MARKER}", "synthetic validation only\n")
+    files.write_text(spark, f"{workspace}/{MARKER}", "A smoke test may delete this folder.\n")
     a, b = (smoke_config(workspace, n) for n in ("run-a", "run-b"))
     for c, n in ((a, "a"), (b, "b")):
         write_config(spark, c, f"{workspace}/synthetic_smoke_{n}.yaml")

@@ -39,6 +39,7 @@ SCHEMA: dict[str, dict[str, tuple[str, Any]]] = {
     },
     "runtime": {"n_jobs_data": ("int", 1), "overwrite_processed": ("flag", False), "resume": ("flag", True), "save_predictions": ("flag", True)},
     "alignment": {"mode": ("text", "none"), "epsilon": ("number", 1e-12)},
+    "draws": {"stream": ("text", "hash")},
 }
 DATASET = {"name": ("text", NEEDED), "subjects": ("subjects", "all"), "exclude_subjects": ("ints", [])}
 PROCESSING_VERSION = 1
@@ -117,6 +118,7 @@ RULES: list[tuple[str, Callable[[dict], bool]]] = [
     ("thresholds lie in [0, 1]", lambda c: all(0 <= c["analysis"][k] <= 1 for k in ("roc_auc_threshold", "balanced_accuracy_threshold"))),
     ("there is a data job", lambda c: c["runtime"]["n_jobs_data"] >= 1),
     ("the alignment mode is known and its floor positive", lambda c: c["alignment"]["mode"] in ("none", "euclidean_training_only") and c["alignment"]["epsilon"] > 0),
+    ("draws come from hashes or from NumPy's streams", lambda c: c["draws"]["stream"] in ("hash", "numpy")),
 ]
 
 
@@ -157,8 +159,9 @@ class Config:
 
     @property
     def experiment_fingerprint(self) -> str:
-        """Of everything; of an alignment only if there is one."""
-        return fingerprint({k: v for k, v in self.values.items() if k != "alignment" or v["mode"] != "none"})
+        """Of everything; of an alignment only if there is one, and of draws only if they are not the usual ones."""
+        usual = {"alignment": lambda v: v["mode"] == "none", "draws": lambda v: v["stream"] == "hash"}
+        return fingerprint({k: v for k, v in self.values.items() if k not in usual or not usual[k](v)})
 
     @property
     def output_dir(self) -> str:
