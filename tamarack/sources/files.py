@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +65,9 @@ def digest(spark: SparkSession, path: str) -> str:
     """One SHA-256 for a file, or for the sorted names and checksums of a folder's data files."""
     at, system = _at(spark, path)
     if not system.getFileStatus(at).isDirectory():
-        return hashlib.sha256(read_bytes(spark, path)).hexdigest()
-    rows = checksums(spark, path).filter("not file rlike '(^|/)[._]'").select(F.struct("file", "sha256").alias("x"))
+        found = hashed(listing(spark, path)).first()
+        return found.sha256 if found else hashlib.sha256(b"").hexdigest()
+    rows = hashed(listing(spark, path).filter("not file rlike '(^|/)[._]'")).select(F.struct("file", "sha256").alias("x"))
     return rows.agg(F.sha2(F.to_json(F.array_sort(F.collect_list("x"))), 256)).first()[0]  # a row for each file
 
 
@@ -95,10 +99,46 @@ def plain(value: Any) -> Any:
     return str(value)
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """file (below path), sha256, bytes of the files of a folder; computed where the files are read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """file (below path), path, bytes of the files of a folder, or of one file; their content is not read. Empty files are left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
     root, _ = _at(spark, path)
     root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
     name = F.regexp_replace(F.regexp_replace("path", "^([a-z0-9]+:)/+", "$1/"), "^" + root.replace("///", "/").replace("//", "/").replace(".", r"\.") + "/", "")
-    return found.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return found.select(name.alias("file"), "path", "bytes")
+
+
+#: Bytes that are hashed in one go. A longer file's checksum is that of its pieces' checksums, so that its pieces can be hashed side by side.
+PIECE, STEP = 1 << 28, 1 << 22
+
+
+def opened(path: str):
+    """A file that pyarrow reads: local, or of any store that it knows by the address."""
+    system, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system.open_input_file(at)
+
+
+def hashed(listed: DataFrame, piece: int = PIECE) -> DataFrame:
+    """file, sha256, bytes of listed files, read in steps; of any size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, start, size in zip(b["path"], b["start"], b["bytes"], strict=True):
+                h, end = hashlib.sha256(), min(start + piece, size)
+                with opened(path) as f:
+                    for at in range(start, end, STEP):
+                        h.update(f.read_at(min(STEP, end - at), at))
+                out.append(h.hexdigest())
+            yield pd.DataFrame({"file": b["file"], "bytes": b["bytes"], "start": b["start"], "own": out})
+
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(piece).cast("long"))
+    pieces = listed.withColumn("start", F.explode(starts)).repartition(F.col("path"), F.col("start"))
+    own = pieces.select("file", "path", "bytes", "start").mapInPandas(run, "file string, bytes long, start long, own string")
+    g = own.groupBy("file", "bytes").agg(F.array_sort(F.collect_list(F.struct("start", "own"))).alias("p"))  # a file's pieces
+    return g.select("file", F.when(F.size("p") == 1, F.col("p")[0]["own"]).otherwise(F.sha2(F.array_join(F.col("p.own"), ""), 256)).alias("sha256"), "bytes")
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """file (below path), sha256, bytes of the files of a folder; computed where the files are read."""
+    return hashed(listing(spark, path))

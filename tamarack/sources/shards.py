@@ -63,10 +63,15 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(path) if files.exists(spark, path) else spark.createDataFrame([], MANIFEST)
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    """dataset, subject, file, sha256 of the saved trials."""
+def stored(spark: SparkSession, root: str) -> DataFrame:
+    """dataset, subject, file, path, bytes of the saved trials; no file is read."""
     part = lambda n: F.url_decode(F.regexp_extract("file", rf"{n}=([^/]*)/", 1))
-    return files.checksums(spark, f"{root}/trials").filter("file like '%.parquet'").select(part("dataset").alias("dataset"), part("subject").alias("subject"), "file", "sha256")
+    return files.listing(spark, f"{root}/trials").filter("file like '%.parquet'").select(part("dataset").alias("dataset"), part("subject").alias("subject"), "file", "path", "bytes")
+
+
+def _files(listed: DataFrame) -> DataFrame:
+    """dataset, subject, file, sha256 of stored files."""
+    return listed.select("dataset", "subject", "file").join(files.hashed(listed).select("file", "sha256"), "file")
 
 
 def save(t: DataFrame, root: str, preprocessing: dict, versions: dict, overwrite: bool = False) -> DataFrame:
@@ -75,7 +80,7 @@ def save(t: DataFrame, root: str, preprocessing: dict, versions: dict, overwrite
     spark = t.sparkSession
     plans.gate(plans.audit(shard_rules(t)))
     keys, how = ["dataset", "subject"], [json.dumps(x, sort_keys=True) for x in (preprocessing, versions)]
-    old = manifest(spark, root).cache()
+    old = manifest(spark, root)  # not cached: a later reading of the path would be given this one
     mine = t.select(*keys).distinct()
     if not overwrite:
         unlike = old.join(mine, keys, "left_semi").filter((F.col("version") != VERSION) | (F.col("preprocessing") != how[0]) | (F.col("versions") != how[1]))
@@ -87,18 +92,19 @@ def save(t: DataFrame, root: str, preprocessing: dict, versions: dict, overwrite
         return old
     rows = t.select(*[F.col(c) for c in t.columns])
     (rows.repartition(*keys).sortWithinPartitions(*keys, "trial_uid").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{root}/trials"))
-    found = _files(spark, root).join(fresh, keys).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", "sha256")))).alias("files"))
+    found = _files(stored(spark, root).join(fresh, keys, "left_semi")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", "sha256")))).alias("files"))
     new = counts(t).join(found, keys).select("dataset", "subject", F.lit(VERSION).alias("version"), "trials", "channels", "samples", "class_counts", "group_counts", F.lit(how[0]).alias("preprocessing"), F.lit(how[1]).alias("versions"), "files")
     kept = old.join(fresh, keys, "left_anti").select(*new.columns)
     lines = sorted(r[0] for r in kept.unionByName(new).select(F.to_json(F.struct(*new.columns))).collect())  # a row for each subject
     files.write_text(spark, f"{_manifest_path(root)}/subjects.json", "\n".join(lines) + "\n")
+    fresh.unpersist()
     return manifest(spark, root)
 
 
 def changed(spark: SparkSession, root: str) -> DataFrame:
     """Files that differ from the manifest's checksums, lack, or are not listed."""
     listed = manifest(spark, root).select("dataset", "subject", F.explode("files").alias("file", "listed"))
-    return listed.join(_files(spark, root), ["dataset", "subject", "file"], "full_outer").filter("not (listed <=> sha256)")
+    return listed.join(_files(stored(spark, root)), ["dataset", "subject", "file"], "full_outer").filter("not (listed <=> sha256)")
 
 
 def load(spark: SparkSession, root: str, dataset: str | None = None, subjects: list[str] | None = None, verify: bool = False) -> DataFrame:

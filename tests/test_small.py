@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,32 @@ def test_without_a_dataset(spark):
     assert got == {"log2_budget*regime:subject": (1.0, 1.0, True), "intercept": (2.0, 2.0, False), "log2_budget*method:m*regime:subject": (3.0, None, False)}
     with pytest.raises(Exception, match="still confirmatory"):
         statistics.relabelled(s.withColumns({"family": F.lit("x_confirmatory"), "inference_role": F.lit("")}), {}, "exploratory", "c").collect()
+
+
+def test_long_files_are_hashed_in_pieces(spark, tmp_path):
+    content = bytes(range(256)) * 40_000
+    for name, own in (("a.bin", content), ("b.bin", b""), ("inner/c.bin", b"xyz")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(own)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.file: (r.sha256, r.bytes) for r in files.hashed(files.listing(spark, str(tmp_path)), 3_000_000).collect()}
+    pieces = "".join(sha(content[k : k + 3_000_000]) for k in range(0, len(content), 3_000_000))
+    assert got == {"a.bin": (sha(pieces.encode()), len(content)), "inner/c.bin": (sha(b"xyz"), 3)}
+    assert files.digest(spark, str(tmp_path / "a.bin")) == sha(content) and files.digest(spark, str(tmp_path / "b.bin")) == sha(b"")
+
+
+def test_a_second_save_reads_no_saved_file(spark, tmp_path):
+    from tamarack.sources import synthetic
+
+    root, t = str(tmp_path / "shards"), synthetic.trials(spark)
+    shards.save(t.filter("subject <> '3'"), root, {"a": 1}, {})
+    old = [str(p) for p in (tmp_path / "shards" / "trials").rglob("*.parquet")]
+    for p in old:
+        os.utime(p, (0, os.stat(p).st_mtime))
+    shards.save(t, root, {"a": 1}, {})
+    assert len(old) == 2 and all(os.stat(p).st_atime == 0 for p in old)
+    assert len(shards.manifest(spark, root).collect()) == 3 and shards.changed(spark, root).count() == 0
+    assert any(os.stat(p).st_atime > 0 for p in old) or not os.access("/proc/mounts", os.R_OK) or "noatime" in open("/proc/mounts").read()
+    with open(old[0], "ab") as f:
+        f.write(b"x")
+    assert shards.changed(spark, root).count() == 1
