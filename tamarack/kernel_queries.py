@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack import sources
-from tamarack.operators import curves, kernels, metrics, mixed, runner
-from tamarack.queries import MODES, REPEAT, SEED, query, rounded, summary
+from tamarack.operators import curves, kernels, means, metrics, mixed, runner
+from tamarack.queries import MODES, PAIR, REPEAT, SEED, query, rounded, summary
 
 PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
 CHANNELS = "e AS (SELECT vec_id, CAST(vec_id % 10 AS VARCHAR) AS subject, [CAST(embedding[k * 16 + 1 : k * 16 + 16] AS DOUBLE[]) FOR k IN [0, 1, 2, 3]] AS x FROM embeddings)"
@@ -81,13 +81,17 @@ def stacked(b: pd.DataFrame) -> np.ndarray:
 @query()
 def tangent_norm(spark, d):
     """Norm of each epoch's shrunk covariance in the tangent space at the identity."""
+    return tangent_norms(sources.epochs(spark, d))
+
+
+def tangent_norms(e: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             if len(b):
                 v = kernels.half_vector(kernels.on_eigenvalues(kernels.oas(stacked(b)), np.log))
                 yield pd.DataFrame({"vec_id": b["vec_id"], "norm": np.round(np.linalg.norm(v, axis=1), 6)})
 
-    return sources.epochs(spark, d).select("vec_id", "x").mapInPandas(run, "vec_id long, norm double")
+    return e.select("vec_id", "x").mapInPandas(run, "vec_id long, norm double")
 
 
 @query()
@@ -104,6 +108,38 @@ def riemann_mean_residual(spark, d):
     return sample.groupBy("subject").applyInPandas(mean, "subject string, n long, residual double")
 
 
+COV2 = [(0, 0), (0, 1), (1, 1)]
+
+
+@query("SELECT CAST(vec_id % 10 AS BIGINT) AS subject, count(*) AS n, 0.0::DOUBLE AS residual FROM embeddings GROUP BY ALL")
+def riemann_means(spark, d):
+    """Each subject's mean over all its epochs, gathered nowhere; the mean log map vanishes there."""
+    c = sources.epochs(spark, d).select("subject", F.array(*[F.array(*[covariance(min(i, j), max(i, j)) + (1e-3 if i == j else 0.0) for j in range(4)]) for i in range(4)]).alias("m"))
+    return rounded(means.riemannian_means(c, ["subject"], parts=4).select("subject", "n", "residual"))
+
+
+@query(f"""WITH {CHANNELS}, c AS (SELECT subject, vec_id // 10 % 2 AS half, {', '.join(f'avg({cov_sql(i, j)}) AS c{i}{j}' for i, j in COV2)} FROM e GROUP BY ALL),
+ p AS (SELECT subject, any_value(c00) FILTER (half = 0) AS a, any_value(c01) FILTER (half = 0) AS b, any_value(c11) FILTER (half = 0) AS c, any_value(c00) FILTER (half = 1) AS x, any_value(c01) FILTER (half = 1) AS y, any_value(c11) FILTER (half = 1) AS z FROM c GROUP BY ALL),
+ r AS (SELECT *, sqrt(a * c - b * b) AS s, sqrt(x * z - y * y) AS t FROM p), w AS (SELECT *, a / s + x / t AS g00, b / s + y / t AS g01, c / s + z / t AS g11 FROM r), f AS (SELECT *, sqrt(s * t) / sqrt(g00 * g11 - g01 * g01) AS k FROM w)
+SELECT subject, round(k * g00, 6) + 0.0::DOUBLE AS m00, round(k * g01, 6) + 0.0::DOUBLE AS m01, round(k * g11, 6) + 0.0::DOUBLE AS m11 FROM f""")
+def riemann_pair_means(spark, d):
+    """The mean of two matrices of two channels of each subject; there is a closed form."""
+    e = sources.epochs(spark, d).withColumns({"subject": F.col("subject").cast("string"), "half": F.floor(F.col("vec_id") / 10) % 2})
+    c = e.groupBy("subject", "half").agg(*[F.avg(covariance(i, j)).alias(f"c{i}{j}") for i, j in COV2])
+    pair = c.select("subject", F.array(F.array("c00", "c01"), F.array("c01", "c11")).alias("m"))
+    got = means.riemannian_means(pair, ["subject"], parts=2)
+    return rounded(got.select("subject", *[F.col("mean")[k].alias(n) for k, n in ((0, "m00"), (1, "m01"), (3, "m11"))]))
+
+
+@query(f"""WITH {CHANNELS}, c AS (SELECT vec_id, {', '.join(f'{cov_sql(i, j)} AS c{i}{j}' for i, j in COV2)} FROM e), m AS (SELECT *, (c00 + c11) / 2 AS mu, (c00 * c00 + 2 * c01 * c01 + c11 * c11) / 4 AS sq FROM c),
+ w AS (SELECT *, CASE WHEN sq - mu * mu / 2 > 0 THEN least(1.0::DOUBLE, (sq + mu * mu) / (17 * (sq - mu * mu / 2))) ELSE 1.0::DOUBLE END AS w FROM m), o AS (SELECT vec_id, (1 - w) * c00 + w * mu + 1e-10 AS a, (1 - w) * c01 AS b, (1 - w) * c11 + w * mu + 1e-10 AS c FROM w),
+ v AS (SELECT vec_id, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS one, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS two FROM o)
+SELECT vec_id, round(sqrt(ln(one) * ln(one) + ln(two) * ln(two)), 6) AS norm FROM v""")
+def tangent_norm_pair(spark, d):
+    """tangent_norm of the first two channels, of which eigenvalues have a closed form."""
+    return tangent_norms(sources.epochs(spark, d).select("vec_id", F.slice("x", 1, 2).alias("x")))
+
+
 def predicted(spark, d, aligned: bool = False) -> DataFrame:
     return runner.run(epoch_trials(spark, d), MODES, [0, 2, 5], 2, SEED, aligned=aligned)
 
@@ -137,7 +173,10 @@ def random_intercept_terms(spark, d):
     return rounded(mixed.terms(summary(spark, d), "roc_auc", MODES, ["subject", "source_plus_target"], slopes=False))
 
 
-@query()
+@query(f"""WITH {PAIR}, v AS (SELECT method, budget, count(*) AS n, avg(difference) AS mean, median(difference) AS median, list(difference ORDER BY dataset || '::' || target_subject) AS v FROM d GROUP BY ALL),
+ bm AS (SELECT method, budget, list_sum([v[1 + CAST(('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8)) AS BIGINT) % len(v)] FOR i IN range(1, len(v) + 1)]) / len(v) AS m FROM v, (SELECT unnest(range(1, 2001)) AS b) r),
+ ci AS (SELECT method, budget, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY ALL)
+SELECT v.method, v.budget, n, round(mean, 6) + 0.0::DOUBLE AS mean, round(median, 6) + 0.0::DOUBLE AS median, round(low, 6) + 0.0::DOUBLE AS ci_low, round(high, 6) + 0.0::DOUBLE AS ci_high FROM v JOIN ci USING (method, budget)""")
 def mean_trajectory(spark, d):
     """Paired difference at every positive budget with a seeded interval."""
     x = curves.paired(summary(spark, d), "regime", "subject", "source_plus_target", ["method", "budget", "dataset", "target_subject"], "roc_auc").withColumn("id", F.concat_ws("::", "dataset", "target_subject"))
