@@ -38,16 +38,17 @@ def byte_letters() -> dict[str, int]:
 
 
 class Words(dict):
-    """What _word says of words; long ones are not kept, and all are forgotten when there are many."""
+    """What _word says of words; long ones are not kept. When there are many, they become the old ones, and those that were old and not met since are forgotten."""
 
     def __init__(self, automaton: MergeAutomaton):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.old = automaton, {}
 
     def __missing__(self, word: str) -> tuple[int, str, bytes, tuple[int, ...]]:
-        got = self.automaton._word(self.automaton.encode_word(word.encode()))
+        got = self.old.get(word) or self.automaton._word(self.automaton.encode_word(word.encode()))
         if len(word) <= LONG:
             if len(self) >= WORDS_KEPT:
+                self.old = dict(self)
                 self.clear()
             self[word] = got
         return got
