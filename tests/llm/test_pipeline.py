@@ -1,0 +1,107 @@
+"""The whole pipeline against plain Python over 200 documents: the fitted model's helpers on all rows at hand, all pairs of shingle sets, regular expressions, sorted lists, the public
+tokenizer."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+
+from tamarack.llm import mixing, quality, secrets
+from tamarack.llm.queries import tokenizer
+from tests.llm.test_methods import spark_hash
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+
+def accepted(docs, labels):
+    known = {i: q for i, q in labels if i is not None and q is not None and zlib.crc32(str(i).encode()) % 5}
+    taught = sorted((d["doc_id"], d["text"] or "", known[d["doc_id"]]) for d in docs if d["doc_id"] in known)
+    model = quality.fit([t for _, t, _ in taught], [q for *_, q in taught])
+    a, b = model[-2:]
+    score = lambda t: 1 / (1 + math.exp(-(a * quality.margin(model[:-2], quality.features(t)) + b)))
+    return [d for d in docs if score(d["text"] or "") >= 0.3]
+
+
+def unlike(docs):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for d in docs:
+        w = WORD.findall((d["text"] or "").translate(lower))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if not sets[a] | sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                one, two = root[a], root[b]
+                root = [min(one, two) if r in (one, two) else r for r in root]
+    first = {}
+    for k, d in enumerate(docs):
+        if root[k] not in first or d["doc_id"] < docs[first[root[k]]]["doc_id"]:
+            first[root[k]] = k
+    return [docs[k] for k in sorted(first.values())]
+
+
+def entropy(w):
+    return max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w[k : k + 20]).values()) for k in range(len(w) - 19))
+
+
+def redacted(text):
+    found = [(m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    found += [m.span() for p, n in ((r"AKIA[A-Z0-9]+", 20), (r"[0-9a-f]+", 24)) for m in re.finditer(p, text) if len(m[0]) >= n]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        asked = next(least for _, p, least in secrets.CLASSES if re.search(p, m[0]))
+        if not any(re.search(p, m[0]) for p in secrets.ALLOWED) and entropy(m[0]) >= asked:
+            found.append(m.span())
+    out, at = [], 0
+    for s, e in sorted(found):
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def mixed(docs):
+    size = lambda d: len(WORD.findall(d["text"] or ""))
+    names = sorted({d["source"] for d in docs})
+    whole = {s: sum(size(d) for d in docs if d["source"] == s) for s in names}
+    weight, full = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, set()
+    while True:
+        level = (sum(whole.values()) - sum(3 * whole[s] for s in full)) / (sum(weight[s] for s in names if s not in full) or 1)
+        over = {s for s in names if s not in full and weight[s] * level >= 3 * whole[s]}
+        if not over:
+            break
+        full |= over
+    out = []
+    for s in names:
+        target = round(3.0 * whole[s] if s in full else weight[s] * level)
+        passes = int(target // whole[s]) if whole[s] else 0
+        rest = target - passes * whole[s]
+        for d in sorted((d for d in docs if d["source"] == s), key=lambda d: (spark_hash(mixing.SEED, (d["doc_id"],)) % (1 << 64), d["doc_id"])):
+            n = size(d)
+            part = max(0, min(n, rest))
+            rest -= n if part else 0
+            out += [d] * (passes + (n > 0 and part * 2 >= n))
+    return out
+
+
+def test_the_pipeline_is_the_plain_one(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    assert len({d["doc_id"] for d in docs}) == len(docs)
+    kept = unlike(accepted(docs, labels))
+    hidden = [d | {"text": None if d["text"] is None else redacted(d["text"])} for d in kept]
+    t, want = Tokenizer.from_file(tokenizer()), collections.Counter()
+    for d in mixed(hidden):
+        ids = t.encode(d["text"] or "", add_special_tokens=False).ids
+        want[(d["doc_id"], len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))] += 1
+    got = collections.Counter(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == want and len(want) < len(docs) and max(want.values()) > 1
+    assert len(kept) < len(docs) and any("[SECRET]" in (d["text"] or "") for d in hidden) and np.isfinite(len(want))
