@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.operators import digests as digests_of
+
 SUBJECT = ["dataset", "subject"]
 
 
@@ -84,16 +88,38 @@ def nested(pool: DataFrame, budgets: list[int], seed: int) -> DataFrame:
     return taken.select(*SUBJECT, "label", "trial_uid", "budget", first.alias("selected_at_budget"))
 
 
+#: Targets, and sources, that a task of sources() holds against one another.
+TARGETS_AT_ONCE, SOURCES_AT_ONCE = 2048, 65536
+
+
 def sources(t: DataFrame, most: int, seed: int) -> DataFrame:
     """For each target, at most `most` other subjects of its dataset, in a seeded order: the target's own seed orders its dataset's subjects.
 
-    A dataset's subjects come as one array, which a target's row holds once; pairs are rows only where they are chosen."""
-    s = t.select(*SUBJECT).distinct()
-    others = s.groupBy("dataset").agg(F.collect_list("subject").alias("all"))  # participants of a dataset
-    rank = lambda x: F.struct(seeded(seed, F.col("target_subject"), x).alias("h"), x.alias("s"))
-    placed = F.slice(F.array_sort(F.transform(F.filter("all", lambda x: x != F.col("target_subject")), rank)), 1, most)
-    rows = s.withColumnRenamed("subject", "target_subject").join(others, "dataset").select("dataset", "target_subject", F.posexplode(placed).alias("k", "x"))
-    return rows.select("dataset", "target_subject", F.col("x.s").alias("source_subject"), (F.col("k") + 1).alias("place"))
+    Each pair has a digest of its own, so all are computed: blocks of targets meet blocks of sources, each two in a task, which keeps of a target's block only what can be among its
+    first; whole digests then order what is left of all blocks."""
+    spark = t.sparkSession
+    s = t.select(*SUBJECT).dropna().distinct()
+    n = s.groupBy("dataset").agg(F.count("*").alias("n_"))
+    dealt = lambda size: F.pmod(F.xxhash64("subject"), F.ceil(F.col("n_") / size)).cast("int")
+    every = lambda size: F.sequence(F.lit(0), (F.ceil(F.col("n_") / size) - 1).cast("int"))
+    sides = F.array(F.struct(F.lit(True).alias("target_"), F.array(dealt(TARGETS_AT_ONCE)).alias("a"), every(SOURCES_AT_ONCE).alias("b")), F.struct(F.lit(False).alias("target_"), every(TARGETS_AT_ONCE).alias("a"), F.array(dealt(SOURCES_AT_ONCE)).alias("b")))
+    block = ["dataset", "a_", "b_"]
+    rows = s.join(n, "dataset").select(*SUBJECT, F.inline(sides)).select(*SUBJECT, "target_", F.explode("a").alias("a_"), "b").select(*SUBJECT, "target_", "a_", F.explode("b").alias("b_"))
+    rows = rows.repartition(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), *block)  # a number, as blocks are few bytes and much work
+
+    def first(d: pd.DataFrame) -> pd.DataFrame:
+        others = d.loc[~d["target_"], "subject"].to_numpy()
+        ends = digests_of.Endings([str(x).encode() for x in others])
+        targets = d.loc[d["target_"], "subject"].to_numpy()
+        found = [ends.first(f"{seed}:{x}:".encode(), most + 1) for x in targets]  # the target itself may be among them
+        at = np.concatenate([*found, np.empty(0, int)]).astype(int)
+        return pd.DataFrame({"dataset": d["dataset"].iloc[0], "target_subject": targets.repeat([len(f) for f in found]), "source_subject": others[at]})
+
+    kind = t.schema["subject"].dataType.simpleString()
+    near = rows.groupBy(*block).applyInPandas(first, f"dataset {t.schema['dataset'].dataType.simpleString()}, target_subject {kind}, source_subject {kind}").filter("target_subject <> source_subject")
+    own = F.struct(seeded(seed, F.col("target_subject"), F.col("source_subject")).alias("h"), F.col("source_subject").alias("s"))
+    placed = near.groupBy("dataset", "target_subject").agg(F.slice(F.array_sort(F.collect_list(own)), 1, most).alias("x"))  # little more than `most` of each block
+    return placed.select("dataset", "target_subject", F.posexplode("x").alias("k", "x")).select("dataset", "target_subject", F.col("x.s").alias("source_subject"), (F.col("k") + 1).alias("place"))
 
 
 def drawn_sources(t: DataFrame, most: int, seed: int) -> DataFrame:
