@@ -5,7 +5,10 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from tamarack import audit_queries, report_queries  # noqa: F401
+from tamarack import queries as own
 from tamarack.operators import assign, digests
+from tests.conftest import SF
 
 
 def by_digests(subjects, most, seed):
@@ -41,3 +44,10 @@ def test_no_row_holds_a_dataset(spark):
     assert chosen.count() == 15_000
     plan = chosen._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(subject" not in plan and "FlatMapGroupsInPandas" in plan
+
+
+@pytest.mark.parametrize("name", ["source_detail_rules", "audit_sources"])
+def test_pairs_are_made_once(spark, name):
+    """Rules that read the same pairs made them anew, each for itself."""
+    df = own.QUERIES[name](spark, SF)
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() > 3
