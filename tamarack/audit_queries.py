@@ -61,7 +61,7 @@ SELECT 'target_is_no_source' AS rule, count(*) FILTER (right(subject, 1) = '4')
 def audit_sources(spark, d):
     """Ten sources and twenty trials a class against caps of nine and twelve; subjects in 4 are their own source too, and negatives in 3 lack."""
     t = sources.trials(spark, d)
-    chosen = assign.sources(t, 10, SEED).drop("place")
+    chosen = sources.kept(assign.sources(t, 10, SEED)).drop("place")  # two rules read them
     own = t.select("dataset", F.col("subject").alias("target_subject"), F.col("subject").alias("source_subject")).distinct().filter(F.substring("target_subject", -1, 1) == "4")
     taken = assign.balanced(t, 20, SEED).filter(~((F.col("label") == 0) & (F.substring("trial_uid", -1, 1) == "3")))
     return plans.audit(plans.source_rules(chosen.unionByName(own), taken, 9, 12))
