@@ -46,7 +46,7 @@ def test_no_row_holds_a_dataset(spark):
     assert "collect_list(subject" not in plan and "FlatMapGroupsInPandas" in plan
 
 
-@pytest.mark.parametrize("name", ["source_detail_rules", "audit_sources"])
+@pytest.mark.parametrize("name", ["source_detail_rules", "audit_sources", "assignment_reuse_gate"])
 def test_pairs_are_made_once(spark, name):
     """Rules that read the same pairs made them anew, each for itself."""
     df = own.QUERIES[name](spark, SF)
