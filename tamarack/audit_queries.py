@@ -79,7 +79,7 @@ def audit_test_set_equality(spark, d):
  o AS (SELECT {K} FROM m), e AS (SELECT dataset, target_subject, repeat, method, regime, budget FROM (SELECT DISTINCT dataset, target_subject, repeat FROM m), (SELECT unnest(['csp_lda', 'riemann_lr', 'logvar_lda']) AS method), c)
 SELECT *, 'missing' AS side FROM (SELECT * FROM e EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM o EXCEPT SELECT * FROM e)""")
 def grid_symmetric_diff(spark, d):
-    m = conditions(spark, d).select(*REPEAT)
+    m = sources.kept(conditions(spark, d).select(*REPEAT))  # the grid and what is held against it
     return plans.grid_difference(assign.grid(m.select("dataset", "target_subject", "repeat").distinct(), MODES, [0, 5, 10, 20, 40]), m, REPEAT)
 
 

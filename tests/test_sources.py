@@ -5,9 +5,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack import audit_queries, report_queries  # noqa: F401
+from tamarack import audit_queries, plans, report_queries  # noqa: F401
 from tamarack import queries as own
-from tamarack.operators import assign, digests
+from tamarack.operators import assign, digests, mixed
 from tests.conftest import SF
 
 
@@ -51,3 +51,31 @@ def test_pairs_are_made_once(spark, name):
     """Rules that read the same pairs made them anew, each for itself."""
     df = own.QUERIES[name](spark, SF)
     assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() > 3
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+
+
+def test_grid_is_read_once(spark):
+    """Conditions were made anew, with their join of predictions, for each side of each difference."""
+    assert joins(own.QUERIES["grid_symmetric_diff"](spark, SF)) == 0
+    keys = "a string, b int"
+    want, seen = spark.createDataFrame([("x", 1), ("x", 2), (None, 1), ("y", 1), ("y", 1)], keys), spark.createDataFrame([("x", 2), (None, 1), (None, 2), ("x", 2)], keys)
+    got = {tuple(r) for r in plans.grid_difference(want, seen, ["a", "b"]).collect()}
+    assert got == {("x", 1, "missing"), ("y", 1, "missing"), (None, 2, "unexpected")}
+
+
+def test_aligned_rules_share_conditions(spark):
+    """Left to a rule are the predictions' own two joins."""
+    assert joins(own.QUERIES["audit_aligned"](spark, SF)) <= 2
+
+
+def test_model_reads_its_rows_once(spark):
+    """Datasets, sizes and products each made the summary anew."""
+    seen = F.udf(lambda x: total.add(1) or x, "double")
+    total = spark.sparkContext.accumulator(0)
+    rows = [(d, str(s), m, g, float(b), 0.1 * s + 0.01 * b + 0.03 * (s * b % 7)) for d in "AB" for s in range(4) for m in ("p", "q") for g in ("subject", "both") for b in (5, 10, 20)]
+    df = spark.createDataFrame(rows, "dataset string, target_subject string, method string, regime string, budget double, v double").withColumn("log2_budget", F.log2(F.col("budget") + 1)).withColumn("v", seen("v"))
+    assert mixed.terms(df, "v", ["p", "q"], ["subject", "both"], slopes=False).count() > 3
+    assert total.value <= 2 * len(rows)  # the filter and the column each take the value; it was 4 times and more
