@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.sources import kept
+
 
 def minimum(f: Callable, start: np.ndarray, size: float = 0.3, most: int = 2000, tolerance: float = 1e-10) -> tuple[np.ndarray, float, bool]:
     """Nelder-Mead simplex search: the point, its value, whether it settled."""
@@ -99,7 +101,7 @@ def terms(summary: DataFrame, metric: str, methods: list[str], regimes: list[str
     The first method, regime and dataset are the base. Under three participants or twenty rows, or for a singular design, there are no terms
     but one row 'not_estimated'. A slope model that does not settle gives way to one with intercepts only."""
     spark = summary.sparkSession
-    rows = summary.filter(F.col("regime").isin(regimes) & F.col("method").isin(methods) & (F.col("budget") > 0) & F.col(metric).isNotNull())
+    rows = kept(summary.filter(F.col("regime").isin(regimes) & F.col("method").isin(methods) & (F.col("budget") > 0) & F.col(metric).isNotNull()))  # a row for each condition
     datasets = [r.dataset for r in rows.select("dataset").distinct().orderBy("dataset").collect()]  # a row for each dataset
     size = rows.agg(F.count("*").alias("n"), F.countDistinct("dataset", "target_subject").alias("people")).first()
     schema = "term string, estimate double, se double, model string"
